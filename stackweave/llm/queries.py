@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, quality, secrets, toxicity
+from . import jaccard, lines, quality, scratch, secrets, sentencepiece_viterbi, tokens, toxicity
 from .learning import held_out
 
 
@@ -20,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), "n_passages", "top_passage")
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.link(table(spark, folder, "documents").select("doc_id", "text"), jaccard.Rule(3, 90, 100))
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
@@ -50,6 +54,29 @@ FROM marked GROUP BY doc_id
 """
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file; each machine of the cluster has it installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its ids, and whether they decode to the text."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    ids = sentencepiece_viterbi.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    back = sentencepiece_viterbi.decode(ids, model)
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+def op9_token_binary(spark: SparkSession, folder: str) -> DataFrame:
+    out = scratch.place(spark, "tokens")
+    tokens.write(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), out)
+    got = tokens.checksums(tokens.read(spark, out)).join(tokens.starts_of(spark, out), "part")
+    return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
+
+
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     counts = ["n_assign", "n_access", "n_hex", "n_live", "n_example"]
@@ -57,5 +84,5 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op6_toxicity, op7_line_dedup, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans)}
 SQL = {"op7_line_dedup": OP7_SQL}
