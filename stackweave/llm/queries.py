@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, lines, quality, scratch, secrets, sentencepiece_viterbi, tokens, toxicity
+from . import decontamination, fingerprints, jaccard, lines, quality, scratch, secrets, sentencepiece_viterbi, substrings, tokens, toxicity
 from .learning import held_out
 
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, folder, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -93,5 +97,5 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans)}
 SQL = {"op7_line_dedup": OP7_SQL}
