@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as X
 from .learning import labelled_sample, segment_sum, sigmoid
 
@@ -100,38 +101,61 @@ class NoisyOr:
         return -np.expm1(segment_sum(np.log1p(-np.minimum(p, 1 - 1e-12)), first))
 
 
-def features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, distinct features of each sentence, their sentences) per labelled document."""
+def counts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, documents that have it, those of label 1) of a task's labelled documents."""
+    n, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
     for part, buf, at in X.pieces(batches, "text"):
         b = bags(buf, at)
-        pair = np.unique(b.sentence.astype(np.int64) << BITS | b.feature)
-        sentence, feature = pair >> BITS, (pair & ((1 << BITS) - 1)).astype(np.int32)
-        ends = np.searchsorted(sentence, b.first[1:])
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(np.concatenate([[0], ends])))
-        yield pa.RecordBatch.from_arrays(
-            [part.column("label"), X.list_rows(feature, ends), X.list_rows((sentence - b.first[doc]).astype(np.int32), ends), pa.array(np.diff(b.first).astype(np.int32))],
-            ["label", "feature", "sentence", "n"],
-        )
+        doc = np.searchsorted(b.first, b.sentence, "right") - 1
+        pair = np.unique(doc.astype(np.int64) << BITS | b.feature)
+        f = pair & ((1 << BITS) - 1)
+        n += np.bincount(f, minlength=1 << BITS)
+        hits += np.bincount(f, part.column("label").to_numpy()[pair >> BITS], minlength=1 << BITS)
+    own = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(n[own]), pa.array(hits[own].astype(np.int64))], ["feature", "n", "hits"])
+
+
+def telling(sample: DataFrame, share: float) -> np.ndarray:
+    """Features whose share of label 1 stands out; others only fit noise. 2 ** BITS rows at most come to the driver."""
+    got = sample.mapInArrow(counts_of, "feature int, n long, hits long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).toArrow()
+    n, hits = got["n"].to_numpy(), got["hits"].to_numpy()
+    z = (hits - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+    known = np.zeros(1 << BITS, bool)
+    known[got["feature"].to_numpy()[(n >= 4) & (z > STANDS_OUT)]] = True
+    return known
+
+
+def distinct(b: Bags) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, feature): each feature of a sentence once, sentences in order."""
+    pair = np.unique(b.sentence.astype(np.int64) << BITS | b.feature)
+    return pair >> BITS, (pair & ((1 << BITS) - 1)).astype(np.int32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, epochs: int = 12, seed: int = 7) -> NoisyOr:
-    """Fit on at most ``sample`` labelled documents; their features, not their texts, come to the driver."""
-    got = labelled_sample(docs, labels, label, sample).mapInArrow(features_of, "label int, feature array<int>, sentence array<int>, n int").toArrow()
-    y = got["label"].to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    if not 0 < y.mean() < 1 if len(y) else True:
-        return NoisyOr(np.zeros(1 << BITS), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0)
-    lists = [got[c].combine_chunks() for c in ("feature", "sentence")]
-    flat, sent = (x.flatten().to_numpy() for x in lists)
+    """Fit on at most ``sample`` labelled documents; only their telling features come to the driver."""
+    rows = scratch.written(labelled_sample(docs, labels, label, sample), "labelled")
+    n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < hits < n:
+        return NoisyOr(np.zeros(1 << BITS), float(np.log((hits + 0.5) / (n - hits + 0.5))) if n else 0.0)
+    known = telling(rows, hits / n)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, at in X.pieces(batches, "text"):
+            b = bags(buf, at, shared.value)
+            s, f = distinct(b)
+            ends = np.searchsorted(s, b.first[1:])
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("label"), X.list_rows(f, ends), X.list_rows((s - b.first[doc]).astype(np.int32), ends), pa.array(np.diff(b.first).astype(np.int32))],
+                ["label", "feature", "sentence", "n"],
+            )
+
+    got = rows.mapInArrow(features_of, "label int, feature array<int>, sentence array<int>, n int").toArrow()
+    y = got["label"].to_numpy().astype(float)
+    flat, sent = (got[c].combine_chunks().flatten().to_numpy() for c in ("feature", "sentence"))
     ends = np.concatenate([[0], np.cumsum(got["feature"].combine_chunks().value_lengths().to_numpy())])
     count = got["n"].to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(y)), np.diff(ends))
-    # features that the labels say nothing about only fit noise: keep those whose share of label 1 stands out
-    pair = np.unique(doc << BITS | flat)
-    seen, of = pair & ((1 << BITS) - 1), y[pair >> BITS]
-    count_f, hits = np.bincount(seen, minlength=1 << BITS), np.bincount(seen, of, minlength=1 << BITS)
-    share = y.mean()
-    z = (hits - count_f * share) / np.sqrt(np.maximum(count_f, 1) * share * (1 - share))
-    common = (count_f >= 4) & (z > STANDS_OUT)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(1 << BITS), -5.0
     gw, gb = np.full(1 << BITS, 1e-3), 1e-2
@@ -143,8 +167,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             f, lens = flat[take], (ends[1:] - ends[:-1])[part]
             first = np.concatenate([[0], np.cumsum(count[part])])
             s = sent[take] + np.repeat(first[:-1], lens)
-            use = common[f]
-            f, s = f[use], s[use]
             p = sigmoid(np.bincount(s, w[f], minlength=first[-1]) + b)
             P = np.clip(-np.expm1(segment_sum(np.log1p(-np.minimum(p, 1 - 1e-12)), first)), 1e-9, 1 - 1e-9)
             t = y[part]
@@ -158,7 +180,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
             d = g.sum()
             gb += d * d
             b -= 0.1 * d / np.sqrt(gb)
-    w[~common] = 0
     return NoisyOr(w, float(b))
 
 
@@ -177,8 +198,7 @@ def score(docs: DataFrame, model: NoisyOr, offending: float = OFFENDING) -> Data
         for part, buf, at in X.pieces(batches, "text"):
             b = bags(buf, at, known)
             # each feature of a sentence counts once, as in fit()
-            pair = np.unique(b.sentence.astype(np.int64) << BITS | b.feature)
-            b.sentence, b.feature = pair >> BITS, pair & ((1 << BITS) - 1)
+            b.sentence, b.feature = distinct(b)
             p = m.sentences(b)
             doc = np.repeat(np.arange(len(at) - 1), np.diff(b.first))
             order = np.lexsort((-p, doc))
