@@ -77,8 +77,7 @@ def tokenizer_file(name: str) -> str:
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Per document its ids, and whether they decode to the text."""
     model = tokenizer_file("piece_bpe_32k.model")
-    ids = sentencepiece_viterbi.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
-    back = sentencepiece_viterbi.decode(ids, model)
+    back = sentencepiece_viterbi.round_trip(table(spark, folder, "documents").select("doc_id", "text"), model)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
     return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 

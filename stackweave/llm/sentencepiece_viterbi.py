@@ -33,6 +33,8 @@ UNKNOWN = 10.0
 _kept: dict[str, "Pieces"] = {}
 #: Bytes of matrices that one step may take.
 STEP = 8 << 20
+#: Units that a worker keeps the ids of.
+KEPT = 200_000
 
 
 @dataclass
@@ -88,7 +90,7 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(out), np.uint8)
         self.length = np.array([len(x) for x in out], np.int64)
         self.begin = np.cumsum(self.length) - self.length
-        self.encoded = Encoded(self.encode)
+        self.encoded = Encoded(self.encode, KEPT)
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(score or -inf, id) of each hash."""
@@ -202,6 +204,19 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"`{column}` array<int>"]))
 
 
+def round_trip(docs: DataFrame, path: str, column: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() of the ids in one pass, with one worker a task."""
+    keep = [c for c in docs.columns if c not in (column, decoded)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, at in X.pieces(batches, "text"):
+            flat, ends = pieces(path).encode_texts(buf, at)
+            raw, stop = pieces(path).decode_texts(flat, ends)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), X.list_rows(flat, ends), X.binary_rows(raw, stop).cast(pa.string())], [*keep, column, decoded])
+
+    return docs.select(*keep).mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"`{column}` array<int>, `{decoded}` string"]))
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
     """rows with the text of the array ``ids`` in ``column``; a null array gives the empty text."""
     keep = [c for c in rows.columns if c != column]
