@@ -37,7 +37,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they decode to it."""
     model = tokenizer_file("piece_bpe_32k.model")
-    rows = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs.select("doc_id", "text", "lang", "source"), model), model)
+    rows = sentencepiece_viterbi.round_trip(docs.select("doc_id", "text", "lang", "source"), model)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
     return rows.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
