@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,3 +101,35 @@ def margin_box(lo: Column, hi: Column, size: Column) -> tuple[Column, Column]:
     """A range with a margin of 5 % (100 if it is a point), clamped to the frame."""
     m = F.when(hi > lo, (hi - lo) * 0.05).otherwise(100.0)
     return F.greatest(F.lit(0.0), lo - m), F.least(size, hi + m)
+
+
+def clip_area(subject: list, clip: list) -> float:
+    """Area of a polygon's part within a convex polygon, in planar units; vertices as (x, y)."""
+    def area(p: list) -> float:
+        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
+
+    edge = clip if area(clip) > 0 else clip[::-1]
+    part = list(subject)
+    for a, b in zip(edge, edge[1:] + edge[:1]):
+        side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in part]
+        kept = []
+        for p, q, s, t in zip(part, part[1:] + part[:1], side, side[1:] + side[:1]):
+            if s >= 0:
+                kept.append(p)
+            if s * t < 0:
+                kept.append((p[0] + (q[0] - p[0]) * s / (s - t), p[1] + (q[1] - p[1]) * s / (s - t)))
+        part = kept
+        if not part:
+            return 0.0
+    return abs(area(part))
+
+
+def coverage(aoi: list):
+    """Pandas UDF: share of a convex area of interest that a footprint (array<struct<lon, lat>>) covers."""
+    whole = clip_area(aoi, aoi)
+
+    @F.pandas_udf("double")
+    def share(footprints: pd.Series) -> pd.Series:
+        return footprints.map(lambda f: None if f is None else clip_area([(p["lon"], p["lat"]) for p in f], aoi) / whole)
+
+    return share

@@ -153,3 +153,17 @@ def decay(g_inf: Column, g0: Column, tau: Column, dt: Column) -> Column:
 def rescaled(score: Column, most: Column) -> Column:
     """Scores whose largest is at most 1.5 are on the 0 to 1 scale and become whole points."""
     return F.when(most <= 1.5, F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(score * 100, 0)))).otherwise(score)
+
+
+def wind_speed(u: Column, v: Column) -> Column:
+    """Null if a component is null or exactly zero."""
+    return F.when((u != 0) & (v != 0), F.sqrt(u * u + v * v))
+
+
+def celsius(kelvin: Column) -> Column:
+    return kelvin - 273.15
+
+
+def area_key(wkt: Column) -> Column:
+    """Eight hex digits of the SHA-256 of an area's WKT."""
+    return F.substring(F.sha2(wkt, 256), 1, 8)

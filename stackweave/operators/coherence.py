@@ -124,3 +124,9 @@ def evaluate(maps: DataFrame, dt: float) -> DataFrame:
     """Mean coherence and floor of the maps of each season at an interval."""
     c = decay(F.col("g_inf"), F.col("g0"), F.col("tau"), F.lit(float(dt)))
     return maps.groupBy("season").agg(F.avg(c).alias("coh"), F.avg("g_inf").alias("floor"), F.count("*").alias("n"))
+
+
+def covers(maps: DataFrame, row: int, col: int) -> DataFrame:
+    """Seasons whose stored map's extent holds the point; others are stale for it."""
+    e = maps.groupBy("season").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    return e.where(F.lit(row).between(F.col("r0"), F.col("r1")) & F.lit(col).between(F.col("c0"), F.col("c1"))).select("season")
