@@ -5,7 +5,8 @@ then counted over the corpus: in how many distinct repositories (texts) and by h
 it occurs. A value that several owners hold is an example that people copy; one that a single owner holds, in
 letters mixed enough, looks live.
 
-Defined results: null and empty texts have no spans. Rows with a null source are an owner of their own. Repeated
+Defined results: null and empty texts have no spans. Rows that repeat a doc_id (or have none) get the spans of all
+of them together. Rows with a null source are an owner of their own. Repeated
 rows are one repository. A value that occurs twice in a text has two spans. Very long texts are scanned whole.
 """
 
