@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from . import text as X
-from .jaccard import only
+from .ids import one_per_id, only
 
 WIDTH = 50
 GRAM, SHORT = 28, 12
@@ -342,15 +342,6 @@ def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(x) // 2 for x in out[1]], pa.int64()), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary())], ["doc", "n_spans", "kept_sha256", "spans", "kept"])
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """(doc, text) with the text that sorts first of each repeated id; ids alone are counted."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).where("doc IS NOT NULL")
-    again = scratch.written(docs.groupBy("doc").count().where("count > 1").select("doc"), "again")
-    if again.isEmpty():
-        return docs
-    return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
-
-
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<long>: starts and ends of the removed runs).
 
