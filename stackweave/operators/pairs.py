@@ -119,3 +119,28 @@ def quality_class(score: Column, hundred: bool = False) -> Column:
     """good from .40, risky from .25, bad below; null: unknown."""
     x = score / 100 if hundred else score
     return F.when(score.isNull(), "unknown").when(x >= 0.40, "good").when(x >= 0.25, "risky").otherwise("bad")
+
+
+#: Baselines beyond this many metres are implausible.
+IMPLAUSIBLE = 5000.0
+#: Seconds of a revolution; node times off by more than NODE_TOLERANCE are off by whole revolutions.
+REVOLUTION, NODE_TOLERANCE = 5929, 600
+
+
+def route(bperp: Column) -> Column:
+    """missing, fallback for an implausible baseline, else ok."""
+    return F.when(bperp.isNull(), "missing").when(F.abs(bperp) > IMPLAUSIBLE, "fallback").otherwise("ok")
+
+
+def repaired_node_time(time: Column, expected: Column) -> Column:
+    """A node time moved by whole revolutions towards the expected one."""
+    off = time - expected
+    return F.when(F.abs(off) > NODE_TOLERANCE, time - F.bround(off / REVOLUTION, 0) * REVOLUTION).otherwise(time)
+
+
+def half_baseline_positions(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(stack, scene, position): means of half baselines, minus at the earlier end, zeroed at the stack's first scene."""
+    half = pairs.select("stack", F.inline(F.array(F.struct(F.col("ref").alias("scene"), (-F.col("bperp") / 2).alias("p")), F.struct(F.col("sec").alias("scene"), (F.col("bperp") / 2).alias("p")))))
+    mean = half.groupBy("stack", "scene").agg(F.avg("p").alias("p"))
+    first = mean.join(scenes.select("scene", "t"), "scene").groupBy("stack").agg(F.min_by("p", F.struct("t", "scene")).alias("zero"))
+    return mean.join(first, "stack").select("stack", "scene", (F.col("p") - F.col("zero")).alias("position"))

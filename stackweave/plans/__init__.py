@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables. Importing the package registers all of them."""
 
-from . import catalog, features, network, pixels, texts  # noqa: F401
+from . import catalog, features, network, pixels, scalars, texts  # noqa: F401
 from .adapters import WITH
 from .registry import QUERIES, SQL
 
