@@ -40,6 +40,8 @@ WIDTH = 50
 GRAM, SHORT = 28, 12
 PIECE = 4 << 20
 BUCKET_BYTES = 16 << 20
+#: Buckets at least, so that small inputs are dealt as finely as middling ones.
+LEAST_BUCKETS = 64
 
 
 def minimisers(total: np.ndarray, n: int, k: int, width: int = WIDTH) -> np.ndarray:
@@ -354,7 +356,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     copies = scratch.written(marks.join(classes, key).where("doc != class").select("doc", "n_bytes"), "copies")
     firsts = only(docs.where(F.octet_length("text") >= WIDTH), copies.select("doc"), "left_anti")
     n = marks.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(12, int(n // BUCKET_BYTES) + 1)
+    buckets = max(LEAST_BUCKETS, int(n // BUCKET_BYTES) + 1)
     sent = firsts.mapInArrow(send_minimisers(buckets), "bucket int, doc long, keys binary, docs binary, counts binary")
     hits = scratch.written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_minimisers, "doc long, keys binary"), "hits")
     lists = hits.groupBy("doc").agg(F.collect_list("keys").alias("shared"))
