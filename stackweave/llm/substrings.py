@@ -38,7 +38,7 @@ from .ids import one_per_id, only
 
 WIDTH = 50
 GRAM, SHORT = 28, 12
-PIECE = 4 << 20
+PIECE = 2 << 20
 BUCKET_BYTES = 16 << 20
 #: Buckets at least, so that small inputs are dealt as finely as middling ones.
 LEAST_BUCKETS = 64
