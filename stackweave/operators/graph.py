@@ -131,19 +131,33 @@ def adaptive_threshold(scored: DataFrame, weight: str = "coh", share: float = 1.
     return scored.groupBy("stack").applyInPandas(run, "stack string, threshold double, n_kept long, used double, n_used long, pixel_mask double")
 
 
-def propagated_baseline(pairs: DataFrame, scenes: DataFrame, rounds: int = 100) -> DataFrame:
+def propagate_stack(p: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+    """Baselines of one stack by breadth first search from its first scene; pairs without a baseline are no path."""
+    if s.empty:
+        return pd.DataFrame({"stack": [], "scene": [], "bperp": [], "resolved": []})
+    near: dict = {}
+    for r, c, d in p[["ref", "sec", "signed"]].dropna().itertuples(index=False):
+        near.setdefault(r, []).append((c, d))
+        near.setdefault(c, []).append((r, -d))
+    front = [s.sort_values(["t", "scene"])["scene"].iloc[0]]
+    at = {front[0]: 0.0}
+    while front:
+        new = []
+        for x in sorted(front):
+            for to, d in near.get(x, ()):
+                if to not in at:
+                    at[to] = at[x] + d
+                    new.append(to)
+        front = new
+    return pd.DataFrame({"stack": s["stack"], "scene": s["scene"], "bperp": [at.get(x, 0.0) for x in s["scene"]], "resolved": [x in at for x in s["scene"]]})
+
+
+def propagated_baseline(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
     """(stack, scene, bperp, resolved): signed baselines summed along pairs from each stack's first scene.
 
-    A frontier grows by one join a round; a scene takes the value of its smallest neighbour reached before. Scenes
-    that no path reaches get 0 and resolved false.
+    A scene takes the value of its smallest neighbour among those that fewer pairs reach. Scenes that no path reaches
+    get 0 and resolved false. A group holds the pairs and scenes of one stack; chains may have any length.
     """
-    both = cut(pairs.select("stack", F.inline(F.array(F.struct(F.col("ref").alias("scene"), F.col("sec").alias("to"), F.col("signed").alias("d")), F.struct(F.col("sec").alias("scene"), F.col("ref").alias("to"), (-F.col("signed")).alias("d"))))))
-    done = cut(scenes.groupBy("stack").agg(F.min_by("scene", F.struct("t", "scene")).alias("scene")).withColumn("bperp", F.lit(0.0)))
-    front = done
-    for _ in range(rounds):
-        step = front.join(both, ["stack", "scene"]).select("stack", F.col("to").alias("scene"), (F.col("bperp") + F.col("d")).alias("bperp"), F.col("scene").alias("via"))
-        front = cut(step.join(done, ["stack", "scene"], "left_anti").groupBy("stack", "scene").agg(F.min_by("bperp", "via").alias("bperp")))
-        if front.isEmpty():
-            break
-        done = cut(done.unionByName(front))
-    return scenes.select("stack", "scene").join(done, ["stack", "scene"], "left").select("stack", "scene", F.coalesce("bperp", F.lit(0.0)).alias("bperp"), F.col("bperp").isNotNull().alias("resolved"))
+    p, s = cut(pairs.select("stack", "ref", "sec", F.col("signed").cast("double").alias("signed"))), scenes.select("stack", "scene", "t")
+    kind = dict(s.dtypes)
+    return p.groupBy("stack").cogroup(s.groupBy("stack")).applyInPandas(propagate_stack, f"stack {kind['stack']}, scene {kind['scene']}, bperp double, resolved boolean")

@@ -244,3 +244,10 @@ def test_components_of_long_chains(spark):
     kept = graph.largest_component(p, s)
     assert kept.count() == 30
     assert isinstance(kept.toPandas(), pd.DataFrame)
+
+
+def test_propagated_baseline_of_long_chains(spark):
+    s = spark.createDataFrame([("a", i, i) for i in range(300)] + [("a", 900, 900), ("b", 7, 1)], "stack string, scene long, t long")
+    p = spark.createDataFrame([("a", i, i + 1, 0.5) for i in range(299)], "stack string, ref long, sec long, signed double")
+    got = {(r["stack"], r["scene"]): (r["bperp"], r["resolved"]) for r in graph.propagated_baseline(p, s).collect()}
+    assert got == {**{("a", i): (i / 2, True) for i in range(300)}, ("a", 900): (0.0, False), ("b", 7): (0.0, True)}
