@@ -72,17 +72,17 @@ class Rule:
         return int(np.searchsorted(self.bands(), n, "right")) - 1
 
     def member_of(self, n: int) -> list[int]:
-        """Bands of a set of n shingles, without those in which only equal sets link."""
+        """Bands of a set of n shingles: its own, and the one below if a set there can be similar but not equal."""
         own = self.band_of(n)
         below = [own - 1] if own and n * self.num <= (self.bands()[own] - 1) * self.den else []
-        return [b for b in [own, *below] if self.parts(b)[0]]
+        return [own, *(b for b in below if self.parts(b)[0])]
 
     @lru_cache(None)  # noqa: B019
     def parts(self, band: int) -> tuple[int, int]:
-        """(D, SPARE) of a band."""
+        """(D, SPARE) of a band. Where D is 0 only equal sets link: one part holds the whole set."""
         top = self.bands()[band + 1] - 1
         d = self.differ(top + top * self.den // self.num)
-        return d, 1 + d // 12
+        return d, 1 + d // 12 if d else 0
 
     @lru_cache(None)  # noqa: B019
     def width(self, band: int) -> int:

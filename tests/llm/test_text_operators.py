@@ -70,6 +70,19 @@ def test_jaccard_keep_one(docs):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in brute_components(5, 80, 100).items() if d == c}
 
 
+@pytest.mark.parametrize("k,num", [(3, 90), (5, 80)])
+def test_jaccard_equal_sets_of_unequal_short_texts(spark, k, num):
+    """Texts of few shingles that differ in case, white space or repeats link; more than FEW of them, too."""
+    base = ["one", "One two", "one two three four", "a b c d e f g h", "x y x y x y x y x y"]
+    forms = [str, str.upper, str.title, lambda t: f"{t}\n", lambda t: f" {t}", lambda t: t.replace(" ", "\t"), lambda t: t.replace(" ", "  "), lambda t: f"{t} \n"]
+    text = dict(enumerate([*(f(t) for t in base[:3] for f in forms), *(f(t) for t in base[3:] for f in forms[:3]), "x y x y x y", "one two three five", "", " "], 1))
+    made = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(made, jaccard.Rule(k, num, 100)).collect()}
+    assert got == brute_components(k, num, 100, text)
+    kept = {r["doc_id"] for r in jaccard.keep_one(made, jaccard.Rule(k, num, 100)).collect()}
+    assert kept == {d for d, (_, c) in got.items() if d == c}
+
+
 def test_jaccard_pigeonhole_bound():
     """More than SPARE parts agree for every pair within the bound, and bands meet."""
     r = np.random.default_rng(0)
