@@ -211,10 +211,11 @@ def sizes_fit(rule: Rule):
 
 
 def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed: DataFrame | None, rule: Rule) -> DataFrame:
-    """Links (a, b) that may join two components, from parts that many documents share.
+    """Links (key, a, b, more) that may join two components, from parts that many documents share.
 
     rows: (key, doc, g). A part's documents are dealt into blocks by hash; each pair of blocks is one group, which
-    compares its documents by their sketches and gives a spanning forest over the components it was given.
+    compares its documents by their sketches and gives a spanning forest over the components it was given. When parts
+    are compared anew, more marks the links of a document that has others than the AT_ONCE it gives.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("g") / BLOCK)).cast("int")
     with_sketch = rows.withColumn("band", F.col("key").bitwiseAND(255).cast("int")).join(table.select("doc", "band", "n", "sketch"), ["doc", "band"])
@@ -239,7 +240,7 @@ def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed:
         bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(doc), -1)
         bits = bits.view(np.uint64)
         place = {d: k for k, d in enumerate(doc.tolist())} if t["no"].null_count < len(doc) else {}
-        a, b = [], []
+        a, b, more = [], [], []
         parent = {c: c for c in comp.tolist()}
 
         def root(c: int) -> int:
@@ -264,7 +265,8 @@ def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed:
             for v in np.flatnonzero(near.any(1)).tolist():
                 us = np.flatnonzero(near[v])
                 if anew:
-                    # edges failed here: several at once, the nearest first; what is left comes in later rounds
+                    # compared anew: several at once, the nearest first; what is left comes in later rounds
+                    more += [len(us) > AT_ONCE] * min(len(us), AT_ONCE)
                     us = us[np.argsort(apart[v, us], kind="stable")][:AT_ONCE]
                     a += [doc[s + v]] * len(us)
                     b += doc[us].tolist()
@@ -276,10 +278,10 @@ def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed:
                     x, y = root(comp[s + v]), root(comp[u])
                     if x != y:
                         parent[x] = y
-                        a.append(doc[s + v]), b.append(doc[u])
-        return pa.table({"key": t["key"].slice(0, 1).take(pa.array(np.zeros(len(a), np.int64))), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                        a.append(doc[s + v]), b.append(doc[u]), more.append(False)
+        return pa.table({"key": t["key"].slice(0, 1).take(pa.array(np.zeros(len(a), np.int64))), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, a long, b long").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, a long, b long, more boolean").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "more")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -338,7 +340,7 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
             pairs = pairs.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
         else:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
-        pairs = pairs.withColumn("key", F.lit(None).cast("long"))
+        pairs = pairs.withColumn("key", F.lit(None).cast("long")).withColumn("more", F.lit(False))
         if many is not None:
             pairs = pairs.unionByName(forests(many, sketch, label, failed, rule))
         pairs = scratch.written(pairs, "pairs")
@@ -349,8 +351,10 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         yes, no = done.where("linked").select("a", "b"), done.where("NOT linked").select("a", "b")
         linked = yes if linked is None else linked.unionAll(yes)
         failed = no if failed is None else failed.unionAll(no)
-        # a part whose forest held has nothing left to join; only those with an edge that failed are compared anew
-        again = scratch.written(pairs.where("key IS NOT NULL").join(no, ["a", "b"], "left_semi").select("key").distinct(), "again")
+        # a part whose forest held has nothing left to join; only those with an edge that failed, or with links that
+        # were not given yet, are compared anew
+        given = pairs.where("key IS NOT NULL")
+        again = scratch.written(given.join(no, ["a", "b"], "left_semi").select("key").unionAll(given.where("more").select("key")).distinct(), "again")
         many = many.join(again, "key", "left_semi") if many is not None and not again.isEmpty() else None
         if label is None or not yes.isEmpty():
             label = scratch.written(components(linked), "labels")

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from stackweave.llm import decontamination, fingerprints, ids, jaccard, lines, queries, secrets, sentencepiece_viterbi, substrings, tokens
 from stackweave.llm import text as X
@@ -83,6 +84,20 @@ def test_jaccard_equal_sets_of_unequal_short_texts(spark, k, num):
     assert kept == {d for d, (_, c) in got.items() if d == c}
 
 
+def test_jaccard_links_beyond_those_given_at_once(spark, monkeypatch):
+    """A part compared anew is kept until each document gave all its links, though none of the last round failed."""
+    # 4 links with 1, 2 and 3, which only seem to link with each other (1 with 2, 2 with 3); the rest is far
+    bits = {1: range(5), 2: [0, 1, 2, 10, 11, 12], 3: range(10, 17), 4: [], **{d: range(d * 40, d * 40 + 40) for d in range(5, 9)}}
+    packed = {d: np.packbits(np.isin(np.arange(512), list(b)).astype(np.uint8)).tobytes() for d, b in bits.items()}
+    table = spark.createDataFrame([(d, 95, 10, [12345 << 8 | 10], bytearray(b)) for d, b in packed.items()], "doc long, n long, band int, keys array<long>, sketch binary")
+    monkeypatch.setattr(jaccard, "AT_ONCE", 1)
+    monkeypatch.setattr(jaccard, "sketches", lambda docs, rule: table)
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, docs, rule: pairs.select("a", "b", (F.greatest("a", "b") == 4).alias("linked")))
+    made = spark.createDataFrame([(d, f"text {d}") for d in bits], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(made).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
 def test_jaccard_pigeonhole_bound():
     """More than SPARE parts agree for every pair within the bound, and bands meet."""
     r = np.random.default_rng(0)
