@@ -16,7 +16,9 @@ Candidates of a part come as pairs if few documents share it; else the documents
 by a second, explicit parity sketch, and give a spanning forest of what may link, never all pairs. The same explicit
 sketch sifts the pairs. All that is left is verified on the whole sets. Since a forest's edge may fail, parts are
 compared anew, without the failed edges, until they hold nothing that could join two components: no link between
-different texts is lost.
+different texts is lost. All links lie within components: there each pair of classes is compared once, on the whole
+sets, for the numbers of links; pairs are counted in blocks and never listed. That work grows with the square of a
+component's classes.
 
 Equal texts are one class from the start: its smallest doc_id stands for it. Null and empty texts, or texts without
 words, have no shingles and link with nothing. A null doc_id is left out. Rows that repeat a doc_id count once, with
@@ -48,6 +50,10 @@ BUCKET_BYTES = 24 << 20
 #: Edges a document gives at once when a part is compared anew. All get their turn.
 AT_ONCE = 32
 ROUNDS = 200
+#: Documents and shingles of a block when links are counted; larger components are counted block by block.
+COUNT_DOCS, COUNT_SHINGLES = 2048, 1 << 19
+#: Documents up to which those of a shingle are counted pair by pair, above by matrix products.
+RARE = 32
 
 
 @dataclass(frozen=True)
@@ -284,9 +290,8 @@ def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, a long, b long, more boolean").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "more")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """pairs (a, b) with linked boolean, from the whole sets of both texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """(doc, set): the sorted shingle hashes of the documents with the ids, as raw 64-bit integers."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, at in X.pieces(batches, "text"):
@@ -294,6 +299,13 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             got = list(X.shingles(word, first, rule.words))
             yield pa.RecordBatch.from_arrays([rows.column("doc"), X.binary_rows(np.concatenate(got or [np.zeros(0, np.uint64)]), np.cumsum([len(x) for x in got]))], ["doc", "set"])
 
+    return only(docs, ids).mapInArrow(sets, "doc long, set binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """pairs (a, b) with linked boolean, from the whole sets of both texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in batches:
             linked = []
@@ -303,16 +315,83 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
                 linked.append(rule.den * both >= rule.num * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([p.column("a"), p.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    table = scratch.written(only(docs, ids).mapInArrow(sets, "doc long, set binary"), "sets")
+    table = scratch.written(shingle_sets(docs, ids, rule), "sets")
     joined = pairs.join(table.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), "a").join(table.select(F.col("doc").alias("b"), F.col("set").alias("set_b")), "b")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+def link_counts(sets: list[np.ndarray], own: np.ndarray | None, rule: Rule) -> np.ndarray:
+    """The links of each set with the others; given blocks (own), only with those of another block."""
+    n = np.array([len(x) for x in sets], np.int64)
+    m = len(n)
+    owner = np.repeat(np.arange(m), n)
+    shingle = np.concatenate(sets)
+    order = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+    size = np.diff(np.append(begin, len(shingle)))
+    both = np.zeros((m, m), np.float32 if n.max() < 1 << 24 else np.float64)  # whole numbers are exact
+    rare = RARE if m > 2 * RARE else 1
+    for g in np.unique(size[(size > 1) & (size <= rare)]).tolist():
+        at = begin[size == g]
+        for i in range(g):
+            for j in range(i + 1, g):
+                np.add.at(both, (owner[at + i], owner[at + j]), 1)
+    at, size = begin[size > rare], size[size > rare]
+    step = max(1, (8 << 20) // m)
+    for s in range(0, len(at), step):
+        k = size[s : s + step]
+        has = np.zeros((m, len(k)), both.dtype)
+        has[owner[X.ragged(at[s : s + step], k)], np.repeat(np.arange(len(k)), k)] = 1
+        both += has @ has.T
+    count = np.zeros(m, np.int64)
+    for v in range(m - 1):
+        same = both[v, v + 1 :].astype(np.int64)
+        linked = (same > 0) & (rule.den * same >= rule.num * (n[v] + n[v + 1 :] - same))
+        if own is not None:
+            linked &= own[v + 1 :] != own[v]
+        count[v] += linked.sum()
+        count[v + 1 :] += linked
+    return count
+
+
+def degrees(label: DataFrame, sizes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n_linked): the links of each class with other classes, of label (id, component) and sizes (doc, n).
+
+    A component of two has one link. Small components are counted many in a group; the documents of a large one are
+    dealt into blocks by hash, and each pair of blocks is a group. The groups' counts are summed.
+    """
+    members = scratch.written(label.join(sizes.withColumnRenamed("doc", "id"), "id").select("id", "component", "n"), "members")
+    whole = scratch.written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("total")), "whole")
+    pairs = members.join(whole.where("m = 2"), "component").select(F.col("id").alias("class"), F.lit(1).cast("long").alias("n_linked"))
+    large = whole.where("m > 2").withColumn("blocks", F.greatest(F.ceil(F.col("m") / COUNT_DOCS), F.ceil(F.col("total") / COUNT_SHINGLES)).cast("int"))
+    mine = members.join(large, "component").select(F.col("id").alias("doc"), "component", "blocks")
+    small = large.where("blocks = 1").agg(F.sum("total")).first()[0] or 0
+    groups = int(small // COUNT_SHINGLES) + 1
+    mine = mine.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one = F.col("blocks") == 1
+    dealt = mine.select("doc", "component", "own", one.alias("small"), F.when(one, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.col("component")).alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = scratch.written(shingle_sets(docs, mine.select("doc").distinct(), rule), "component-sets")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("component")
+        comp, own = t["component"].to_numpy(), t["own"].to_numpy()
+        got = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        cross = t["i"][0].as_py() != t["j"][0].as_py()
+        edge = [*np.flatnonzero(np.concatenate([[True], comp[1:] != comp[:-1]])).tolist(), len(comp)]
+        count = np.concatenate([link_counts(got[s:e], own[s:e] if cross else None, rule) for s, e in zip(edge, edge[1:])])
+        return pa.table({"class": t["doc"], "n": pa.array(count)})
+
+    counted = dealt.join(sets, "doc").groupBy("small", "g", "i", "j").applyInArrow(run, "class long, n long")
+    return pairs.unionAll(counted.groupBy("class").agg(F.sum("n").alias("n_linked")))
+
+
+def link(docs: DataFrame, rule: Rule = Rule(), count: bool = True) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_linked) per document.
 
     class_id is the smallest doc_id with the same text, component_id the smallest that links reach (itself
-    included), n_linked the verified links of the class that the component's forest used.
+    included), n_linked the number of other classes that the class links with (without
+    count: null).
     """
     spark = docs.sparkSession
     docs = one_per_id(docs)
@@ -364,14 +443,17 @@ def link(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     out = marks.select("doc").join(copies, "doc", "left").withColumn("class", F.coalesce("class", "doc")).join(sizes.withColumnRenamed("doc", "class"), "class", "left")
     if linked is None:
         linked, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
-    degree = linked.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_linked"))
-    out = out.join(label.withColumnRenamed("id", "class"), "class", "left").join(degree, "class", "left")
+    out = out.join(label.withColumnRenamed("id", "class"), "class", "left")
+    if count:
+        out = out.join(scratch.written(degrees(label, sizes, docs, rule), "degrees"), "class", "left").fillna(0, ["n_linked"])
+    else:
+        out = out.withColumn("n_linked", F.lit(None).cast("long"))
     # a class without shingles is nobody's copy
     own = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "class"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), own.alias("component_id"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("class").alias("class_id"), own.alias("component_id"), "n_linked")
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
     """docs without the documents that link, directly or through others, to one with a smaller doc_id."""
-    gone = link(docs, rule).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("doc"))
+    gone = link(docs, rule, count=False).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("doc"))
     return only(docs.withColumn("doc", F.col("doc_id").cast("long")), gone, "left_anti").select(*docs.columns)

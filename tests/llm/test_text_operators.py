@@ -98,6 +98,30 @@ def test_jaccard_links_beyond_those_given_at_once(spark, monkeypatch):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8}
 
 
+@pytest.mark.parametrize("size", [(2048, 1 << 19), (3, 200)])
+def test_jaccard_number_of_links(docs, size, monkeypatch):
+    """All links of a class are counted, in one block or in several."""
+    for name, v in zip(("COUNT_DOCS", "COUNT_SHINGLES"), size):
+        monkeypatch.setattr(jaccard, name, v)
+    got = {r["doc_id"]: r["n_linked"] for r in jaccard.link(docs, jaccard.Rule(2, 70, 100)).collect()}
+    first, s = {}, {d: shingles(t, 2) for d, t in TEXT.items()}
+    for d in sorted(TEXT):
+        first.setdefault(TEXT[d], d)
+    alike = lambda a, b: a != b and s[a] & s[b] and 100 * len(s[a] & s[b]) >= 70 * len(s[a] | s[b])
+    assert got == {d: sum(bool(alike(first[t], b)) for b in first.values()) for d, t in TEXT.items()}
+    assert max(got.values()) > 2
+
+
+def test_jaccard_counts_of_sets():
+    r = np.random.default_rng(1)
+    base = np.arange(60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(60) > 0.05], r.integers(100, 140, 3).astype(np.uint64)])) for _ in range(150)]
+    rule, own = jaccard.Rule(3, 80, 100), r.integers(0, 2, 150)
+    alike = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets]) & ~np.eye(150, dtype=bool)
+    assert (jaccard.link_counts(sets, None, rule) == alike.sum(1)).all()
+    assert (jaccard.link_counts(sets, own, rule) == (alike & (own[:, None] != own)).sum(1)).all()
+
+
 def test_jaccard_pigeonhole_bound():
     """More than SPARE parts agree for every pair within the bound, and bands meet."""
     r = np.random.default_rng(0)
