@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import decay, season
+from .cut import cut
 
 STEPS = 40
 NO_FIT = (0.0, 1.0, 30.0)
@@ -112,12 +113,34 @@ def chained(segments: DataFrame, params: DataFrame, keys: list[str]) -> DataFram
 
 
 def pixel_chained(segments: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:
-    """Per pair the mean over pixels (season, pixel, g_inf, g0, tau) that are valid in all its segments."""
-    need = segments.groupBy(*keys).agg(F.count("*").alias("need"))
-    days = F.sum("days")
-    ginf, g0 = F.sum(F.col("days") * F.col("g_inf")) / days, F.sum(F.col("days") * F.col("g0")) / days
-    each = segments.join(maps, "season").groupBy(*keys, *pixel).agg((ginf + (g0 - ginf) * F.exp(-F.sum(F.col("days") / F.col("tau")))).alias("c"), ginf.alias("f"), F.count("*").alias("have"))
-    return each.join(need, keys).where("have = need").groupBy(*keys).agg(F.round(F.avg(F.greatest("c", "f")), 4).alias("coh"), F.round(F.avg("f"), 4).alias("floor"), F.count("*").alias("n_pixels"))
+    """Per pair the mean over pixels (season, pixel, g_inf, g0, tau) that are valid in all its segments.
+
+    Pairs with the same list of (season, days) have the same mean. The distinct lists, whose number the longest
+    interval bounds, are sent to all batches of pixels, whose sums are added up: no pair meets a pixel.
+    """
+    one = F.transform(F.array_sort(F.collect_list(F.struct("season", "days"))), lambda x: F.concat_ws(":", x["season"], x["days"]))
+    spans = cut(segments.groupBy(*keys).agg(F.array_join(one, ",").alias("spans")))
+    distinct = [r["spans"] for r in spans.select("spans").distinct().toLocalIterator()]
+    shared = maps.sparkSession.sparkContext.broadcast([(k, [(s, int(d)) for s, d in (x.split(":") for x in k.split(","))]) for k in distinct])
+    value = lambda s, c: F.max(F.when(F.col("season") == s, F.col(c))).cast("double").alias(f"{s}_{c}")
+    wide = maps.groupBy(*pixel).agg(*(value(s, c) for s in SEASON_ORDER for c in ("g_inf", "g0", "tau")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            at = {s: [p[f"{s}_{c}"].to_numpy(float) for c in ("g_inf", "g0", "tau")] for s in SEASON_ORDER}
+            rows = []
+            for k, parts in shared.value:
+                days = sum(d for _, d in parts)
+                f, g0 = (sum(d * at[s][c] for s, d in parts) / days for c in (0, 1))
+                c = f + (g0 - f) * np.exp(-sum(d / at[s][2] for s, d in parts))
+                ok = ~np.isnan(c)
+                if ok.any():
+                    rows.append((k, np.maximum(c, f)[ok].sum(), f[ok].sum(), int(ok.sum())))
+            yield pd.DataFrame(rows, columns=["spans", "c", "f", "n"])
+
+    n = F.sum("n")
+    means = wide.mapInPandas(run, "spans string, c double, f double, n long").groupBy("spans").agg(F.round(F.sum("c") / n, 4).alias("coh"), F.round(F.sum("f") / n, 4).alias("floor"), n.alias("n_pixels"))
+    return spans.join(means, "spans").select(*keys, "coh", "floor", "n_pixels")
 
 
 def evaluate(maps: DataFrame, dt: float) -> DataFrame:

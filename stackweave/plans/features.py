@@ -11,7 +11,7 @@ from ..operators import coherence as K
 from ..operators import features as E
 from ..operators import pairs as P
 from .adapters import LEVELS, WITH, collapsed, samples, site_days, table
-from .registry import query
+from .registry import SQL, query
 
 # pair features: days of a site up to 12 apart, with land cover, vegetation and baselines derived from the keys
 PAIRS = """, sums AS (
@@ -153,7 +153,17 @@ POINTS = "greatest(0, least(100, round_even((1 - (pow({c}, 2) + 0.25 * least(1,
 @query(WITH + PAIRS + f"SELECT site, t_d1, t_d2, CASE WHEN coalesce(temp_max_d1 > 0 AND snow_cover_frac_d1 > 0.3, false) OR coalesce(temp_max_d2 > 0 AND snow_cover_frac_d2 > 0.3, false) THEN 0 ELSE {POINTS} END AS score100, 'coherence' AS tier FROM (SELECT *, CAST((site * 3 + t_d1 + t_d2 * 5) % 60 AS DOUBLE) / 100 AS coh FROM fv) WHERE site % 3 <> 0")
 def quality_coherence(spark: SparkSession, folder: str) -> DataFrame:
     """Points from the coherence, with the weather's penalties."""
-    f = features(spark, folder).where("site % 3 != 0").withColumn("coherence_expected", F.pmod(F.col("site") * 3 + F.col("t_d1") + F.col("t_d2") * 5, F.lit(60)).cast("double") / 100)
+    return coherence_points(features(spark, folder).where("site % 3 != 0"))
+
+
+@query(SQL["quality_coherence"].replace(" WHERE site % 3 <> 0", ""))
+def quality_coherence_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for all sites."""
+    return coherence_points(features(spark, folder))
+
+
+def coherence_points(f: DataFrame) -> DataFrame:
+    f = f.withColumn("coherence_expected", F.pmod(F.col("site") * 3 + F.col("t_d1") + F.col("t_d2") * 5, F.lit(60)).cast("double") / 100)
     f = f.withColumns({"coherence_source": F.lit("s3"), "coherence_climatology": F.lit(None).cast("double"), "lc_dominant_class": F.lit(10), "ndvi_max": F.greatest("ndvi_d1", "ndvi_d2")})
     return f.select("site", "t_d1", "t_d2", Q.coherence_score().alias("s")).select("site", "t_d1", "t_d2", "s.score100", "s.tier")
 
@@ -182,11 +192,17 @@ SELECT stack, ref, sec, unnest(range(len(p) - 1)) AS i, unnest(p[1:len(p) - 1])
 SELECT a.stack, a.scene AS ref, b.scene AS sec, a.day AS d1, b.day AS d2 FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND b.t - a.t BETWEEN 1 AND 120 WHERE a.path < 5)))""")
 def coherence_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of pairs cut at the seasons' first days."""
-    return pair_segments(spark, folder).select("stack", "ref", "sec", "segment", "days", "season")
+    return pair_segments(collapsed(spark, folder).where("path < 5"))
 
 
-def pair_segments(spark: SparkSession, folder: str) -> DataFrame:
-    p = P.all_pairs(collapsed(spark, folder).where("path < 5"), 120)
+@query(SQL["coherence_segments"].replace(" WHERE a.path < 5", ""))
+def coherence_segments_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for all stacks."""
+    return pair_segments(collapsed(spark, folder))
+
+
+def pair_segments(scenes: DataFrame) -> DataFrame:
+    p = P.all_pairs(scenes, 120)
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
     return p.select("stack", "ref", "sec", F.posexplode(K.season_segments(day("t_ref"), day("t_sec"), F.lit(45.0))).alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
 
@@ -216,23 +232,22 @@ def coherence_decay_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def coherence_chained(spark: SparkSession, folder: str) -> DataFrame:
     """Q5: coherence of pairs chained over their seasons."""
-    return K.chained(pair_segments(spark, folder), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
+    return K.chained(pair_segments(collapsed(spark, folder)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
 
 
 @query()
 def coherence_climatology(spark: SparkSession, folder: str) -> DataFrame:
     """The same from the climatology of the pair's band of latitude."""
     spark_levels = K.climatology(spark).where("band = 40").select("season", "lag", "coh")
-    return K.chained(pair_segments(spark, folder), K.fit_pixels(spark_levels, ["season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"])
+    return K.chained(pair_segments(collapsed(spark, folder)), K.fit_pixels(spark_levels, ["season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"])
 
 
 @query()
 def coherence_pixelwise(spark: SparkSession, folder: str) -> DataFrame:
     """Q7 Q10: each part is a pixel; mean over the pixels that are valid in all of a pair's seasons."""
-    s = samples(spark, folder).where("coh > 0 AND coh < 255 AND part % 10 = 0")
+    s = samples(spark, folder).where("coh > 0 AND coh < 255")
     maps = K.fit_pixels(s.groupBy("part", "season", "lag").agg((F.avg("coh") / 100).alias("coh")), ["part", "season"], LEVELS).where("n_lags >= 3")
-    pairs = pair_segments(spark, folder).where("stack LIKE '1:%'")
-    return K.pixel_chained(pairs, maps, ["stack", "ref", "sec"], ["part"])
+    return K.pixel_chained(pair_segments(collapsed(spark, folder)), maps, ["stack", "ref", "sec"], ["part"])
 
 
 @query("SELECT pair, strftime(day, 'A%Y%j') AS code, CAST(CASE WHEN site % 2 = 0 THEN 1 ELSE -1 END * (site % 90) // 10 * 10 AS INT) AS lat, n FROM (SELECT site || '/' || t AS pair, day, site, n FROM site_days)")

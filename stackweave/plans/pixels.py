@@ -158,6 +158,13 @@ def pixel_coherence(spark: SparkSession, folder: str) -> DataFrame:
     return c.where("ref = 1 AND row < 16 AND col < 32").select("ref", "sec", "row", "col", F.round("coherence", 6).alias("coherence"))
 
 
+@query()
+def pixel_coherence_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for all pixels of all pairs; the join of boxes is too slow as SQL."""
+    s = images(spark, folder)
+    return X.coherence(X.interferograms(s, image_pairs(s))).select("ref", "sec", "row", "col", F.round("coherence", 6).alias("coherence"))
+
+
 @query("SELECT c_custkey, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, tile FROM (SELECT c_custkey, (n + h) * cos(radians(la)) * cos(radians(lo)) AS x, (n + h) * cos(radians(la)) * sin(radians(lo)) AS y, (n * (1 - 0.0066943799901413165) + h) * sin(radians(la)) AS z, (CASE WHEN floor(la) >= 0 THEN 'N' ELSE 'S' END) || lpad(CAST(abs(CAST(floor(la) AS INT)) AS VARCHAR), 2, '0') || (CASE WHEN floor(lo) >= 0 THEN 'E' ELSE 'W' END) || lpad(CAST(abs(CAST(floor(lo) AS INT)) AS VARCHAR), 3, '0') AS tile FROM (SELECT *, 6378137.0::DOUBLE / sqrt(1 - 0.0066943799901413165::DOUBLE * power(sin(radians(la)), 2)) AS n FROM (SELECT c_custkey, CAST(c_custkey % 160 AS DOUBLE) - 80 AS la, CAST(c_custkey % 350 AS DOUBLE) - 175 AS lo, c_acctbal AS h FROM customer)))")
 def geo_ecef(spark: SparkSession, folder: str) -> DataFrame:
     """Geodetic to earth-centred coordinates; tile names."""
@@ -256,7 +263,7 @@ def inversion_pixels(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def inversion_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted least squares."""
-    ts = I.invert_pixels(phases(spark, folder).where("row < 32"), NETWORK, T_DATES, weighted=True)
+    ts = I.invert_pixels(phases(spark, folder), NETWORK, T_DATES, weighted=True)
     return ts.select("row", "col", "t", F.round("value", 6).alias("value"))
 
 
@@ -320,7 +327,7 @@ def series_velocity_std(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def series_velocity_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Spread of velocities over resampled dates."""
-    return I.bootstrap_velocity(series(spark, folder).where("row < 16"), 40).select("row", "col", F.round("velocity_std", 6).alias("velocity_std"), "n")
+    return I.bootstrap_velocity(series(spark, folder), 40).select("row", "col", F.round("velocity_std", 6).alias("velocity_std"), "n")
 
 
 @query()

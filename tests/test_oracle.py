@@ -4,7 +4,7 @@ import pytest
 
 from stackweave import plans
 
-from .oracle import of_query, of_sql
+from .oracle import FOLDER, of_query, of_sql
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
@@ -16,6 +16,17 @@ def test_query(spark, name):
         assert got[0]
 
 
+def test_whole_tables(spark):
+    """Queries without a filter in their SQL reach all stacks and pixels; those with one have a whole twin."""
+    count = lambda name: plans.QUERIES[name](spark, FOLDER)
+    stacks = count("coherence_segments_all").select("stack").distinct().count()
+    assert stacks > 25
+    for name in ("coherence_chained", "coherence_pixelwise"):
+        assert count(name).select("stack").distinct().count() == stacks
+    for name in ("inversion_weighted", "series_velocity_bootstrap"):
+        assert count(name).select("row", "col").distinct().count() == count("series_velocity").count()
+
+
 def test_entry(spark):
     import __spark_entry__
 
