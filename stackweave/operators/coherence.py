@@ -99,12 +99,12 @@ def fit_pixels(levels: DataFrame, keys: list[str], lags: tuple[int, ...]) -> Dat
     return wide.mapInPandas(run, f"{fields}, n_lags long, g_inf double, g0 double, tau double")
 
 
-def chained(segments: DataFrame, params: DataFrame, keys: list[str]) -> DataFrame:
-    """Coherence of pairs whose segments (keys, days, season) meet their season's parameters; null if one lacks them.
+def chained(segments: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ("season",)) -> DataFrame:
+    """Coherence of pairs whose segments (keys, days, season) meet the parameters of ``on``; null if one lacks them.
 
     Floors and starts are means weighted by days, decays add up.
     """
-    joined = segments.join(F.broadcast(params), "season", "left")  # four rows, one a season
+    joined = segments.join(F.broadcast(params), list(on), "left")  # four rows, one a season, or so for each band
     days = F.sum("days")
     ginf, g0 = F.sum(F.col("days") * F.col("g_inf")) / days, F.sum(F.col("days") * F.col("g0")) / days
     total = ginf + (g0 - ginf) * F.exp(-F.sum(F.col("days") / F.col("tau")))

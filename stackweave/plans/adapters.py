@@ -6,7 +6,7 @@ events is a site, an embedding is a tile of 8 x 8 pixels, a line of an order a c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEVELS = (12, 24, 36, 48)
@@ -37,6 +37,11 @@ def scenes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def latitude(path: Column) -> Column:
+    """The tables have no latitude: a path stands at one of its own, on both sides of the equator."""
+    return (F.when(F.pmod(path, F.lit(2)) == 0, 1.0).otherwise(-1.0) * F.pmod(path * 7 + 3, F.lit(90))).cast("double")
+
+
 def collapsed(spark: SparkSession, folder: str) -> DataFrame:
     """scenes with one scene per stack and day."""
     from ..operators.catalog import collapse_by_date

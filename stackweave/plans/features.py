@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import catalog as N
@@ -10,7 +10,7 @@ from ..functions import scores as Q
 from ..operators import coherence as K
 from ..operators import features as E
 from ..operators import pairs as P
-from .adapters import LEVELS, WITH, collapsed, samples, site_days, table
+from .adapters import LEVELS, WITH, collapsed, latitude, samples, site_days, table
 from .registry import SQL, query
 
 # pair features: days of a site up to 12 apart, with land cover, vegetation and baselines derived from the keys
@@ -201,10 +201,11 @@ def coherence_segments_all(spark: SparkSession, folder: str) -> DataFrame:
     return pair_segments(collapsed(spark, folder))
 
 
-def pair_segments(scenes: DataFrame) -> DataFrame:
+def pair_segments(scenes: DataFrame, lat: Column | None = None) -> DataFrame:
+    lat = F.lit(45.0) if lat is None else lat
     p = P.all_pairs(scenes, 120)
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
-    return p.select("stack", "ref", "sec", F.posexplode(K.season_segments(day("t_ref"), day("t_sec"), F.lit(45.0))).alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
+    return p.select("stack", "ref", "sec", F.posexplode(K.season_segments(day("t_ref"), day("t_sec"), lat)).alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
 
 
 @query("SELECT season, lag, round(avg(coh), 6) AS coh, count(*) AS n FROM samples WHERE coh > 0 AND coh < 255 GROUP BY season, lag HAVING count(*) >= 30")
@@ -238,8 +239,9 @@ def coherence_chained(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def coherence_climatology(spark: SparkSession, folder: str) -> DataFrame:
     """The same from the climatology of the pair's band of latitude."""
-    spark_levels = K.climatology(spark).where("band = 40").select("season", "lag", "coh")
-    return K.chained(pair_segments(collapsed(spark, folder)), K.fit_pixels(spark_levels, ["season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"])
+    lat = latitude(F.split("stack", ":")[0].cast("long"))
+    segments = pair_segments(collapsed(spark, folder), lat).withColumn("band", K.band_of(lat))
+    return K.chained(segments, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band", "season"))
 
 
 @query()
