@@ -28,6 +28,8 @@ from . import scratch
 MIN_CHARS = 10
 FANOUT = 4
 BUCKETS = 24
+#: Bytes of text of a batch.
+BATCH_BYTES = 1 << 30
 KEY = ["h1", "h2"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = (1 << 63) - 1
@@ -144,9 +146,16 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted({int(x) for x in got or []})
 
 
-def dedup_lines(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
-    """All documents, taken into new runs in ``batches`` batches of ascending doc_id; see without_lines()."""
+def batches_of(docs: DataFrame, fanout: int = FANOUT) -> int:
+    """Batches of BATCH_BYTES, and so many at least that runs are compacted."""
+    n = docs.select(F.octet_length("text").cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(fanout + 1, -(-n // BATCH_BYTES))
+
+
+def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
+    """All documents, taken into new runs in ``batches`` batches of ascending doc_id (None: batches_of()); see without_lines()."""
     spark = docs.sparkSession
+    batches = batches_of(docs, fanout) if batches is None else batches
     runs = LineRuns(spark, fanout)
     bounds = batch_bounds(docs, batches)
     batch = F.lit(0)
@@ -164,7 +173,7 @@ def dedup_lines(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS, f
     return without_lines(docs, dropped)
 
 
-def keep_unique_lines(docs: DataFrame, batches: int = 3, min_chars: int = MIN_CHARS) -> DataFrame:
+def keep_unique_lines(docs: DataFrame, batches: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with its columns, text without the dropped lines; documents left without a word go."""
     out = dedup_lines(docs, batches, min_chars)
     return out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.col("kept_text"), F.lit(" \t\n\x0b\x0c\r"))) > 0)).select(*(F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -211,6 +211,16 @@ def test_lines(docs):
     assert lines.keep_unique_lines(docs).columns == docs.columns
 
 
+def test_line_runs_are_compacted_by_default(docs, monkeypatch):
+    """The default number of batches merges runs of a level, and grows with the bytes."""
+    written, write = [], lines.LineRuns._write
+    monkeypatch.setattr(lines.LineRuns, "_write", lambda self, hashes, level: written.append(level) or write(self, hashes, level))
+    assert lines.dedup_lines(docs).count() == docs.count()
+    assert max(written) == 1
+    monkeypatch.setattr(lines, "BATCH_BYTES", 1000)
+    assert lines.batches_of(docs) == -(-sum(len(t.encode()) for t in TEXT.values()) // 1000)
+
+
 def test_line_runs_take_batches_in(spark):
     runs = lines.LineRuns(spark, fanout=2, buckets=2)
     seen = set()
