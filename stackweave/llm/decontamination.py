@@ -6,8 +6,8 @@ of the documents' windows meet those of the benchmark's. Around each hit the ite
 by word without gaps, and the overlap is verified: the document is contaminated by the item if some window of
 WINDOW words (the whole item if it is shorter) has at least NUM / DEN of them equal.
 
-Null and empty texts are never contaminated; items without words contaminate nothing. Items shorter than a mask are
-sought as a whole. A document that holds an item several times has one row for it, with the longest overlap (ties:
+Null and empty texts are never contaminated; items without words contaminate nothing. For items
+shorter than WINDOW, masks of the whole item are added for the replacements that no mask fits. A document that holds an item several times has one row for it, with the longest overlap (ties:
 the first). Repeated rows of a doc_id have one row. Very long texts are sought through whole.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,16 @@ def seeds(word: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, n
     return h, at
 
 
+@cache
+def whole_masks(n: int) -> tuple[str, ...]:
+    """Masks of a whole item of n words, one for each placement of replaced words that fits no window of MASKS."""
+    if not 0 < n < WINDOW:
+        return ()
+    fits = lambda mask, s, place: all(mask[p - s] == "0" for p in place if s <= p < s + len(mask))
+    places = combinations(range(n), n * (DEN - NUM) // DEN)
+    return tuple("".join("01"[i not in place] for i in range(n)) for place in places if not any(fits(m, s, place) for m in MASKS for s in range(n - len(m) + 1)))
+
+
 @dataclass
 class Items:
     """Items with their words, and the sorted seeds of all of them."""
@@ -64,13 +76,13 @@ def items_of(ids: list[int], texts: list[str]) -> Items:
     buf, at = X.utf8(pa.array(texts, pa.string()))
     _, _, word, first = X.words(buf, at, X.LETTER)
     length = np.diff(first)
-    shortest = min(map(len, MASKS))
-    masks = [*MASKS, *("1" * n for n in sorted({int(n) for n in length if 0 < n < shortest}))]
+    whole = [m for n in sorted({int(n) for n in length}) for m in whole_masks(n)]
+    masks = [*MASKS, *whole]
     got = []
     for mask in masks:
         h, p = seeds(word, first, mask)
         owner = np.searchsorted(first, p, "right") - 1
-        if len(mask) < shortest:  # only for items of just this length
+        if mask in whole:  # only for items of just this length
             use = length[owner] == len(mask)
             h, p, owner = h[use], p[use], owner[use]
         got.append((h, owner, p - first[owner]))

@@ -122,6 +122,19 @@ def test_jaccard_counts_of_sets():
     assert (jaccard.link_counts(sets, own, rule) == (alike & (own[:, None] != own)).sum(1)).all()
 
 
+@pytest.mark.parametrize("n", range(1, 16))
+def test_decontamination_of_short_items(n):
+    """An item is found wherever a fifth of its words is replaced."""
+    from itertools import combinations
+
+    item = [f"w{i}" for i in range(n)]
+    texts = [" ".join(["before", *("other" if i in p else w for i, w in enumerate(item)), "after"]) for p in combinations(range(n), min(n, 13) // 5)]
+    buf, at = X.utf8(pa.array(texts, pa.string()))
+    _, _, word, first = X.words(buf, at, X.LETTER)
+    got = {x[0] for x in decontamination.overlaps(decontamination.items_of([7], [" ".join(item)]), word, first)}
+    assert got == set(range(len(texts)))
+
+
 def test_jaccard_pigeonhole_bound():
     """More than SPARE parts agree for every pair within the bound, and bands meet."""
     r = np.random.default_rng(0)
