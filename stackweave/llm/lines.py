@@ -9,30 +9,32 @@ first keeps the line, and keeps all its occurrences there.
 
 Defined results: a null or empty text is one empty line. Lines whose key (ends stripped of \\x20 \\x09-\\x0D,
 A-Z lower-cased) has fewer than MIN_CHARS code points always stay. Rows that repeat a doc_id count as one document:
-none of them takes lines from the other. Rows with a null doc_id come after all others, as one document. An empty
-batch changes nothing. Further columns pass through; the three result columns replace any of the same name.
-Hashes are two independent 64-bit values, so that chance agreement is no concern at 10 ** 15 lines.
+none of them takes lines from the other, and a line is dropped from all of them or from none. Rows with a null doc_id
+come after all others, as one document. A line that stands several times in the first document stays there each
+time. An empty batch or table changes nothing. Further columns pass through, whatever their names; the three result
+columns replace any of the same name. Very long texts are taken whole: a row of the line table holds one line's
+hashes. Hashes are two independent 64-bit values, so that chance agreement is no concern at 10 ** 15 lines.
 """
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scratch
 
 MIN_CHARS = 10
 FANOUT = 4
-BUCKETS = 24
-#: Bytes of text of a batch.
-BATCH_BYTES = 1 << 30
+#: Bytes of text whose hashes one bucket of a run holds, and buckets at least and at most.
+BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 2 << 30, 24, 65_536
+#: Bytes of text of a batch: enough to keep a large cluster busy.
+BATCH_BYTES = 256 << 30
 KEY = ["h1", "h2"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LAST_ID = (1 << 63) - 1
 
 
 def line_key(line: Column) -> Column:
@@ -44,11 +46,16 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def text_hash(text: Column) -> Column:
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, pos, h1, h2) of each line that can be dropped; doc is the id, LAST_ID for null."""
+    """(doc, row, pos, h1, h2) of each line that can be dropped: doc is the id, row the text's hash, pos the line's place."""
     keys = F.transform(split_lines(F.col("text")), line_key)
     marked = F.transform(keys, lambda k, i: F.when(F.char_length(k) >= min_chars, F.struct(i.alias("pos"), F.xxhash64(k).alias("h1"), F.xxhash64(F.lit("\x00"), k, F.length(k)).alias("h2"))))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.explode(F.array_compact(marked)).alias("l")).select("doc", "l.*")
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), text_hash(F.col("text")).alias("row"), F.explode(F.array_compact(marked)).alias("l")).select("doc", "row", "l.*")
 
 
 @dataclass
@@ -82,20 +89,22 @@ class LineRuns:
         return [t for level in self.levels for t in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """lines: keyed_lines() of documents all added after those in the runs. Returns (doc, pos) to drop."""
-        first = lines.groupBy(*KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+        """lines: keyed_lines() of documents all added after those in the runs. Returns (doc, row, pos) to drop."""
+        first = lines.groupBy(*KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), (F.count("*") > F.count("doc")).alias("null_id"))
         for t in self.runs():
             seen = self.spark.table(t).select(*KEY, F.lit(True).alias(f"in_{t}"))
             first = first.join(seen, KEY, "left")
         old = F.lit(False)
         for t in self.runs():
             old = old | F.col(f"in_{t}").isNotNull()
-        first = scratch.written(first.select(*KEY, "first", "last", old.alias("old")), "line-first")
+        first = scratch.written(first.select(*KEY, "first", "last", "null_id", old.alias("old")), "line-first")
         self._write(first.where(~F.col("old")).select(*KEY), 0)
         self._compact()
         # a key of one document that no run holds drops nothing
-        hit = first.where(F.col("old") | (F.col("last") > F.col("first")))
-        return lines.join(hit, KEY).where(F.col("old") | (F.col("doc") > F.col("first"))).select("doc", "pos")
+        some = F.col("first").isNotNull()
+        hit = first.where(F.col("old") | (some & ((F.col("last") > F.col("first")) | F.col("null_id"))))
+        later = F.col("doc").isNull() | (F.col("doc") > F.col("first"))
+        return lines.join(hit, KEY).where(F.col("old") | (some & later)).select("doc", "row", "pos")
 
     def _compact(self) -> None:
         level = 0
@@ -121,19 +130,25 @@ class LineRuns:
         self.levels = []
 
 
+ADDED = ("kept_text", "n_lines", "n_dropped")
+
+
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs with kept_text, n_lines and n_dropped after the lines (doc, pos) are taken out."""
-    keep = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
-    at = dropped.groupBy("doc").agg(F.collect_set("pos").alias("_dropped"))
-    marked = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_doc")).join(at.withColumnRenamed("doc", "_doc"), "_doc", "left")
-    lines = split_lines(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    text = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    """docs with kept_text, n_lines and n_dropped after the lines (doc, row, pos) are taken out."""
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    whole = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("all")  # so that no name of docs meets one of the join
+    at = dropped.groupBy("doc", "row").agg(F.collect_set("pos").alias("dropped")).select(F.col("doc").alias("doc_"), F.col("row").alias("row_"), "dropped")
+    rows = docs.select(whole, F.col("doc_id").cast("long").alias("doc"), text_hash(F.col("text")).alias("row"))
+    marked = rows.join(at, F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("row") == F.col("row_")), "left")
+    lines = split_lines(F.col("all.text"))
+    none = F.col("dropped").isNull()
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
+    text = F.when(none, F.coalesce("all.text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     return marked.select(
-        *keep,
+        *(F.col("all")[c].alias(c) for c in keep),
         text.alias("kept_text"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+        F.when(none, F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
     )
 
 
@@ -146,34 +161,50 @@ def batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     return sorted({int(x) for x in got or []})
 
 
-def batches_of(docs: DataFrame, fanout: int = FANOUT) -> int:
+def bytes_of(docs: DataFrame) -> int:
+    return docs.select(F.octet_length("text").cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
+def batches_of(n_bytes: int, fanout: int = FANOUT) -> int:
     """Batches of BATCH_BYTES, and so many at least that runs are compacted."""
-    n = docs.select(F.octet_length("text").cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    return max(fanout + 1, -(-n // BATCH_BYTES))
+    return max(fanout + 1, -(-n_bytes // BATCH_BYTES))
+
+
+def buckets_of(n_bytes: int) -> int:
+    return min(MOST_BUCKETS, max(BUCKETS, -(-n_bytes // BUCKET_BYTES)))
+
+
+LINES = "doc long, row long, pos int, h1 long, h2 long, batch int"
 
 
 def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
     """All documents, taken into new runs in ``batches`` batches of ascending doc_id (None: batches_of()); see without_lines()."""
     spark = docs.sparkSession
-    batches = batches_of(docs, fanout) if batches is None else batches
-    runs = LineRuns(spark, fanout)
-    bounds = batch_bounds(docs, batches)
+    n_bytes = bytes_of(docs)
+    bounds = batch_bounds(docs, batches_of(n_bytes, fanout) if batches is None else batches)
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("doc") > b).cast("int")
-    lines = scratch.place(spark, "lines")
-    keyed_lines(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(lines)
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("batch", T.IntegerType())])
-    table = spark.read.schema(schema).parquet(lines)
-    dropped = None
-    for i in range(len(bounds) + 1):
-        out = scratch.written(runs.add(table.where(F.col("batch") == i).drop("batch")), "line-drops")
-        dropped = out if dropped is None else dropped.unionAll(out)
-    runs.close()
-    return without_lines(docs, dropped)
+    runs = LineRuns(spark, fanout, buckets_of(n_bytes))
+    with scratch.temporary(spark) as keep:
+        try:
+            lines = scratch.place(spark, "lines")
+            keyed_lines(docs, min_chars).withColumn("batch", F.coalesce(batch, F.lit(len(bounds)))).write.partitionBy("batch").parquet(lines)
+            table = spark.read.schema(LINES).parquet(lines)
+            dropped = [keep(runs.add(table.where(F.col("batch") == i).drop("batch")), "line-drops") for i in range(len(bounds) + 1)]
+        finally:
+            runs.close()
+    return without_lines(docs, reduce(DataFrame.unionAll, dropped))
 
 
 def keep_unique_lines(docs: DataFrame, batches: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with its columns, text without the dropped lines; documents left without a word go."""
-    out = dedup_lines(docs, batches, min_chars)
-    return out.where((F.col("n_dropped") == 0) | (F.length(F.btrim(F.col("kept_text"), F.lit(" \t\n\x0b\x0c\r"))) > 0)).select(*(F.col("kept_text").alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    """docs with its columns, text without the dropped lines; documents left without a word go.
+
+    Columns that have the names of the results are passed through, too.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own = {"doc_id": F.col("doc_id"), "text": F.when(F.col("text").isNotNull(), F.col("kept_text")).alias("text")}
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("rest")
+    out = dedup_lines(docs.select("doc_id", "text", rest), batches, min_chars)
+    left = F.length(F.btrim(F.col("kept_text"), F.lit(" \t\n\x0b\x0c\r"))) > 0
+    return out.where((F.col("n_dropped") == 0) | left).select(*(own[c] if c in own else F.col("rest")[c].alias(c) for c in docs.columns))
