@@ -6,8 +6,9 @@ from document labels alone, weighs the passages: a_k ~ exp(u . (tanh(V h_k) * si
 representation sum(a_k h_k) goes to a logistic output.
 
 Null and empty texts are one passage of zeros and get the score of that. Repeated rows get the same score each.
-Without labelled rows of both classes all scores are the share of label 1 (0.5 without labels). Very long texts
-are read whole: more passages, same memory for each piece.
+Without labelled rows of both classes all scores are near the share of label 1 (0.5 without labels). Of passages
+that the attention weighs alike the first is the top one. Very long texts are read whole: more passages, same memory
+for each piece. An empty table gives no rows. Columns of docs pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
 
     A clashing column of docs is replaced.
     """
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, whatever the input
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +173,3 @@ def score(docs: DataFrame, model: GatedAttention) -> DataFrame:
 
     fields = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"{c} {t}" for c, t in ADDED.items()]
     return docs.select(*keep).mapInArrow(run, ", ".join(fields))
-
-
-def filter_quality(docs: DataFrame, model: GatedAttention, threshold: float = 0.3) -> DataFrame:
-    """The documents with a score of at least ``threshold``, with the columns they had."""
-    return score(docs, model).where(F.col("quality_score") >= threshold).select(*docs.columns)

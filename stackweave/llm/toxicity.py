@@ -6,8 +6,10 @@ that the sentence is toxic; a document is toxic if at least one of its sentences
 sentence scores then say where the offence is.
 
 Null and empty texts count as one empty sentence and get a score from the bias alone. Repeated rows get the same
-score each. Without any labelled row of both classes, all scores are the share of label 1 (0.5 without labels).
-Very long texts are scored whole, all sentences.
+score each. Without labelled rows of both classes nothing can be learned: all documents get the share of label 1 (0.5
+without labels), no sentence is offensive, and filter_toxic() keeps every document. Of sentences that score alike the
+first is the worst. Very long texts are scored whole, all sentences. An empty table gives no rows. Columns of docs
+pass through; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -92,12 +94,18 @@ def bags(buf: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> Ba
 class NoisyOr:
     weight: np.ndarray
     bias: float
+    #: The score of all documents where nothing could be learned.
+    constant: float | None = None
 
     def sentences(self, b: Bags) -> np.ndarray:
         n = int(b.first[-1])
+        if self.constant is not None:
+            return np.zeros(n)
         return sigmoid(np.bincount(b.sentence, self.weight[b.feature], minlength=n) + self.bias) if n else np.zeros(0)
 
     def documents(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(first) - 1, self.constant)
         return -np.expm1(segment_sum(np.log1p(-np.minimum(p, 1 - 1e-12)), first))
 
 
@@ -136,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     rows = scratch.written(labelled_sample(docs, labels, label, sample), "labelled")
     n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < hits < n:
-        return NoisyOr(np.zeros(1 << BITS), float(np.log((hits + 0.5) / (n - hits + 0.5))) if n else 0.0)
+        return NoisyOr(np.zeros(1 << BITS), 0.0, float(hits / n) if n else 0.5)
     known = telling(rows, hits / n)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -184,12 +192,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def score(docs: DataFrame, model: NoisyOr, offending: float = OFFENDING) -> DataFrame:
-    """docs with score, predicted-by-default sentences and the byte spans of sentences with p >= offending.
+    """docs with toxic_score, the number of sentences, the worst one, and those with p >= offending.
 
-    Adds: toxic_score double, n_sentences int, worst array-free struct columns worst_start, worst_end (bytes),
-    worst_score, and offending array<struct<start, end, score>>. A clashing column of docs is replaced.
+    Places are bytes: worst_start, worst_end, and offending array<struct<start, end, score>>. A clashing column of docs
+    is replaced.
     """
-    keep = [c for c in docs.columns if c not in ADDED]
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the input
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,5 +231,9 @@ ADDED = {"toxic_score": "double", "n_sentences": "int", "worst_start": "int", "w
 
 
 def filter_toxic(docs: DataFrame, model: NoisyOr, threshold: float = 0.5) -> DataFrame:
-    """The documents with a score under ``threshold``, with the columns they had."""
-    return score(docs, model).where(F.col("toxic_score") < threshold).select(*docs.columns)
+    """The documents with a score under ``threshold``, with the columns they had; all, where nothing could be learned."""
+    if model.constant is not None:
+        return docs
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+    out = score(docs.select("text", rest), model).where(F.col("toxic_score") < threshold)
+    return out.select(*(F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns))

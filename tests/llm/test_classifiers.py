@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stackweave.llm import quality, queries, toxicity
 from stackweave.llm.learning import held_out
@@ -20,7 +21,7 @@ def tables(spark):
     return queries.table(spark, FOLDER, "documents"), queries.table(spark, FOLDER, "labels")
 
 
-@pytest.mark.parametrize("module,label,column,least", [(quality, "quality", "quality_score", 0.9), (toxicity, "toxic", "toxic_score", 0.7)])
+@pytest.mark.parametrize("module,label,column,least", [(quality, "quality", "quality_score", 0.9), (toxicity, "toxic", "toxic_score", 0.9)])
 def test_held_out(tables, module, label, column, least):
     docs, labels = tables
     model = module.fit(docs, labels, label)
@@ -40,7 +41,37 @@ def test_edges(spark, tables, module, column):
     assert module.score(odd.limit(0), model).count() == 0
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     blank = module.fit(docs, none)
-    assert {round(r[column], 6) for r in module.score(odd, blank).collect()} <= {0.5} or module is toxicity
+    assert {round(r[column], 6) for r in module.score(odd, blank).collect()} == {0.5}
+    assert module.score(odd.withColumnRenamed(column, column.upper()), blank).columns[-1] != column.upper()
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_toxicity_of_one_class(spark, tables, label):
+    """Nothing is learned from one class: the share of label 1 for all, no sentence stands out, the filter keeps all."""
+    docs, labels = tables
+    model = toxicity.fit(docs, labels.withColumn("toxic", F.lit(label)))
+    some = docs.limit(50).withColumns({"toxic_score": F.lit("mine"), "rest": F.lit(1)})
+    got = toxicity.score(some, model).collect()
+    assert {r["toxic_score"] for r in got} == {float(label)} and not any(r["offending"] for r in got)
+    kept = toxicity.filter_toxic(some, model)
+    assert kept.columns == some.columns and kept.count() == 50
+
+
+def test_filter_toxic_keeps_columns(tables):
+    docs, labels = tables
+    some = docs.withColumns({"toxic_score": F.lit("mine"), "rest": F.lit(1)})
+    model = toxicity.fit(docs, labels)
+    kept = toxicity.filter_toxic(some, model)
+    assert kept.columns == some.columns and kept.where("toxic_score = 'mine' AND rest = 1").count() == toxicity.score(docs, model).where("toxic_score < 0.5").count() < docs.count()
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    """The first stage of a corpus without labels keeps every document."""
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
 
 
 def test_same_score_wherever_a_text_stands(spark, tables):
