@@ -5,7 +5,9 @@ chosen, the rightmost among equals. Any common string of at least T bytes then c
 positions that are kept. A text of fewer grams is one window; of fewer than K bytes, one gram; empty, none.
 
 Null counts as the empty text. Two empty fingerprints are alike (1). Repeated rows of a doc_id follow each other in
-order of their texts; a null doc_id is the smallest. Very long texts are fingerprinted whole.
+order of their texts; a null doc_id is the smallest. Very long texts are fingerprinted whole, in slices that overlap
+by a window. A single document is its own next one. An empty table gives no rows. fingerprint() passes columns through
+and replaces those named like a result; compare_with_next() takes doc_id and text alone.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +25,43 @@ from . import text as X
 
 K, T = 16, 128
 HEX = 10  # characters of a hash of 40 bits
-RANGE_BYTES = 6 << 20
-MOST_RANGES = 4096
+#: Bytes of text that are hashed at once.
+SLICE = 4 << 20
+#: Ranges of documents: of RANGE_BYTES up to MANY of them, then larger ones, of at most LARGEST_RANGE bytes.
+RANGE_BYTES, MANY, LARGEST_RANGE = 6 << 20, 4096, 1 << 30
 
 
 def winnow(buf: np.ndarray, at: np.ndarray, k: int = K, t: int = T) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of 40 bits, positions in their document, end of each document's choice)."""
+    out, i, n = [], 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE, "right")) - 1)
+        part, own = buf[at[i] : at[j]], at[i : j + 1] - at[i]
+        out.append(winnow_piece(part, own, k, t) if len(part) <= SLICE else winnow_slices(part, k, t))
+        i = j
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum([x[2][-1] for x in out])])
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([x[2] + b for x, b in zip(out, before)])
+
+
+def winnow_slices(buf: np.ndarray, k: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One long text: each slice has the windows that begin in it; a choice that two slices make counts once."""
+    hashes, places = [], []
+    windows = len(buf) - t + 1
+    for s in range(0, windows, SLICE):
+        part = buf[s : min(windows, s + SLICE) + t - 1]
+        h, pos, _ = winnow_piece(part, np.array([0, len(part)]), k, t)
+        again = int(s > 0 and pos[0] + s == places[-1][-1])
+        hashes.append(h[again:]), places.append(pos[again:] + s)
+        if not len(places[-1]):
+            hashes.pop(), places.pop()
+    h = np.concatenate(hashes)
+    return h, np.concatenate(places), np.array([len(h)])
+
+
+def winnow_piece(buf: np.ndarray, at: np.ndarray, k: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """winnow() of fewer than 2 ** 24 bytes, so that a place fits beside a hash."""
     w = t - k + 1
     n = len(buf)
     length = np.diff(at)
@@ -39,7 +73,7 @@ def winnow(buf: np.ndarray, at: np.ndarray, k: int = K, t: int = T) -> tuple[np.
     key = (X.spans_hash(total, place, place + k) & ~low) | (low - (place.astype(np.uint64) & low))
     m, step = key, 1
     while step * 2 <= w:
-        m = np.minimum(m[: len(m) - step], m[step:])
+        m = np.minimum(m[: max(0, len(m) - step)], m[step:])
         step *= 2
     if w > step and len(m):
         m = np.minimum(m[: max(0, len(m) - (w - step))], m[w - step :])
@@ -58,7 +92,6 @@ def winnow(buf: np.ndarray, at: np.ndarray, k: int = K, t: int = T) -> tuple[np.
         values.append(np.minimum.reduceat(key[X.ragged(at[:-1][part], lens)], np.cumsum(lens) - lens))
     doc, value = np.concatenate(docs), np.concatenate(values)
     pos = (low - (value & low)).astype(np.int64)
-    # the low 24 bits of the place are enough: a piece is shorter, or one document, whose windows follow in order
     whole = np.flatnonzero((length > 0) & (length < k))
     h = value >> np.uint64(24)
     if len(whole):
@@ -87,7 +120,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """docs with fingerprint (string) and fingerprint_positions (bytes from the text's start)."""
-    keep = [c for c in docs.columns if c not in ("fingerprint", "fingerprint_positions")]
+    keep = [c for c in docs.columns if c.lower() not in ("fingerprint", "fingerprint_positions")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, buf, at in X.pieces(batches, "text"):
@@ -97,16 +130,16 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + ["fingerprint string, fingerprint_positions array<int>"]))
 
 
-def range_of(column: Column, bounds: list[int]) -> Column:
-    """How many of the descending bounds are above the value, by a balanced tree of comparisons."""
+def ranges_of(n_bytes: int) -> int:
+    return max(min(MANY, n_bytes // RANGE_BYTES + 1), -(-n_bytes // LARGEST_RANGE))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column >= bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def range_of(column: Column, bounds: list[int]) -> Column:
+    """How many of the ascending bounds are above the value."""
+    if not bounds:
+        return F.lit(0)
+    at = np.array(bounds, np.int64)
+    return F.pandas_udf(lambda x: pd.Series((len(at) - np.searchsorted(at, x.to_numpy(), "right")).astype(np.int32)), "int")(column)
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -118,13 +151,13 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     least = -(1 << 63)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("doc"), F.col("doc_id").isNull().alias("null_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    n = max(1, min(MOST_RANGES, (size["b"] or 0) // RANGE_BYTES + 1))
+    n = ranges_of(size["b"] or 0)
     bounds: list[int] = []
     if n > 1:
         shares = [i / n for i in range(1, n)]
-        bounds = sorted({int(x) for x in docs.select(F.percentile_approx("doc", shares, 100_000)).first()[0]}, reverse=True)
+        bounds = sorted({int(x) for x in docs.select(F.percentile_approx("doc", shares, max(100_000, 10 * n))).first()[0]})
     docs = docs.withColumn("range", range_of(F.col("doc"), bounds))
-    # one id per range comes to the driver, MOST_RANGES at most
+    # one id per range comes to the driver, one a GB of a large input
     heads = sorted(((r["range"], r["id"]) for r in docs.groupBy("range").agg(F.max("doc").alias("id")).collect()))
     spark = docs.sparkSession
     after = [(heads[i - 1][0], heads[i][1]) for i in range(len(heads))]  # i = 0: the last range gets the first head
