@@ -90,10 +90,8 @@ def op9_token_binary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    counts = ["n_assign", "n_access", "n_hex", "n_live", "n_example"]
-    out = docs.select("doc_id").alias("d").join(secrets.summary(docs).alias("s"), F.expr("d.doc_id <=> s.doc_id"), "left")
-    return out.select("d.doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    out = secrets.summary(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", "n_example", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans)}

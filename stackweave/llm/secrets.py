@@ -1,13 +1,18 @@
 """Secrets in texts, told from copied examples by corpus-wide ownership, in DataFrame operations only.
 
 Candidates are found by patterns, with their places in code points. The hash of each candidate's secret part is
-then counted over the corpus: in how many distinct repositories (texts) and by how many distinct owners (sources)
-it occurs. A value that several owners hold is an example that people copy; one that a single owner holds, in
-letters mixed enough, looks live.
-
-Defined results: null and empty texts have no spans. Rows that repeat a doc_id (or have none) get the spans of all
-of them together. Rows with a null source are an owner of their own. Repeated
-rows are one repository. A value that occurs twice in a text has two spans. Very long texts are scanned whole.
+then counted over the corpus: in how many distinct repositories (texts of an owner) and by how many distinct owners
+(sources) it occurs. A value that several owners hold is an example that people copy; one that a single owner holds,
+in letters mixed enough, looks live.
+
+The texts are scanned once, into a table of spans. What follows works on distinct texts: ownership comes from counts
+that are combined before each shuffle, and values or texts that very many rows share are joined by a broadcast of a
+bounded number of them.
+
+Defined results: null and empty texts have no spans. Each row has the spans of its own text, also where rows repeat a
+doc_id or have none. Rows with a null source are an owner of their own. Equal texts of one source are one repository.
+A value that occurs twice in a text has two spans. Spans that start together are in the order of KINDS. Very long
+texts are scanned whole. An empty table gives no rows. Columns but doc_id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+from .ids import join_counted
+
 #: kind: (pattern whose matches are leftmost and non-overlapping, group of the secret, its least length, quick test)
 KINDS = {
     "assign": (
@@ -60,61 +68,64 @@ def matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(test), step).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
+TEXT = ["t0", "t1"]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc columns, text_hash, kind, rank, start, end, secret_hash, mixed), one row per span."""
+    """(doc_id, source, t0, t1, spans) per row: two hashes of the text, and its spans of all kinds."""
     text = F.coalesce("text", F.lit(""))
-    any_kind = F.lit(False)
-    for _, _, _, test in KINDS.values():
-        any_kind = any_kind | text.rlike(test)
 
     def spans_of(rank: int, kind: str) -> Column:
-        return F.transform(matches(text, kind), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+        mixed = lambda m: F.size(F.array_distinct(F.split(m["value"], ""))) >= MIXED
+        return F.transform(matches(text, kind), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), F.sha2(m["value"], 256).alias("secret_hash"), mixed(m).alias("mixed")))
 
-    spans = [spans_of(rank, kind) for rank, kind in enumerate(KINDS)]
-    found = docs.where(any_kind).select("doc_id", "source", F.xxhash64(text).alias("text_hash"), F.explode(F.concat(*spans)).alias("s"))
-    return found.select(
-        "doc_id",
-        "source",
-        "text_hash",
-        "s.kind",
-        "s.rank",
-        "s.start",
-        "s.end",
-        F.sha2("s.value", 256).alias("secret_hash"),
-        (F.size(F.array_distinct(F.split("s.value", ""))) >= MIXED).alias("mixed"),
-    )
+    spans = F.concat(*(spans_of(rank, kind) for rank, kind in enumerate(KINDS)))
+    return docs.select("doc_id", "source", F.xxhash64(text).alias("t0"), F.xxhash64(F.lit("\x00"), text).alias("t1"), spans.alias("spans"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per secret_hash the distinct repositories and owners. Distinct first, so that a hot value is spread."""
-    owner = F.coalesce("source", F.lit(""))
+    """Per secret_hash the distinct repositories and owners, and n, its spans. Distinct first, so that a hot value is spread."""
+    each = found.select("source", *TEXT, F.explode("spans.secret_hash").alias("secret_hash"))
     # one row per value, owner and text; then per value and owner; then per value
-    per_text = found.select("secret_hash", owner.alias("owner"), "text_hash").distinct()
-    per_owner = per_text.groupBy("secret_hash", "owner").agg(F.count("*").alias("texts"))
-    return per_owner.groupBy("secret_hash").agg(F.sum("texts").alias("n_repositories"), F.count("*").alias("n_owners"))
+    per_text = each.groupBy("secret_hash", F.coalesce("source", F.lit("")).alias("owner"), *TEXT).agg(F.count("*").alias("n"))
+    per_owner = per_text.groupBy("secret_hash", "owner").agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    return per_owner.groupBy("secret_hash").agg(F.sum("texts").alias("n_repositories"), F.count("*").alias("n_owners"), F.sum("n").alias("n"))
+
+
+def judged(found: DataFrame, total: int) -> DataFrame:
+    """(t0, t1, n_rows, judged) per distinct text: its spans, in order, with their owners and verdict."""
+    texts = found.groupBy(*TEXT).agg(F.first("spans").alias("spans"), F.count("*").alias("n_rows"))
+    each = texts.select(*TEXT, "n_rows", F.inline("spans"))
+    known = join_counted(each, ownership(found), ["secret_hash"], "n", total)
+    verdict = F.when(F.col("n_owners") >= COPIED, "example").when(F.col("mixed"), "live").otherwise("weak")
+    span = F.struct("start", "rank", "kind", "end", "secret_hash", "n_repositories", "n_owners", verdict.alias("verdict"))
+    return known.groupBy(*TEXT).agg(F.first("n_rows").alias("n_rows"), F.array_sort(F.collect_list(span)).alias("judged"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per span with n_repositories, n_owners and verdict: example, live or weak.
+    """(doc_id, spans) per row; a span has start, rank, kind, end, secret_hash, n_repositories, n_owners and verdict.
 
     example: COPIED owners or more hold the value. live: one owner, characters mixed enough. weak: the rest.
     """
-    found = candidates(docs.select("doc_id", "source", "text"))
-    verdict = F.when(F.col("n_owners") >= COPIED, "example").when(F.col("mixed"), "live").otherwise("weak")
-    return found.join(ownership(found), "secret_hash").withColumn("verdict", verdict)
+    with scratch.temporary(docs.sparkSession) as keep:
+        rows = scratch.written(candidates(docs.select("doc_id", "source", "text")), "spans")
+        found = rows.where(F.size("spans") > 0)
+        n, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+        done = join_counted(found.select("doc_id", *TEXT), judged(found, spans), TEXT, "n_rows", n).select("doc_id", F.col("judged").alias("spans"))
+        none = F.array().cast(done.schema["spans"].dataType)
+        return keep(done.unionByName(rows.where(F.size("spans") == 0).select("doc_id", none.alias("spans"))), "secrets")
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """Per document the counts and spans, in order of start, then kind; see queries.op10_secret_scans()."""
-    spans = scan(docs)
-    named = F.concat_ws(":", "kind", "start", "end")
-    live = F.when(F.col("verdict") == "live", F.concat_ws(":", F.lit("live"), "start", "end"))
-    per_doc = spans.groupBy("doc_id").agg(
-        *(F.count(F.when(F.col("kind") == k, True)).alias(f"n_{k}") for k in KINDS),
-        F.count(F.when(F.col("verdict") == "live", True)).alias("n_live"),
-        F.count(F.when(F.col("verdict") == "example", True)).alias("n_example"),
-        F.array_sort(F.collect_list(F.struct("start", "rank", named.alias("s"), live.alias("l")))).alias("_s"),
+    """Per row of docs the counts, and the spans as text; those of verdict live are named a second time."""
+    count = lambda c, v: F.size(F.filter("spans", lambda x: x[c] == v)).cast("long")
+    named = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    live = lambda x: F.when(x["verdict"] == "live", F.concat_ws(":", F.lit("live"), x["start"], x["end"]))
+    return scan(docs).select(
+        "doc_id",
+        *(count("kind", k).alias(f"n_{k}") for k in KINDS),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "example").alias("n_example"),
+        F.array_join(F.transform("spans", named), ",").alias("base"),
+        F.array_join(F.flatten(F.transform("spans", lambda x: F.array_compact(F.array(named(x), live(x))))), ",").alias("spans"),
     )
-    base = F.array_join(F.transform("_s", lambda x: x["s"]), ",")
-    every = F.array_join(F.flatten(F.transform("_s", lambda x: F.array_compact(F.array(x["s"], x["l"])))), ",")
-    return per_doc.select("doc_id", *(f"n_{k}" for k in KINDS), "n_live", "n_example", base.alias("base"), every.alias("spans"))
