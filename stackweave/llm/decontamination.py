@@ -7,8 +7,11 @@ by word without gaps, and the overlap is verified: the document is contaminated
 WINDOW words (the whole item if it is shorter) has at least NUM / DEN of them equal.
 
 Null and empty texts are never contaminated; items without words contaminate nothing. For items
-shorter than WINDOW, masks of the whole item are added for the replacements that no mask fits. A document that holds an item several times has one row for it, with the longest overlap (ties:
-the first). Repeated rows of a doc_id have one row. Very long texts are sought through whole.
+shorter than WINDOW, masks of the whole item are added for the replacements that no mask fits. A document that holds an
+item several times has one row for it, with the overlap of most equal words (ties: the first). Repeated rows of a
+doc_id have one row; a null doc_id or item_id is left out. Very long texts are sought through whole, and hits are
+gathered a bounded number at a time, so that a text and an item that both repeat a word need no more memory than they
+have diagonals. An empty table gives no rows. Further columns are not read; without_contaminated() keeps them.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ WINDOW, NUM, DEN = 13, 4, 5
 #: Words of benchmark items that are sent to the executors at once. A larger benchmark is sought in several scans.
 AT_ONCE = 2_000_000
 FILTER_BITS = 23
+#: Hits of a mask that are held at once.
+HITS_AT_ONCE = 1 << 22
 SCHEMA = "doc_id long, item_id long, start long, end long, n_words int, n_equal int"
 
 
@@ -101,12 +106,16 @@ def overlaps(items: Items, word: np.ndarray, first: np.ndarray) -> Iterator[tupl
         maybe = np.flatnonzero(items.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         h, at = h[maybe], at[maybe]
         lo, hi = np.searchsorted(items.seed, h, "left"), np.searchsorted(items.seed, h, "right")
-        n = hi - lo
-        which = X.ragged(lo, n)
-        at = np.repeat(at, n)
-        hits.append((items.item[which], at - items.offset[which], np.searchsorted(first, at, "right") - 1))
-    item, diagonal, doc = (np.concatenate([x[k] for x in hits]) for k in range(3))
-    for d, i, g in np.unique(np.stack([doc, item, diagonal]), axis=1).T.tolist():
+        total = np.cumsum(hi - lo)
+        s = 0
+        while s < len(h):
+            # one diagonal of a document and an item counts once, however many hits it has
+            e = max(s + 1, int(np.searchsorted(total, total[s] - (hi[s] - lo[s]) + HITS_AT_ONCE, "right")))
+            n = (hi - lo)[s:e]
+            which, place = X.ragged(lo[s:e], n), np.repeat(at[s:e], n)
+            hits.append(np.unique(np.stack([np.searchsorted(first, place, "right") - 1, items.item[which], place - items.offset[which]]), axis=1))
+            s = e
+    for d, i, g in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
         a, b = items.first[i], items.first[i + 1]
         lo, hi = max(g, int(first[d])), min(g + b - a, int(first[d + 1]))
         need = min(WINDOW, b - a)
@@ -173,4 +182,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE)
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, with its columns, without the documents that hold a passage of the benchmark."""
     bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
