@@ -12,9 +12,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(id, component): the smallest id that each id of ``links`` reaches. Nulls and self-links are left out.
 
     Each step joins the links with the least neighbour of each id, an aggregate that is combined before its
-    shuffle; the links are written to the shared folder between steps.
+    shuffle; the links are written to the shared folder between steps. The number of steps grows with the logarithm
+    of the ids; links that have not settled after ``rounds`` are an error.
     """
-    spark = links.sparkSession
+    with scratch.temporary(links.sparkSession) as keep:
+        return keep(labels(links, a, b, rounds), "components")
+
+
+def labels(links: DataFrame, a: str, b: str, rounds: int) -> DataFrame:
     now = scratch.written(
         links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(),
         "links",
@@ -31,5 +36,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components have not settled after {rounds} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots) if now else spark.createDataFrame([], "id long, component long")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)

@@ -1,4 +1,4 @@
-"""Documents by id: one row per id, and those with or without given ids."""
+"""Documents by id: one row per id, those with or without given ids, and classes of copies."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from . import scratch
 
 #: Ids up to which a list of them is broadcast (16 bytes each); a longer list is joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: A key is hot from so many rows on, and from one in HOT_SHARE of all rows; so there are HOT_SHARE hot keys at most.
+HOT, HOT_SHARE = 1_000, 100_000
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -24,3 +26,23 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     if again.isEmpty():
         return docs
     return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
+
+
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows inner-joined with by_key, which has one row a key, and in ``n`` how many rows have the key.
+
+    Rows of a hot key are not brought together: hot keys, HOT_SHARE of them at most, are broadcast.
+    """
+    by_key = scratch.written(by_key, "by-key")
+    hot = F.col(n) > max(HOT, total // HOT_SHARE)
+    if by_key.where(hot).isEmpty():
+        return rows.join(by_key, keys)
+    most = F.broadcast(by_key.where(hot))
+    rest = rows.join(most.select(*keys), keys, "left_anti").join(by_key.where(~hot), keys)
+    return rows.join(most, keys).unionByName(rest)
+
+
+def copies_of(marks: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """(columns of marks, class): rows (doc, keys) that agree in the keys with one of a smaller doc, their class."""
+    classes = marks.groupBy(*keys).agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where("copies > 1")
+    return join_counted(marks, classes, keys, "copies", total).where("doc != class").drop("copies")

@@ -22,7 +22,8 @@ component's classes.
 
 Equal texts are one class from the start: its smallest doc_id stands for it. Null and empty texts, or texts without
 words, have no shingles and link with nothing. A null doc_id is left out. Rows that repeat a doc_id count once, with
-the text that sorts first. Very long texts take part whole.
+the text that sorts first. Very long texts take part whole. An empty table gives no rows. link() reads doc_id and text
+alone; keep_one() passes all columns through, whatever their names, and keeps rows without a doc_id.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import text as X
 from .components import components
-from .ids import one_per_id, only
+from .ids import copies_of, one_per_id, only
 
 #: Documents of a part up to which all its pairs are listed (a constant number of rows a document).
 FEW = 6
@@ -393,14 +394,18 @@ def link(docs: DataFrame, rule: Rule = Rule(), count: bool = True) -> DataFrame:
     included), n_linked the number of other classes that the class links with (without
     count: null).
     """
+    with scratch.temporary(docs.sparkSession) as keep:
+        return keep(linked_classes(one_per_id(docs), rule, count), "links")
+
+
+def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
+    """link() of documents (doc, text), one a doc."""
     spark = docs.sparkSession
-    docs = one_per_id(docs)
     marks = scratch.written(docs.select("doc", F.xxhash64("text").alias("t0"), F.xxhash64(F.lit("\x00"), "text").alias("t1"), F.octet_length("text").cast("long").alias("t2")), "texts")
-    classes = marks.groupBy("t0", "t1", "t2").agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where(F.col("copies") > 1)
-    copies = scratch.written(marks.join(classes, ["t0", "t1", "t2"]).where(F.col("doc") != F.col("class")).select("doc", "class"), "copies")
+    n_docs, n_bytes = marks.agg(F.count("*"), F.coalesce(F.sum("t2"), F.lit(0))).first()
+    copies = scratch.written(copies_of(marks, ["t0", "t1", "t2"], n_docs).select("doc", "class"), "copies")
     firsts = only(docs, copies.select("doc"), "left_anti")
     table = scratch.written(sketches(firsts, rule), "sketches")
-    n_bytes = marks.agg(F.sum("t2")).first()[0] or 0
     buckets = max(12, int(n_bytes // BUCKET_BYTES) + 1)
     parts = packed(table.where("band IS NOT NULL"), buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_parts, "key long, a long, b long, g long")
     shared = scratch.written(parts, "parts")
@@ -456,4 +461,6 @@ def link(docs: DataFrame, rule: Rule = Rule(), count: bool = True) -> DataFrame:
 def keep_one(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
     """docs without the documents that link, directly or through others, to one with a smaller doc_id."""
     gone = link(docs, rule, count=False).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("doc"))
-    return only(docs.withColumn("doc", F.col("doc_id").cast("long")), gone, "left_anti").select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    kept = only(docs.select(row, F.col("doc_id").cast("long").alias("doc")), gone, "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

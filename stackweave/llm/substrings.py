@@ -18,7 +18,9 @@ doc_id. Strings are judged on the input. The work is dealt out by content, so th
    the smallest doc_id are covered.
 
 Defined results: a null text is empty and loses nothing; texts shorter than WIDTH lose nothing. A null doc_id is left
-out. Rows that repeat a doc_id count once, with the text that sorts first. Very long texts are treated whole.
+out. Rows that repeat a doc_id count once, with the text that sorts first. Very long texts are treated whole. Of equal
+strings those of the smallest doc_id stay, all of them. An empty table gives no rows. Columns but doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from . import text as X
-from .ids import one_per_id, only
+from .ids import copies_of, one_per_id, only
 
 WIDTH = 50
 GRAM, SHORT = 28, 12
@@ -49,9 +51,9 @@ def minimisers(total: np.ndarray, n: int, k: int, width: int = WIDTH) -> np.ndar
     place = np.arange(max(0, n - k + 1))
     m, w, step = X.spans_hash(total, place, place + k), width - k + 1, 1
     while step * 2 <= w:
-        m = np.minimum(m[: len(m) - step], m[step:])
+        m = np.minimum(m[: max(0, len(m) - step)], m[step:])
         step *= 2
-    return np.minimum(m[: len(m) - (w - step)], m[w - step :]) if w > step else m
+    return np.minimum(m[: max(0, len(m) - (w - step))], m[w - step :]) if w > step else m
 
 
 def runs(windows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,13 +351,17 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     With ``with_text`` also kept, the remaining bytes.
     """
-    docs = one_per_id(docs)
+    with scratch.temporary(docs.sparkSession) as keep:
+        return keep(without_repeats(one_per_id(docs), with_text), "spans")
+
+
+def without_repeats(docs: DataFrame, with_text: bool) -> DataFrame:
+    """dedup_substrings() of documents (doc, text), one a doc."""
     marks = scratch.written(docs.select("doc", F.xxhash64("text").alias("t0"), F.xxhash64(F.lit("\x00"), "text").alias("t1"), F.octet_length("text").cast("long").alias("n_bytes")), "texts")
     key = ["t0", "t1", "n_bytes"]
-    classes = marks.where(F.col("n_bytes") >= WIDTH).groupBy(*key).agg(F.min("doc").alias("class"), F.count("*").alias("copies")).where("copies > 1")
-    copies = scratch.written(marks.join(classes, key).where("doc != class").select("doc", "n_bytes"), "copies")
+    n_docs, n = marks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    copies = scratch.written(copies_of(marks.where(F.col("n_bytes") >= WIDTH), key, n_docs).select("doc", "n_bytes"), "copies")
     firsts = only(docs.where(F.octet_length("text") >= WIDTH), copies.select("doc"), "left_anti")
-    n = marks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, int(n // BUCKET_BYTES) + 1)
     sent = firsts.mapInArrow(send_minimisers(buckets), "bucket int, doc long, keys binary, docs binary, counts binary")
     hits = scratch.written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_minimisers, "doc long, keys binary"), "hits")
