@@ -50,6 +50,31 @@ def full_burst_id(track: Column, burst: Column, swath: Column) -> Column:
     return F.format_string("%03d_%d_%s", track.cast("int"), burst.cast("int"), F.upper(swath))
 
 
+# The property that names the frame, by dataset and by what a platform's name holds.
+FRAME_OF_DATASET = {"SENTINEL-1": "frameNumber", "ALOS": "frameNumber", "NISAR": "frameID", "BURST": "burstID"}
+FRAME_OF_PLATFORM = {"SENTINEL": "frameNumber", "ALOS": "frameNumber", "NISAR": "frameID"}
+
+
+def frame_key(dataset: Column, platform: Column, by_burst: Column, by_frame: Column) -> Column:
+    """Name of the property that groups scenes beside the path.
+
+    A search by burst ids groups by burst, one by frames by the frame number; else the dataset decides, then the
+    platform, and in the end the frame number.
+    """
+    known = F.lit(None).cast("string")
+    for name, key in FRAME_OF_DATASET.items():
+        known = F.when(F.upper(dataset) == name, key).otherwise(known)
+    part = F.lit(None).cast("string")
+    for name, key in reversed(FRAME_OF_PLATFORM.items()):
+        part = F.when(F.upper(platform).contains(name), key).otherwise(part)
+    return F.when(by_burst, "burstID").when(by_frame, "frameNumber").otherwise(F.coalesce(known, part, F.lit("frameNumber")))
+
+
+def group_key(properties: Column, key: Column) -> Column:
+    """struct<path, frame> of a scene's properties (a map of strings)."""
+    return F.struct(properties["pathNumber"].alias("path"), properties[key].alias("frame"))
+
+
 def merge_tag(frames: Column) -> Column:
     """merged_f1_f2 of the sorted distinct frames of an array."""
     return F.concat(F.lit("merged_"), F.array_join(F.transform(F.array_sort(F.array_distinct(frames)), lambda f: F.concat(F.lit("f"), f)), "_"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,30 +99,56 @@ def epsg_of(epsg: Column, zone: Column, lat: Column, units: Column) -> Column:
 
 
 def margin_box(lo: Column, hi: Column, size: Column) -> tuple[Column, Column]:
-    """A range with a margin of 5 % (100 if it is a point), clamped to the frame."""
+    """A range with a margin of 5 % (100 if it is a point), whole and clamped to the frame; null if nothing is left."""
     m = F.when(hi > lo, (hi - lo) * 0.05).otherwise(100.0)
-    return F.greatest(F.lit(0.0), lo - m), F.least(size, hi + m)
+    first, last = F.greatest(F.lit(0), (lo - m).cast("long")), F.least(size.cast("long"), (hi + m).cast("long"))
+    return F.when(last > first, first), F.when(last > first, last)
+
+
+# Nominal slant range and azimuth posting in metres, and incidence in degrees, where a header lacks them.
+SLANT_POSTING, AZIMUTH_POSTING, INCIDENCE = 2.33, 13.9, 39.0
+LIGHT = 299792458.0
+
+
+def ground_posting(sampling: Column, prf: Column, speed: Column, looks_range: Column, looks_azimuth: Column) -> Column:
+    """struct<range, azimuth>: metres on the ground of a multilooked pixel, by the header's rates or the nominal ones."""
+    slant = F.when(sampling != 0, LIGHT / (2 * sampling)).otherwise(SLANT_POSTING)
+    azimuth = F.when((prf != 0) & (speed != 0), speed / prf).otherwise(AZIMUTH_POSTING)
+    return F.struct((slant / math.sin(math.radians(INCIDENCE)) * looks_range).alias("range"), (azimuth * looks_azimuth).alias("azimuth"))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"]
+
+
+def difference(a: Column, b: Column) -> Column:
+    return F.struct(*((a[k] - b[k]).alias(k) for k in "xyz"))
+
+
+def cross(a: Column, b: Column) -> Column:
+    return F.struct(*((a[p] * b[q] - a[q] * b[p]).alias(k) for k, p, q in (("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y"))))
+
+
+def of_length_one(a: Column) -> Column:
+    return F.struct(*((a[k] / F.sqrt(dot(a, a))).alias(k) for k in "xyz"))
 
 
 def clip_area(subject: list, clip: list) -> float:
     """Area of a polygon's part within a convex polygon, in planar units; vertices as (x, y)."""
-    def area(p: list) -> float:
-        return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1])) / 2
-
-    edge = clip if area(clip) > 0 else clip[::-1]
-    part = list(subject)
-    for a, b in zip(edge, edge[1:] + edge[:1]):
-        side = [(b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) for p in part]
-        kept = []
-        for p, q, s, t in zip(part, part[1:] + part[:1], side, side[1:] + side[:1]):
-            if s >= 0:
-                kept.append(p)
-            if s * t < 0:
-                kept.append((p[0] + (q[0] - p[0]) * s / (s - t), p[1] + (q[1] - p[1]) * s / (s - t)))
-        part = kept
-        if not part:
+    part, edge = np.asarray(subject, float).reshape(-1, 2), np.asarray(clip, float)
+    area = lambda p: (p[:, 0] @ np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) @ p[:, 1]) / 2
+    edge = edge if area(edge) > 0 else edge[::-1]
+    for a, b in zip(edge, np.roll(edge, -1, axis=0)):
+        # by each side of the convex polygon: vertices on its left stay, edges that cross it give a new vertex
+        side = (b[0] - a[0]) * (part[:, 1] - a[1]) - (b[1] - a[1]) * (part[:, 0] - a[0])
+        after, next_side = np.roll(part, -1, axis=0), np.roll(side, -1)
+        crosses = side * next_side < 0
+        share = np.divide(side, side - next_side, out=np.zeros(len(side)), where=crosses)
+        both = np.stack([part, part + (after - part) * share[:, None]], axis=1).reshape(-1, 2)
+        part = both[np.stack([side >= 0, crosses], axis=1).ravel()]
+        if not len(part):
             return 0.0
-    return abs(area(part))
+    return float(abs(area(part)))
 
 
 def coverage(aoi: list):

@@ -17,6 +17,30 @@ FOREST_CAP, CROSSING_CAP, NDVI_ACTIVE, VEGETATED = 0.25, 0.50, 0.30, 0.40
 SEASONS = ("winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "autumn", "autumn", "autumn", "winter")
 
 
+# Vegetation index by band of latitude (from, to) and month; VEGETATION_ELSEWHERE outside all bands.
+VEGETATION_CLIMATOLOGY = (
+    (-90, -70, (0.03, 0.05, 0.08, 0.05, 0.03, 0.02, 0.02, 0.02, 0.03, 0.04, 0.03, 0.02)),
+    (-70, -55, (0.10, 0.12, 0.10, 0.07, 0.04, 0.03, 0.03, 0.04, 0.06, 0.09, 0.10, 0.10)),
+    (-55, -40, (0.42, 0.42, 0.38, 0.32, 0.25, 0.20, 0.19, 0.22, 0.28, 0.35, 0.40, 0.42)),
+    (-40, -23, (0.52, 0.52, 0.50, 0.46, 0.40, 0.34, 0.33, 0.36, 0.42, 0.48, 0.51, 0.52)),
+    (-23, 23, (0.55, 0.55, 0.57, 0.62, 0.65, 0.64, 0.62, 0.61, 0.60, 0.57, 0.55, 0.54)),
+    (23, 35, (0.22, 0.24, 0.32, 0.42, 0.52, 0.56, 0.55, 0.51, 0.46, 0.37, 0.28, 0.22)),
+    (35, 50, (0.12, 0.14, 0.22, 0.38, 0.56, 0.65, 0.66, 0.61, 0.52, 0.38, 0.22, 0.13)),
+    (50, 62, (0.07, 0.07, 0.10, 0.22, 0.44, 0.60, 0.63, 0.55, 0.38, 0.20, 0.09, 0.07)),
+    (62, 70, (0.04, 0.04, 0.05, 0.10, 0.30, 0.50, 0.55, 0.44, 0.24, 0.09, 0.04, 0.04)),
+    (70, 90, (0.02, 0.02, 0.03, 0.05, 0.12, 0.22, 0.26, 0.20, 0.10, 0.04, 0.02, 0.02)),
+)
+VEGETATION_ELSEWHERE = 0.03
+
+
+def vegetation_climatology(lat: Column, month: Column) -> Column:
+    """The index of the band of latitude and the month."""
+    out = F.lit(None).cast("double")
+    for lo, hi, months in VEGETATION_CLIMATOLOGY:
+        out = F.when((lat >= lo) & (lat < hi), F.element_at(F.array(*map(F.lit, months)), month.cast("int"))).otherwise(out)
+    return F.coalesce(out, F.lit(VEGETATION_ELSEWHERE))
+
+
 def unit(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x.cast("double"), F.lit(0.0))))
 
@@ -45,8 +69,12 @@ def annual_repeat(dt: Column, most: int = 5, tol: int = 20) -> Column:
     return F.exists(F.sequence(F.lit(1), F.lit(most)), lambda n: F.abs(dt - n * 365) <= tol)
 
 
-def freeze_thaw(t1: Column, t2: Column) -> Column:
-    """1 if one of the two temperatures is below zero and the other is not; null: 0."""
+def freeze_thaw(t1: Column, t2: Column, most1: Column | None = None, most2: Column | None = None) -> Column:
+    """1 if one of the two temperatures is below zero and the other is not; null: 0.
+
+    Temperatures are those of the overpass; the day's highest (``most``) stands in where they are null.
+    """
+    t1, t2 = (t if most is None else F.coalesce(t, most) for t, most in ((t1, most1), (t2, most2)))
     return F.coalesce(((t1 < 0) != (t2 < 0)).cast("int"), F.lit(0))
 
 
@@ -78,16 +106,21 @@ def wet_snow() -> Column:
     return one("d1") | one("d2")
 
 
+# Shares of water and of snow and ice, rain of a day in millimetres, change and share of snow cover beyond
+# which a pair is ruled out.
+WATER_MOST, SNOW_ICE_MOST, RAIN_MOST, SNOWFALL_MOST, SNOW_MOST = 0.50, 0.40, 30.0, 0.50, 0.90
+
+
 def hard_kills() -> Column:
     """Names of the rules that rule a pair out, in a fixed order."""
     snow = F.greatest(zero("snow_cover_frac_d1"), zero("snow_cover_frac_d2"))
     rules = {
-        "water_dominant": zero("lc_water_fraction") > 0.50,
-        "snow_ice_dominant": zero("lc_snow_fraction") > 0.40,
-        "heavy_rain": F.greatest(zero("precip_d1"), zero("precip_d2")) > 30.0,
+        "water_dominant": zero("lc_water_fraction") > WATER_MOST,
+        "snow_ice_dominant": zero("lc_snow_fraction") > SNOW_ICE_MOST,
+        "heavy_rain": F.greatest(zero("precip_d1"), zero("precip_d2")) > RAIN_MOST,
         "wet_snow": wet_snow(),
-        "fresh_snowfall": zero("delta_snow_cover") > 0.50,
-        "heavy_snow_cover": snow > 0.90,
+        "fresh_snowfall": zero("delta_snow_cover") > SNOWFALL_MOST,
+        "heavy_snow_cover": snow > SNOW_MOST,
         "fire": F.coalesce(F.col("fire"), F.lit(False)),
     }
     return F.array_compact(F.array(*(F.when(rule, name) for name, rule in rules.items())))
@@ -107,16 +140,21 @@ def landcover_score(digits: int = 4) -> Column:
     return F.when(F.size(hard_kills()) > 0, 0.0).otherwise(F.round(unit(capped), digits))
 
 
+# The coherence from which nothing is lost and the span below it, the weights of snow, rain and frost,
+# and the three-day rain in millimetres that counts in full.
+COHERENT, COHERENT_SPAN, SNOW_WEIGHT, RAIN_WEIGHT, FROST_WEIGHT, FULL_RAIN = 0.40, 0.30, 0.25, 0.75, 0.05, 30.0
+
+
 def coherence_penalty(coh: Column) -> Column:
     """0 from .40, 1 up to .10, quadratic between."""
-    return F.pow(unit((0.40 - coh) / 0.30), 2)
+    return F.pow(unit((COHERENT - coh) / COHERENT_SPAN), 2)
 
 
 def coherence_points(coh: Column, freeze_thaw_weight: float = 0.05) -> Column:
     """0 to 100 from a coherence and the weather; wet snow gives 0."""
     snow = F.least(F.lit(1.0), F.greatest(zero("snow_cover_frac_d1"), zero("snow_cover_frac_d2"), zero("delta_snow_cover")))
-    rain = lambda d: unit(F.col(f"precip_3day_{d}") / 30.0)
-    total = coherence_penalty(coh) + 0.25 * snow + 0.75 * rain("d1") + 0.75 * rain("d2") + 0.05 * (freeze_thaw_weight * zero("freeze_thaw"))
+    rain = lambda d: unit(F.col(f"precip_3day_{d}") / FULL_RAIN)
+    total = coherence_penalty(coh) + SNOW_WEIGHT * snow + RAIN_WEIGHT * rain("d1") + RAIN_WEIGHT * rain("d2") + FROST_WEIGHT * (freeze_thaw_weight * zero("freeze_thaw"))
     points = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround((1 - total) * 100, 0)))
     return F.when(wet_snow(), 0.0).otherwise(points)
 

@@ -99,17 +99,29 @@ def fit_pixels(levels: DataFrame, keys: list[str], lags: tuple[int, ...]) -> Dat
     return wide.mapInPandas(run, f"{fields}, n_lags long, g_inf double, g0 double, tau double")
 
 
-def chained(segments: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ("season",)) -> DataFrame:
-    """Coherence of pairs whose segments (keys, days, season) meet the parameters of ``on``; null if one lacks them.
+def chained(spans: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, coh, floor, n_segments) of spans (keys, segments array<struct<days, season>>, on); null if a season lacks parameters.
 
-    Floors and starts are means weighted by days, decays add up.
+    Floors and starts are means weighted by days, decays add up. The parameters, one row a season (and ``on``, such as
+    a band of latitude), become a literal map, so that no segment is a row of its own and nothing is shuffled.
     """
-    joined = segments.join(F.broadcast(params), list(on), "left")  # four rows, one a season, or so for each band
-    days = F.sum("days")
-    ginf, g0 = F.sum(F.col("days") * F.col("g_inf")) / days, F.sum(F.col("days") * F.col("g0")) / days
-    total = ginf + (g0 - ginf) * F.exp(-F.sum(F.col("days") / F.col("tau")))
-    whole = F.count("tau") == F.count("*")
-    return joined.groupBy(*keys).agg(F.when(whole, F.round(total, 4)).alias("coh"), F.when(whole, F.round(ginf, 4)).otherwise(0.0).alias("floor"), F.count("*").alias("n_segments"))
+    key = F.concat_ws(":", *on, "season")
+    rows = params.select(key.alias("k"), "g_inf", "g0", "tau").collect()  # four, or four for each of nine bands
+    known = F.create_map(*(x for r in rows for x in (F.lit(r["k"]), F.struct(*(F.lit(float(r[c])).alias(c) for c in ("g_inf", "g0", "tau"))))))
+    of = lambda s: known[F.concat_ws(":", *(F.col(c).cast("string") for c in on), s["season"])]
+    got = spans.select(*keys, F.transform("segments", lambda s: F.struct(s["days"].alias("days"), of(s).alias("p"))).alias("x"))
+    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("days", "g_inf", "g0", "decay")), F.lit(True).alias("whole"))
+    add = lambda acc, x: F.struct(
+        (acc["days"] + x["days"]).alias("days"),
+        (acc["g_inf"] + F.coalesce(x["days"] * x["p"]["g_inf"], F.lit(0.0))).alias("g_inf"),
+        (acc["g0"] + F.coalesce(x["days"] * x["p"]["g0"], F.lit(0.0))).alias("g0"),
+        (acc["decay"] + F.coalesce(x["days"] / x["p"]["tau"], F.lit(0.0))).alias("decay"),
+        (acc["whole"] & x["p"]["tau"].isNotNull()).alias("whole"),
+    )
+    done = got.select(*keys, F.size("x").cast("long").alias("n_segments"), F.aggregate("x", zero, add).alias("a"))
+    ginf, g0 = F.col("a.g_inf") / F.col("a.days"), F.col("a.g0") / F.col("a.days")
+    total = ginf + (g0 - ginf) * F.exp(-F.col("a.decay"))
+    return done.select(*keys, F.when(F.col("a.whole"), F.round(total, 4)).alias("coh"), F.when(F.col("a.whole"), F.round(ginf, 4)).otherwise(0.0).alias("floor"), "n_segments")
 
 
 def pixel_chained(segments: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:
@@ -149,6 +161,12 @@ def evaluate(maps: DataFrame, dt: float) -> DataFrame:
     return maps.groupBy("season").agg(F.avg(c).alias("coh"), F.avg("g_inf").alias("floor"), F.count("*").alias("n"))
 
 
+def map_statistics(maps: DataFrame) -> DataFrame:
+    """Per season and polarization the valid pixels and the mean, least and most of each parameter, in one pass."""
+    stats = [f(F.when(F.col("valid"), F.col(c))).alias(f"{c}_{n}") for c in ("g_inf", "g0", "tau") for f, n in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))]
+    return maps.groupBy("season", "pol").agg(F.count(F.when(F.col("valid"), True)).alias("n_valid"), F.count("*").alias("n"), *stats)
+
+
 def covers(maps: DataFrame, row: int, col: int) -> DataFrame:
     """Seasons whose stored map's extent holds the point; others are stale for it."""
     e = maps.groupBy("season").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))

@@ -10,9 +10,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import least_labels
+
 
 def rates_design(n_dates: int, pairs: Sequence[tuple[int, int]], t: Sequence[float]) -> np.ndarray:
     """Pairs by intervals: the interval's length where the pair spans it."""
@@ -27,7 +30,8 @@ def date_corrections(shifts: DataFrame, schema_key: str = "stack") -> DataFrame:
     """Pair shifts (stack, t_ref, t_sec, shift, is_master on neither) -> corrections of dates, 0 at the first date.
 
     Rates of the intervals are the least-squares solution of least norm; summed, they give the dates' values. Failed
-    (null) measurements are left out and counted. One group per stack: its pairs, a bounded number a date.
+    (null) measurements are left out and counted. One group per stack: its pairs, a bounded number a date. The rank is
+    the number of dates less that of their connected parts; with full rank the normal equations are solved.
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -38,8 +42,8 @@ def date_corrections(shifts: DataFrame, schema_key: str = "stack") -> DataFrame:
         design = rates_design(len(dates), pairs, dates)
         y = used["shift"].to_numpy(float)
         if len(pairs):
-            rate = np.linalg.pinv(design) @ y
-            rank = int(np.linalg.matrix_rank(design))
+            rank = len(dates) - len(np.unique(least_labels(len(dates), *np.array(pairs).T)))
+            rate = np.linalg.solve(design.T @ design, design.T @ y) if rank == len(dates) - 1 else np.linalg.lstsq(design, y, rcond=None)[0]
             rmse = float(np.sqrt(np.mean((design @ rate - y) ** 2)))
         else:
             rate, rank, rmse = np.zeros(len(dates) - 1), 0, None
@@ -56,11 +60,20 @@ def applied(corrections: DataFrame, least: float = 1e-4) -> DataFrame:
     return corrections.withColumn("use", (F.col("t") != first) & c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) & (F.abs(c) >= least))
 
 
+def weighted_rates(design: np.ndarray, root: np.ndarray, y: np.ndarray, at_once: int = 4096) -> np.ndarray:
+    """Least-squares solutions of least norm of many pixels: rows of design and y times each pixel's root weights."""
+    out = np.zeros((len(y), design.shape[1]))
+    for i in range(0, len(y), at_once):
+        r = root[i : i + at_once]
+        out[i : i + at_once] = np.einsum("nkm,nm->nk", np.linalg.pinv(design * r[:, :, None]), y[i : i + at_once] * r)
+    return out
+
+
 def invert_pixels(phase: DataFrame, pairs: Sequence[tuple[int, int]], t: Sequence[float], weighted: bool = False, norm: str = "L2", iterations: int = 10) -> DataFrame:
     """(row, col, phase array<double>, weight array<double>) -> (row, col, n_used, coherence, date, value).
 
     Null phases are masked. Pixels with the same mask share one pseudo-inverse; with weights, or for the L1 norm (by
-    reweighting), each has its own. ``coherence`` is |mean(exp(i residual))|.
+    reweighting), each has its own, taken of all pixels of a batch at once. ``coherence`` is |mean(exp(i residual))|.
     """
     full = rates_design(len(t), pairs, t)
     dt = np.diff(np.asarray(t, float))
@@ -72,13 +85,12 @@ def invert_pixels(phase: DataFrame, pairs: Sequence[tuple[int, int]], t: Sequenc
             rate = np.zeros((len(p), len(dt)))
             if weighted or norm == "L1":
                 w0 = np.array([np.array(v, float) for v in p["weight"]]).reshape(y.shape) if weighted else np.ones(y.shape)
-                for i in range(len(p)):
-                    d, v, w = full[ok[i]], y[i, ok[i]], w0[i, ok[i]]
-                    for _ in range(iterations if norm == "L1" else 1):
-                        s = np.sqrt(w)
-                        rate[i] = np.linalg.pinv(d * s[:, None]) @ (v * s) if len(v) else 0
-                        if norm == "L1":
-                            w = w0[i, ok[i]] / np.maximum(np.abs(d @ rate[i] - v), 1e-6)
+                w0, v = np.where(ok, w0, 0.0), np.nan_to_num(y)
+                w = w0
+                for _ in range(iterations if norm == "L1" else 1):
+                    rate = weighted_rates(full, np.sqrt(w), v)
+                    if norm == "L1":
+                        w = w0 / np.maximum(np.abs(rate @ full.T - v), 1e-6)
             else:
                 code = np.packbits(ok, axis=1)
                 _, first, which = np.unique(code, axis=0, return_index=True, return_inverse=True)
@@ -131,7 +143,7 @@ def fitted_surface(ts: DataFrame, terms: dict[str, str], by: str = "t") -> DataF
     """(by, coefficients): least squares of value on SQL terms, per date, from sums of products.
 
     The sums are combined before their shuffle, so a date of any number of pixels is a row of numbers. The small
-    systems are solved date by date.
+    systems are solved date by date. Terms should be of like size; see with_axes().
     """
     names = list(terms)
     base = ts.where("value IS NOT NULL").select(by, "value", *(F.expr(e).cast("double").alias(n) for n, e in terms.items()))
@@ -151,16 +163,44 @@ def fitted_surface(ts: DataFrame, terms: dict[str, str], by: str = "t") -> DataF
 
 
 def without_surface(ts: DataFrame, terms: dict[str, str], mask: str = "true") -> DataFrame:
-    """Deramping: the surface fitted to the masked pixels of each date, taken from all."""
+    """The surface fitted to the masked pixels of each date, taken from all. An offset must be among the terms."""
     c = fitted_surface(ts.where(mask), terms).withColumnsRenamed({n: f"_{n}" for n in terms})
     fit = F.lit(0.0)
     for n, e in terms.items():
         fit = fit + F.col(f"_{n}") * F.expr(e)
-    return ts.join(c, "t").withColumn("value", F.col("value") - fit).drop(*(f"_{n}" for n in terms))
+    return ts.join(F.broadcast(c), "t").withColumn("value", F.col("value") - fit).drop(*(f"_{n}" for n in terms))  # one row a date
+
+
+def with_axes(ts: DataFrame, **terms: str) -> DataFrame:
+    """ts with terms moved and scaled to -1 to 1, so that their squares and products keep their digits over large grids."""
+    ends = ts.agg(*(f(F.expr(e).cast("double")) for e in terms.values() for f in (F.min, F.max))).first()
+    out = ts
+    for i, (name, e) in enumerate(terms.items()):
+        lo, hi = (x if x is not None else 0.0 for x in ends[2 * i : 2 * i + 2])
+        out = out.withColumn(name, (F.expr(e) - (lo + hi) / 2) / ((hi - lo) / 2 or 1.0))
+    return out
+
+
+LINEAR = {"one": "1", "r": "axis_r", "c": "axis_c"}
+QUADRATIC = {**LINEAR, "rr": "axis_r * axis_r", "cc": "axis_c * axis_c", "rc": "axis_r * axis_c"}
 
 
-LINEAR = {"one": "1", "r": "row", "c": "col"}
-QUADRATIC = {**LINEAR, "rr": "row * row", "cc": "col * col", "rc": "row * col"}
+def deramped(ts: DataFrame, terms: dict[str, str] = LINEAR, mask: str = "true") -> DataFrame:
+    """A plane or quadratic surface over rows and columns, fitted to each date's masked pixels, taken from all."""
+    return without_surface(with_axes(ts, axis_r="row", axis_c="col"), terms, mask).drop("axis_r", "axis_c")
+
+
+def without_height(ts: DataFrame, height: str, degree: int = 1, mask: str = "true") -> DataFrame:
+    """The part of each date that goes with a polynomial of the height, an SQL expression, taken out."""
+    terms = {"one": "1", **{f"h{k}": " * ".join(["axis_h"] * k) for k in range(1, degree + 1)}}
+    return without_surface(with_axes(ts, axis_h=height), terms, mask).drop("axis_h")
+
+
+def phase_velocity(phase: DataFrame) -> DataFrame:
+    """(row, col, velocity, n) of (row, col, dt_days, phase): sum of phases times years over sum of squared years."""
+    years = F.col("dt_days") / 365.25
+    ok = F.col("phase").isNotNull() & ~F.isnan("phase")
+    return phase.where(ok).groupBy("row", "col").agg((F.sum(F.col("phase") * years) / F.sum(years * years)).alias("velocity"), F.count("*").alias("n"))
 
 
 def residual_rms(residual: DataFrame, cutoff: float = 3.0) -> DataFrame:
@@ -207,28 +247,51 @@ def fit_series(series: DataFrame, t: Sequence[float], extra: Sequence[np.ndarray
             c = np.empty((len(p), len(own)))
             whole = ~np.isnan(y).any(1)
             c[whole] = y[whole] @ inverse.T
-            for i in np.flatnonzero(~whole):
-                ok = ~np.isnan(y[i])
-                c[i] = np.linalg.pinv(design[ok]) @ y[i, ok] if ok.any() else np.nan
+            gaps = np.flatnonzero(~whole)
+            ok = ~np.isnan(y[gaps])
+            c[gaps] = np.where(ok.any(1)[:, None], weighted_rates(design, ok.astype(float), np.nan_to_num(y[gaps])), np.nan)
             yield pd.DataFrame({"row": np.repeat(p["row"].to_numpy(), len(own)), "col": np.repeat(p["col"].to_numpy(), len(own)), "name": own * len(p), "coefficient": c.ravel()})
 
     return series.mapInPandas(run, "row long, col long, name string, coefficient double")
 
 
+def poisson_weights(keys: np.ndarray) -> np.ndarray:
+    """How often each key is picked: Poisson with mean 1, from a 64-bit finaliser of the key."""
+    x = keys.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    return np.searchsorted(np.cumsum(np.exp(-1) / np.cumprod([1, 1, 2, 3, 4, 5, 6, 7])), u, "right").astype(float)
+
+
 def bootstrap_velocity(ts: DataFrame, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """(row, col, velocity_std): spread of slopes over dates resampled by hashes, the same in every run.
+    """(row, col, velocity_std, n): spread of slopes over dates resampled by hashes, the same in every run.
 
-    Each date counts as often as one of the others' hashes picks it, about Poisson with mean 1.
+    Each date of a pixel counts in each replicate as often as its hash says, Poisson with mean 1. A pixel's dates are one
+    array; a batch's sums are arrays of pixels by replicates, so that no row is made for a replicate.
     """
-    r = ts.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", "row", "col", "t"), F.lit(1_000_000)) / 1e6
-    cuts = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1)) for k in range(6)])
-    weight = F.lit(6)
-    for k in reversed(range(6)):
-        weight = F.when(u < float(cuts[k]), k).otherwise(weight)
-    x = F.col("t") / 365.25
-    w = r.withColumn("w", weight).where("w > 0")
-    s = w.groupBy("row", "col", "rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * x).alias("sx"), F.sum(F.col("w") * F.col("value")).alias("sy"), F.sum(F.col("w") * x * x).alias("sxx"), F.sum(F.col("w") * x * F.col("value")).alias("sxy"))
-    d = F.col("n") * F.col("sxx") - F.col("sx") ** 2
-    slope = F.when(d > 1e-12, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / d)
-    return s.withColumn("slope", slope).groupBy("row", "col").agg(F.stddev_samp("slope").alias("velocity_std"), F.count("slope").alias("n"))
+    point = F.struct("t", F.col("value").cast("double").alias("y"))
+    pixel = ts.where("value IS NOT NULL").groupBy("row", "col").agg(F.sort_array(F.collect_list(point)).alias("p"))
+    pixel = pixel.select("row", "col", F.xxhash64(F.lit(seed), "row", "col").alias("h"), F.transform("p", lambda x: x["t"]).alias("t"), F.transform("p", lambda x: x["y"]).alias("y"))
+    rep = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+                n = b.column("t").value_lengths().to_numpy().astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(n)[:-1]])
+                t, y = b.column("t").flatten().to_numpy().astype(float), b.column("y").flatten().to_numpy()
+                x = t / 365.25
+                own = np.repeat(b.column("h").to_numpy().view(np.uint64), n) + t.astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95)
+                w = poisson_weights(own[:, None] ^ rep[None, :])
+                total = lambda v: np.add.reduceat(w * v[:, None], at, axis=0)
+                one, sx, sy, sxx, sxy = (total(v) for v in (np.ones(len(x)), x, y, x * x, x * y))
+                det = one * sxx - sx * sx
+                ok = det > 1e-12
+                slope = np.where(ok, (one * sxy - sx * sy) / np.where(ok, det, 1), 0.0)
+                m = ok.sum(1)
+                mean = slope.sum(1) / np.maximum(m, 1)
+                std = np.sqrt((np.where(ok, slope - mean[:, None], 0) ** 2).sum(1) / np.maximum(m - 1, 1))
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(std, mask=m < 2), pa.array(m.astype(np.int64))], ["row", "col", "velocity_std", "n"])
+
+    return pixel.mapInArrow(run, "row long, col long, velocity_std double, n long")

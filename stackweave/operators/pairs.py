@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo as G
+
 #: Fixed default values of pair selection.
 TARGETS = (6, 12, 24, 36, 48, 72, 96)
 TOLERANCE = 3
@@ -43,10 +47,23 @@ def all_pairs(scenes: DataFrame, dt_max: int | None = None) -> DataFrame:
     )
 
 
+def later_scenes(scenes: DataFrame) -> DataFrame:
+    """(stack, scene, n_later, dt_max, bperp_max): what a scene's pairs with all later ones of its stack amount to.
+
+    The numbers of all combinations without forming them: a stack is sorted once, from its last day on.
+    """
+    w = Window.partitionBy("stack").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    most, least = F.max("bperp_m").over(w), F.min("bperp_m").over(w)
+    far = F.round(F.greatest(F.abs(most - F.col("bperp_m")), F.abs(least - F.col("bperp_m"))), 5)
+    out = scenes.select("stack", "scene", F.count("*").over(w).alias("n_later"), (F.max("t").over(w) - F.col("t")).alias("dt_max"), far.alias("bperp_max"))
+    return out.where("n_later > 0")
+
+
 def usable(targets: Sequence[int] = TARGETS, tol: int = TOLERANCE, dt_max: int = DT_MAX, pb_max: float = PB_MAX) -> Column:
     """Near a target interval, within the longest interval and baseline; a missing baseline is too long."""
-    near = F.exists(F.array(*map(F.lit, targets)), lambda t: F.abs(F.col("dt_days") - t) <= tol)
-    return near & (F.col("dt_days") <= dt_max) & (F.coalesce("bperp", F.lit(NO_BASELINE)) <= pb_max)
+    # plain comparisons, the cheap ones first: they are compiled into the join
+    near = reduce(or_, (F.abs(F.col("dt_days") - t) <= tol for t in targets))
+    return (F.col("dt_days") <= dt_max) & near & (F.coalesce("bperp", F.lit(NO_BASELINE)) <= pb_max)
 
 
 def primary_pairs(scenes: DataFrame, **limits) -> DataFrame:
@@ -105,6 +122,12 @@ def canonical(pairs: DataFrame, scenes: DataFrame) -> tuple[DataFrame, DataFrame
     return kept, lost
 
 
+def layered(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """One row per key, from the last source that has it; ``source`` is its number."""
+    n = len(sources) - 1
+    return by_priority(sources[::-1], keys).withColumn("source", n - F.col("source"))
+
+
 def by_priority(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """One row per key, from the first source that has it; ``source`` is its number."""
     rows = None
@@ -144,3 +167,18 @@ def half_baseline_positions(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
     mean = half.groupBy("stack", "scene").agg(F.avg("p").alias("p"))
     first = mean.join(scenes.select("scene", "t"), "scene").groupBy("stack").agg(F.min_by("p", F.struct("t", "scene")).alias("zero"))
     return mean.join(first, "stack").select("stack", "scene", (F.col("p") - F.col("zero")).alias("position"))
+
+
+def anchor_baselines(vectors: DataFrame) -> DataFrame:
+    """(stack, scene, bperp) against each stack's first scene: the part of the distance of the orbits across the beam.
+
+    vectors: (stack, scene, t, lat, lon, r and v struct<x, y, z>), positions and speeds at a scene's own time. The
+    beam's upward direction is that of the first scene. Scenes without a position, or with an implausible baseline,
+    get null, as do all of a stack whose first has none.
+    """
+    first = vectors.groupBy("stack").agg(F.min_by(F.struct("scene", "lat", "lon", "r", "v"), F.struct("t", "scene")).alias("a"))
+    ground = G.ecef(F.col("a.lat"), F.col("a.lon"), F.lit(0.0))
+    first = first.withColumn("beam", G.of_length_one(G.difference(F.col("a.r"), ground))).withColumn("up", G.of_length_one(G.cross(F.col("a.v"), F.col("beam"))))
+    own = G.dot(F.col("up"), G.difference(F.col("r"), F.col("a.r")))
+    b = F.when(F.col("a.r").isNull(), F.lit(None).cast("double")).when(F.col("scene") == F.col("a.scene"), 0.0).when(F.abs(own) <= IMPLAUSIBLE, own)
+    return vectors.join(first.select("stack", "a", "up"), "stack").select("stack", "scene", b.alias("bperp"))

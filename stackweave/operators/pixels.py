@@ -44,6 +44,15 @@ def multilook(pixels: DataFrame, down: int, across: int, layer: str = "layer") -
     return pixels.groupBy(layer, F.floor(F.col("row") / down).alias("row"), F.floor(F.col("col") / across).alias("col")).agg(F.avg("v").alias("v"), F.count("v").alias("n"))
 
 
+def resampled(pixels: DataFrame, down: int, across: int, categorical: bool, layer: str = "layer") -> DataFrame:
+    """Cells of down x across pixels: codes are taken from the pixel nearest to the centre (ties: first row, column), values averaged."""
+    if not categorical:
+        return multilook(pixels, down, across, layer)
+    own = lambda c, n: F.abs(F.pmod(c, F.lit(n)) - (n - 1) / 2)
+    far = own("row", down) ** 2 + own("col", across) ** 2
+    return pixels.groupBy(layer, F.floor(F.col("row") / down).alias("row"), F.floor(F.col("col") / across).alias("col")).agg(F.min_by("v", F.struct(far, "row", "col")).alias("v"), F.count("v").alias("n"))
+
+
 def nan_fraction(pixels: DataFrame, key: str = "layer") -> DataFrame:
     return pixels.groupBy(key).agg(F.avg(F.coalesce(F.isnan(F.col("v").cast("double")) | F.col("v").isNull(), F.lit(True)).cast("double")).alias("nan_fraction"))
 
@@ -111,8 +120,12 @@ def stack_mean(pixels: DataFrame, threshold: float) -> DataFrame:
 
 
 def display_range(pixels: DataFrame, key: str = "layer") -> DataFrame:
-    """2nd and 98th percentile; least and most where these agree; and the 98th of the magnitude."""
-    r = pixels.groupBy(key).agg(F.percentile("v", 0.02).alias("p2"), F.percentile("v", 0.98).alias("p98"), F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), F.percentile(F.abs("v"), 0.98).alias("abs98"))
+    """2nd and 98th percentile; least and most where these agree; and the 98th of the magnitude. Exact.
+
+    Pixels are counted by value first, before the shuffle; what comes together is one row a distinct value.
+    """
+    counted = pixels.where("v IS NOT NULL").groupBy(key, "v").agg(F.count("*").alias("n"))
+    r = counted.groupBy(key).agg(F.percentile("v", 0.02, F.col("n")).alias("p2"), F.percentile("v", 0.98, F.col("n")).alias("p98"), F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"), F.percentile(F.abs("v"), 0.98, F.col("n")).alias("abs98"))
     flat = F.col("p2") >= F.col("p98")
     return r.select(key, F.when(flat, F.col("lo")).otherwise(F.col("p2")).alias("vmin"), F.when(flat, F.col("hi")).otherwise(F.col("p98")).alias("vmax"), "abs98")
 

@@ -13,15 +13,16 @@ from .registry import query
 
 @query("SELECT stack, path, frame, scene, CAST(day AS VARCHAR) AS day, orbit FROM scenes WHERE day BETWEEN DATE '1996-03-01' AND DATE '1999-10-31' AND path IN (1, 3, 5, 7, 9, 11) AND month(day) IN (3, 4, 5, 9, 10) AND orbit IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144)")
 def catalog_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Bound predicates that reach the scan."""
-    got = C.filter_scenes(scenes(spark, folder), start="1996-03-01", end="1999-10-31", paths=[1, 3, 5, 7, 9, 11], months=[3, 4, 5, 9, 10], orbits=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
+    """Bound predicates that reach the scan; nothing found is an error."""
+    got = C.search(scenes(spark, folder), start="1996-03-01", end="1999-10-31", paths=[1, 3, 5, 7, 9, 11], months=[3, 4, 5, 9, 10], orbits=[1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
     return got.select("stack", "path", "frame", "scene", F.col("day").cast("string").alias("day"), "orbit")
 
 
-@query("SELECT scene, stack, polarization FROM scenes WHERE (path = 2 AND frame = 'BUILDING' OR path = 4 AND frame = 'MACHINERY' OR path = 6) AND list_has_any(string_split_regex(polarization, '[+\\-]'), ['1', 'URGENT', '2']) AND path <> 6")
+@query("SELECT scene, stack, polarization FROM scenes WHERE (path = 2 AND frame = 'BUILDING' OR path = 4 AND frame = 'MACHINERY' OR path = 6) AND list_has_any(string_split(polarization, '-'), ['1', 'URGENT', '2']) AND path <> 6")
 def catalog_stack_and_polarization(spark: SparkSession, folder: str) -> DataFrame:
     """Stack keys and polarization tokens."""
-    return C.filter_scenes(scenes(spark, folder), stacks=[(2, "BUILDING"), (4, "MACHINERY")], polarizations=["1", "URGENT", "2"]).select("scene", "stack", "polarization")
+    s = scenes(spark, folder).withColumn("polarization", F.translate("polarization", "-", "+"))
+    return C.filter_scenes(s, stacks=[(2, "BUILDING"), (4, "MACHINERY")], polarizations=["1", "URGENT", "2"]).select("scene", "stack", F.translate("polarization", "+", "-").alias("polarization"))
 
 
 @query("SELECT s.scene, s.stack, s.direction FROM scenes s JOIN (SELECT stack FROM scenes QUALIFY row_number() OVER (PARTITION BY stack ORDER BY t, scene) = 1 AND direction = 'ASCENDING') f USING (stack)")
@@ -93,9 +94,9 @@ def catalog_names_not_found(spark: SparkSession, folder: str) -> DataFrame:
     return C.search_by_name(s.withColumn("level", F.when(F.col("level") == "F", "METADATA_SLC").otherwise(F.col("level"))), names)[1]
 
 
-@query("SELECT name, arg_min(doc_id, (doc_id, pos)) AS doc_id, arg_min(pos, (doc_id, pos)) AS pos FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS name FROM (SELECT doc_id, string_split_regex(text, '[\\s,]+') AS l FROM documents)) WHERE regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_\\-]{19,}') GROUP BY name")
+@query("SELECT name, arg_min(doc_id, (doc_id, pos)) AS doc_id, arg_min(pos, (doc_id, pos)) AS pos FROM (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS name FROM (SELECT doc_id, string_split_regex(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(ltrim(x), '#')), chr(10)), '[\\s,]+') AS l FROM documents)) WHERE regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_\\-]{19,}') GROUP BY name")
 def catalog_name_list(spark: SparkSession, folder: str) -> DataFrame:
-    """S3: names of at least 20 characters in free text, first place of each."""
+    """S3: names of at least 20 characters in free text outside comments, first place of each."""
     return C.name_list(table(spark, folder, "documents"))
 
 
@@ -123,7 +124,7 @@ def catalog_names_and_dates(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT scene, 'IW' || (scene % 3 + 1) AS swath, CAST(118000 + scene % 1000 AS VARCHAR) || '_IW' || (scene % 3 + 1) AS position, lpad(CAST(orbit AS VARCHAR), 3, '0') || '_' || (118000 + scene % 1000) || '_IW' || (scene % 3 + 1) AS burst,
 coalesce(CASE WHEN scene % 3 = 0 THEN path END, CASE WHEN scene % 3 = 1 THEN orbit END, orbit) AS track FROM scenes""")
 def catalog_bursts(spark: SparkSession, folder: str) -> DataFrame:
-    """Burst names, positions, ids and track numbers with their fallbacks."""
+    """Burst names, positions, ids and track numbers with their fallbacks."""
     b = scenes(spark, folder).select("*", F.concat(F.lit("S1_"), 118000 + F.pmod("scene", F.lit(1000)), F.lit("_IW"), F.pmod("scene", F.lit(3)) + 1, F.lit("_"), F.date_format("day", "yyyyMMdd"), F.lit("T131002_VV_A124-BURST")).alias("burst_name"))
     name = F.col("burst_name")
     burst = N.full_burst_id(F.col("orbit"), F.regexp_extract(name, r"^S1_(\d+)_", 1), N.swath_of(name))
@@ -147,13 +148,13 @@ def catalog_search_span(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT frame, CAST(day AS VARCHAR) AS day FROM (SELECT frame, day, count(DISTINCT direction) AS h FROM scenes GROUP BY frame, day) JOIN (SELECT frame, count(DISTINCT direction) AS n FROM scenes GROUP BY frame) USING (frame) WHERE h = n")
 def catalog_dates_in_common(spark: SparkSession, folder: str) -> DataFrame:
-    """Dates of a frame that all its directions have."""
+    """Dates of a frame that all its directions have."""
     return C.in_common(scenes(spark, folder).withColumn("day", F.col("day").cast("string")), "frame", "direction", "day")
 
 
 @query("SELECT frame, direction, CAST(day AS VARCHAR) AS day FROM (SELECT DISTINCT frame, direction, day FROM scenes) a WHERE NOT EXISTS (SELECT 1 FROM scenes b WHERE b.frame = a.frame AND b.day = a.day AND b.direction <> a.direction)")
 def catalog_dates_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    """The dates that one direction has alone."""
+    """The dates that one direction has alone."""
     s = scenes(spark, folder).withColumn("day", F.col("day").cast("string"))
     return s.select("frame", "direction", "day").distinct().join(C.in_common(s, "frame", "direction", "day"), ["frame", "day"], "left_anti").select("frame", "direction", "day")
 

@@ -11,11 +11,11 @@ from ..operators import coherence as K
 from ..operators import features as E
 from ..operators import pairs as P
 from .adapters import LEVELS, WITH, collapsed, latitude, samples, site_days, table
-from .registry import SQL, query
+from .registry import query
 
 # pair features: days of a site up to 12 apart, with land cover, vegetation and baselines derived from the keys
 PAIRS = """, sums AS (
-  SELECT *, sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS precip_3day, sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS precip_7day FROM site_days
+  SELECT *, sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS precip_3day, sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS precip_7day, (month(day) + CASE WHEN site % 190 < 95 THEN 6 ELSE 0 END) % 12 // 3 AS season FROM site_days
 ), fv AS (
   SELECT a.site, a.t AS t_d1, b.t AS t_d2, b.t - a.t AS dt, a.temp AS temp_max_d1, b.temp AS temp_max_d2, a.snow AS snow_cover_frac_d1, b.snow AS snow_cover_frac_d2,
     CAST(a.precip AS DOUBLE) AS precip_d1, CAST(b.precip AS DOUBLE) AS precip_d2, CAST(a.precip_3day AS DOUBLE) AS precip_3day_d1, CAST(b.precip_3day AS DOUBLE) AS precip_3day_d2, CAST(a.precip_7day AS DOUBLE) AS precip_7day_d1, CAST(b.precip_7day AS DOUBLE) AS precip_7day_d2,
@@ -23,7 +23,7 @@ PAIRS = """, sums AS (
     round_even(abs(a.snow - b.snow), 4) AS delta_snow_cover, coalesce(CAST((a.temp < 0) <> (b.temp < 0) AS INT), 0) AS freeze_thaw,
     CAST((a.site + a.t) % 10 AS DOUBLE) / 10 AS ndvi_d1, CAST((a.site + b.t) % 10 AS DOUBLE) / 10 AS ndvi_d2,
     greatest(CAST((a.site + a.t) % 10 AS DOUBLE) / 10, CAST((a.site + b.t) % 10 AS DOUBLE) / 10) * CAST(least((b.t - a.t) / 180.0, 1) AS DOUBLE) AS veg_temporal,
-    CAST(CASE (a.t + a.site) % 3 WHEN 0 THEN 0 WHEN 1 THEN 0.35 ELSE 0.95 END AS DOUBLE) AS season_penalty, CAST(CASE WHEN (a.t + b.t) % 7 = 0 THEN 1 ELSE 0 END AS INT) AS is_annual_repeat,
+    CAST(CASE (a.season - b.season + 4) % 4 WHEN 0 THEN 0 WHEN 2 THEN CASE WHEN a.season % 2 = 0 THEN 0.95 ELSE 0.70 END ELSE 0.35 END AS DOUBLE) AS season_penalty, CAST(len(list_filter([1, 2, 3, 4, 5], lambda n: abs(b.t - a.t - n * 365) <= 20)) > 0 AS INT) AS is_annual_repeat,
     CAST(a.site % 5 AS DOUBLE) / 10 AS lc_forest_fraction, CAST(a.site % 3 AS DOUBLE) / 10 AS lc_urban_fraction, CAST(a.site % 2 AS DOUBLE) / 10 AS lc_bare_fraction, CAST(a.site % 4 AS DOUBLE) / 10 AS lc_crop_fraction, CAST(0.1 AS DOUBLE) AS lc_grass_fraction, CAST(a.site % 2 AS DOUBLE) / 5 AS lc_shrub_fraction,
     CAST(a.site % 7 AS DOUBLE) / 10 AS lc_water_fraction, CAST(a.site % 11 AS DOUBLE) / 20 AS lc_snow_fraction, a.site % 17 = 0 AS fire
   FROM sums a JOIN sums b ON a.site = b.site AND b.t - a.t BETWEEN 1 AND 12
@@ -47,7 +47,8 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     b = F.pmod(F.col("site") * 37 + F.col("t_d1") * 13, F.lit(900)).cast("double")
     ndvi = lambda d: F.pmod(F.col("site") + F.col(f"t_{d}"), F.lit(10)).cast("double") / 10
     dtn = F.least(F.col("dt") / 180.0, F.lit(1.0))
-    third = F.pmod(F.col("t_d1") + F.col("site"), F.lit(3))
+    month = lambda d: F.month(F.date_add(F.lit("1970-01-01").cast("date"), F.col(f"t_{d}").cast("int")))
+    lat = F.pmod("site", F.lit(190)) - 95
     amounts = [F.col(f"{c}_{d}").cast("double").alias(f"{c}_{d}") for c in ("precip", "precip_3day", "precip_7day") for d in ("d1", "d2")]
     return p.select(
         "site", "t_d1", "t_d2", "dt", *amounts,
@@ -55,7 +56,7 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
         dtn.alias("dt_normalized"), Q.unit((b - 150) / 650).alias("bperp_normalized"), b.alias("bperp"),
         Q.snow_delta(F.col("snow_d1"), F.col("snow_d2")).alias("delta_snow_cover"), Q.freeze_thaw(F.col("temp_d1"), F.col("temp_d2")).alias("freeze_thaw"),
         ndvi("d1").alias("ndvi_d1"), ndvi("d2").alias("ndvi_d2"), (F.greatest(ndvi("d1"), ndvi("d2")) * dtn).alias("veg_temporal"),
-        F.when(third == 0, 0.0).when(third == 1, 0.35).otherwise(0.95).alias("season_penalty"), (F.pmod(F.col("t_d1") + F.col("t_d2"), F.lit(7)) == 0).cast("int").alias("is_annual_repeat"),
+        Q.season_penalty(month("d1"), month("d2"), lat).alias("season_penalty"), Q.annual_repeat(F.col("dt")).cast("int").alias("is_annual_repeat"),
         share(5, 10).alias("lc_forest_fraction"), share(3, 10).alias("lc_urban_fraction"), share(2, 10).alias("lc_bare_fraction"), share(4, 10).alias("lc_crop_fraction"), F.lit(0.1).alias("lc_grass_fraction"), share(2, 5).alias("lc_shrub_fraction"),
         share(7, 10).alias("lc_water_fraction"), share(11, 20).alias("lc_snow_fraction"), (F.pmod("site", F.lit(17)) == 0).alias("fire"),
     )
@@ -63,20 +64,20 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT site, t, n, round(CAST(precip AS DOUBLE), 2) AS precip, round(CAST(sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE), 2) AS precip_3day, round(CAST(sum(precip) OVER (PARTITION BY site ORDER BY t RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS DOUBLE), 2) AS precip_7day, round(snow, 6) AS snow FROM site_days")
 def features_trailing_rain(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily sums and trailing three- and seven-day rain."""
+    """Daily sums and trailing three- and seven-day rain."""
     two = lambda c: F.round(F.col(c).cast("double"), 2).alias(c)
     return E.trailing_sums(site_days(spark, folder)).select("site", "t", "n", two("precip"), two("precip_3day"), two("precip_7day"), F.round("snow", 6).alias("snow"))
 
 
 @query(WITH + PAIRS + "SELECT site, t FROM sums WHERE coalesce(temp > 0 AND snow > 0.30, false) OR snow >= 0.5 OR coalesce(precip_3day, precip) >= 25")
 def features_bad_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Wet snow, much snow, or much rain."""
+    """wet snow, much snow, or much rain."""
     return E.bad_days(E.trailing_sums(site_days(spark, folder))).select("site", "t")
 
 
 @query("SELECT site, day, hour, n, round(CAST(total AS DOUBLE), 2) AS total, h17 FROM (SELECT CAST(user_id AS BIGINT) AS site, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS INT) AS hour, count(*) AS n, sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS total, hour(ts) = 17 AS h17 FROM events GROUP BY 1, 2, 3, 6) WHERE hour = (site * 7) % 24 OR h17")
 def features_hour_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Hourly values at each site's overpass hour, or at the default hour 17."""
+    """Hourly values at each site's overpass hour, or at the default hour 17."""
     e = table(spark, folder, "events")
     hourly = e.groupBy(F.col("user_id").cast("long").alias("site"), F.to_date("ts").cast("string").alias("day"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum(F.round("value", 2).cast("decimal(18,2)")).cast("double"), 2).alias("total"))
     site = hourly.select("site").distinct()
@@ -87,7 +88,7 @@ def features_hour_lookup(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT site, t, "at", value, CASE WHEN "at" IS NULL THEN 'climatology' ELSE 'composite' END AS source FROM (
 SELECT a.site, a.t, b."at", b.value, row_number() OVER (PARTITION BY a.site, a.t ORDER BY abs(b."at" - a.t), b."at") AS rn FROM site_days a LEFT JOIN (SELECT site, t AS "at", n AS value FROM site_days WHERE t % 9 = 0 AND site % 4 <> 0) b ON a.site = b.site AND abs(b."at" - a.t) <= 16) WHERE rn = 1""")
 def features_nearest_composite(spark: SparkSession, folder: str) -> DataFrame:
-    """The nearest vegetation composite, else climatology."""
+    """The nearest vegetation composite, else the name of the next tier."""
     d = site_days(spark, folder)
     comp = d.where("t % 9 = 0 AND site % 4 != 0").select("site", F.col("t").alias("at"), F.col("n").alias("value"))
     return E.nearest(d.select("site", "t"), comp, "site", 16).withColumn("source", F.when(F.col("at").isNull(), "climatology").otherwise("composite"))
@@ -123,7 +124,7 @@ def features_orbit_at_time(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT 'geometry' AS section, CAST(site AS VARCHAR) AS key, max(n) AS fetched FROM (SELECT site, 700 - CAST(t - 19723 AS BIGINT) * 20 AS n FROM site_days WHERE t % 3 = 0) GROUP BY site HAVING 1000 - max(n) <= 365")
 def features_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored features still valid: the last fetch within 365 days."""
+    """Stored features still valid: the last fetch within 365 days."""
     d = site_days(spark, folder)
     store = d.where("t % 3 = 0").select(F.lit("geometry").alias("section"), F.col("site").cast("string").alias("key"), F.col("n").alias("value"), (700 - (F.col("t") - 19723) * 20).alias("fetched"))
     wanted = d.select(F.lit("geometry").alias("section"), F.col("site").cast("string").alias("key")).distinct()
@@ -132,7 +133,7 @@ def features_store(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(WITH + PAIRS + f"SELECT site, t_d1, t_d2, round({unit('1 - ' + weighted(Q.FLAT))}, 9) AS score FROM fv")
 def quality_flat(spark: SparkSession, folder: str) -> DataFrame:
-    """The flat score of pairs of days."""
+    """The flat score of pairs of days."""
     return features(spark, folder).select("site", "t_d1", "t_d2", Q.flat_score(digits=9).alias("score"))
 
 
@@ -143,22 +144,16 @@ CASE WHEN coalesce(temp_max_d1 > 0 AND snow_cover_frac_d1 > 0.3, false) OR coale
 @query(WITH + PAIRS + f"""SELECT site, t_d1, t_d2, array_to_string({KILLS}, ',') AS kills, CASE WHEN len({KILLS}) > 0 THEN 0 ELSE round({unit("CASE WHEN v >= 0.4 AND (ndvi_d1 >= 0.3) <> (ndvi_d2 >= 0.3) THEN least(m, 0.5) ELSE m END")}, 9) END AS score FROM (
 SELECT *, (a / tot) * {unit('1 - ' + weighted(Q.URBAN_BARE, 80.0))} + (v / tot) * {unit('1 - ' + weighted(Q.VEGETATION, 80.0))} + (c / tot) * least({unit('1 - ' + weighted(Q.FOREST, 80.0))}, 0.25) AS m FROM (SELECT *, CASE WHEN a + v + c = 0 THEN 1 ELSE a + v + c END AS tot FROM (SELECT *, lc_urban_fraction + lc_bare_fraction AS a, lc_crop_fraction + lc_grass_fraction + lc_shrub_fraction AS v, lc_forest_fraction AS c FROM fv)))""")
 def quality_landcover(spark: SparkSession, folder: str) -> DataFrame:
-    """Kills, branch scores mixed by land cover, caps."""
+    """Q3: kills, branch scores mixed by land cover, caps."""
     return features(spark, folder).select("site", "t_d1", "t_d2", F.array_join(Q.hard_kills(), ",").alias("kills"), Q.landcover_score(9).alias("score"))
 
 
 POINTS = "greatest(0, least(100, round_even((1 - (pow({c}, 2) + 0.25 * least(1, greatest(snow_cover_frac_d1, snow_cover_frac_d2, delta_snow_cover)) + 0.75 * {r1} + 0.75 * {r2} + 0.05 * (0.05 * freeze_thaw))) * 100, 0)))".format(c=unit("(0.40 - coh) / 0.30"), r1=unit("precip_3day_d1 / 30.0"), r2=unit("precip_3day_d2 / 30.0"))
 
 
-@query(WITH + PAIRS + f"SELECT site, t_d1, t_d2, CASE WHEN coalesce(temp_max_d1 > 0 AND snow_cover_frac_d1 > 0.3, false) OR coalesce(temp_max_d2 > 0 AND snow_cover_frac_d2 > 0.3, false) THEN 0 ELSE {POINTS} END AS score100, 'coherence' AS tier FROM (SELECT *, CAST((site * 3 + t_d1 + t_d2 * 5) % 60 AS DOUBLE) / 100 AS coh FROM fv) WHERE site % 3 <> 0")
+@query(WITH + PAIRS + f"SELECT site, t_d1, t_d2, CASE WHEN coalesce(temp_max_d1 > 0 AND snow_cover_frac_d1 > 0.3, false) OR coalesce(temp_max_d2 > 0 AND snow_cover_frac_d2 > 0.3, false) THEN 0 ELSE {POINTS} END AS score100, 'coherence' AS tier FROM (SELECT *, CAST((site * 3 + t_d1 + t_d2 * 5) % 60 AS DOUBLE) / 100 AS coh FROM fv)")
 def quality_coherence(spark: SparkSession, folder: str) -> DataFrame:
     """Points from the coherence, with the weather's penalties."""
-    return coherence_points(features(spark, folder).where("site % 3 != 0"))
-
-
-@query(SQL["quality_coherence"].replace(" WHERE site % 3 <> 0", ""))
-def quality_coherence_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for all sites."""
     return coherence_points(features(spark, folder))
 
 
@@ -170,7 +165,7 @@ def coherence_points(f: DataFrame) -> DataFrame:
 
 @query()
 def quality_tiers(spark: SparkSession, folder: str) -> DataFrame:
-    """Each tier of the cascade, with the flat score's largest contributions."""
+    """Each tier of the cascade, with the flat score's largest contributions."""
     f = features(spark, folder)
     third = F.pmod("site", F.lit(4))
     f = f.withColumns({"coherence_expected": F.when(third == 0, 0.3), "coherence_source": F.when(third == 1, "failed").otherwise("s3"), "coherence_climatology": F.when(third == 2, 0.2), "lc_dominant_class": F.when(third == 1, 10), "ndvi_max": F.lit(None).cast("double")})
@@ -182,30 +177,28 @@ def quality_tiers(spark: SparkSession, folder: str) -> DataFrame:
 @query(WITH + PAIRS + f"""SELECT site, t_d1, t_d2, round({unit("1 - (0.30 * d + 0.15 * least(abs(bperp) / 300, 1) + 0.25 * snow + 0.15 * season_penalty + 0.15 * ndvi_d1 * d - CASE WHEN len(list_filter([1, 2, 3, 4], lambda n: abs(dt - n * 365) <= 20)) > 0 THEN 0.3 ELSE 0 END)")}, 9) AS score FROM (
 SELECT *, least(CAST(dt AS DOUBLE) / 180, 1.0::DOUBLE) AS d, CASE WHEN coalesce(precip_d1, 0) > 20 THEN CASE WHEN temp_max_d1 > 0 THEN 1.0 ELSE 0.85 END WHEN coalesce(precip_d1, 0) > 5 THEN 0.6 WHEN coalesce(precip_d2, 0) > 1 THEN 0.3 ELSE 0 END AS snow0, snow0::DOUBLE AS snow FROM fv)""")
 def quality_legacy(spark: SparkSession, folder: str) -> DataFrame:
-    """The older score, rain standing for snow depth."""
+    """The older score, rain standing for snow depth."""
     snow = Q.snow_depth_penalty(F.col("precip_d1"), F.col("precip_d2"), F.col("temp_max_d1"))
     return features(spark, folder).select("site", "t_d1", "t_d2", Q.legacy_score(F.col("dt"), F.col("bperp"), snow, F.col("season_penalty"), F.col("ndvi_d1"), 9).alias("score"))
 
 
 @query("""SELECT stack, ref, sec, i AS segment, CAST(greatest(date_diff('day', b, e), 1) AS INT) AS days, (['winter','winter','spring','spring','spring','summer','summer','summer','fall','fall','fall','winter'])[month(b)] AS season FROM (
 SELECT stack, ref, sec, unnest(range(len(p) - 1)) AS i, unnest(p[1:len(p) - 1]) AS b, unnest(p[2:len(p)]) AS e FROM (SELECT *, list_concat(list_concat([d1], list_filter(list_transform(range(CAST(date_trunc('month', d1) AS TIMESTAMP), CAST(d2 AS TIMESTAMP), INTERVAL 1 MONTH), lambda x: CAST(x AS DATE)), lambda m: month(m) IN (3, 6, 9, 12) AND m > d1 AND m < d2)), [d2]) AS p FROM (
-SELECT a.stack, a.scene AS ref, b.scene AS sec, a.day AS d1, b.day AS d2 FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND b.t - a.t BETWEEN 1 AND 120 WHERE a.path < 5)))""")
+SELECT a.stack, a.scene AS ref, b.scene AS sec, a.day AS d1, b.day AS d2 FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND b.t - a.t BETWEEN 1 AND 120)))""")
 def coherence_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of pairs cut at the seasons' first days."""
-    return pair_segments(collapsed(spark, folder).where("path < 5"))
-
-
-@query(SQL["coherence_segments"].replace(" WHERE a.path < 5", ""))
-def coherence_segments_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for all stacks."""
     return pair_segments(collapsed(spark, folder))
 
 
-def pair_segments(scenes: DataFrame, lat: Column | None = None) -> DataFrame:
-    lat = F.lit(45.0) if lat is None else lat
+def pair_spans(scenes: DataFrame, lat: Column | None = None) -> DataFrame:
+    """(stack, ref, sec, segments) of pairs up to 120 days apart."""
     p = P.all_pairs(scenes, 120)
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
-    return p.select("stack", "ref", "sec", F.posexplode(K.season_segments(day("t_ref"), day("t_sec"), lat)).alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
+    return p.select("stack", "ref", "sec", K.season_segments(day("t_ref"), day("t_sec"), F.lit(45.0) if lat is None else lat).alias("segments"))
+
+
+def pair_segments(scenes: DataFrame) -> DataFrame:
+    return pair_spans(scenes).select("stack", "ref", "sec", F.posexplode("segments").alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
 
 
 @query("SELECT season, lag, round(avg(coh), 6) AS coh, count(*) AS n FROM samples WHERE coh > 0 AND coh < 255 GROUP BY season, lag HAVING count(*) >= 30")
@@ -223,7 +216,7 @@ def season_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def coherence_decay_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Floors, starts and decay times per part and season, from at least three lags."""
+    """Q8 Q9: floors, starts and decay times per part and season, from at least three lags."""
     s = samples(spark, folder).where("coh > 0 AND coh < 255")
     levels = s.groupBy("part", "season", "lag").agg((F.avg("coh") / 100).alias("coh"))
     got = K.fit_pixels(levels, ["part", "season"], LEVELS).where("n_lags >= 3")
@@ -233,20 +226,20 @@ def coherence_decay_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def coherence_chained(spark: SparkSession, folder: str) -> DataFrame:
     """Q5: coherence of pairs chained over their seasons."""
-    return K.chained(pair_segments(collapsed(spark, folder)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
+    return K.chained(pair_spans(collapsed(spark, folder)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
 
 
 @query()
 def coherence_climatology(spark: SparkSession, folder: str) -> DataFrame:
     """The same from the climatology of the pair's band of latitude."""
     lat = latitude(F.split("stack", ":")[0].cast("long"))
-    segments = pair_segments(collapsed(spark, folder), lat).withColumn("band", K.band_of(lat))
-    return K.chained(segments, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band", "season"))
+    spans = pair_spans(collapsed(spark, folder), lat).withColumn("band", K.band_of(lat))
+    return K.chained(spans, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band",))
 
 
 @query()
 def coherence_pixelwise(spark: SparkSession, folder: str) -> DataFrame:
-    """Q7 Q10: each part is a pixel; mean over the pixels that are valid in all of a pair's seasons."""
+    """Q7: each part is a pixel; mean over the pixels that are valid in all of a pair's seasons."""
     s = samples(spark, folder).where("coh > 0 AND coh < 255")
     maps = K.fit_pixels(s.groupBy("part", "season", "lag").agg((F.avg("coh") / 100).alias("coh")), ["part", "season"], LEVELS).where("n_lags >= 3")
     return K.pixel_chained(pair_segments(collapsed(spark, folder)), maps, ["stack", "ref", "sec"], ["part"])

@@ -32,8 +32,8 @@ def network_primary_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT a.stack, a.scene, count(*) AS n_later, max(b.t - a.t) AS dt_max, max(round(abs(b.bperp_m - a.bperp_m), 5)) AS bperp_max FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND a.t < b.t GROUP BY 1, 2")
 def network_all_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All combinations of a stack's scenes, gathered per earlier scene."""
-    return P.all_pairs(collapsed(spark, folder)).groupBy("stack", F.col("ref").alias("scene")).agg(F.count("*").alias("n_later"), F.max("dt_days").alias("dt_max"), F.max("bperp").alias("bperp_max"))
+    """All combinations of a stack's scenes, gathered per earlier scene without forming them."""
+    return P.later_scenes(collapsed(spark, folder))
 
 
 @query(with_pairs("SELECT c.stack, c.scene, count(e.scene) AS degree, count(e.scene) < 2 AS is_low FROM collapsed c LEFT JOIN (SELECT stack, ref AS scene FROM usable UNION ALL SELECT stack, sec FROM usable) e ON e.stack = c.stack AND e.scene = c.scene GROUP BY 1, 2"))
@@ -73,7 +73,7 @@ def network_lost_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_pairs("SELECT stack, ref, sec, CASE WHEN ref % 3 = 0 THEN CAST(bperp AS BIGINT) WHEN sec % 2 = 0 THEN CAST(round_even(bperp * 10, 0) AS BIGINT) ELSE -1 END AS b, CASE WHEN ref % 3 = 0 THEN 0 WHEN sec % 2 = 0 THEN 1 ELSE 2 END AS source FROM (SELECT stack, ref, sec, round_even(bperp, 0) AS bperp FROM usable)"))
 def network_baseline_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """Precise (whole metres), embedded and service baselines; the first that has a pair."""
+    """Precise (whole metres), embedded and service baselines; the first that has a pair."""
     p = P.primary_pairs(collapsed(spark, folder)).select("stack", "ref", "sec", F.bround("bperp", 0).alias("b"))
     tiers = [p.where("ref % 3 = 0").withColumn("b", F.col("b").cast("long")), p.where("sec % 2 = 0").withColumn("b", (F.col("b") * 10).cast("long")), p.withColumn("b", F.lit(-1).cast("long"))]
     return P.by_priority(tiers, ["stack", "ref", "sec"])
@@ -95,7 +95,7 @@ def network_pruned(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def network_selected(spark: SparkSession, folder: str) -> DataFrame:
-    """The repaired network. Depends on the order of turns, so it has no SQL form; see the tests."""
+    """The repaired network. Depends on the order of turns, so it has no SQL form; see the tests."""
     return G.select_pairs(collapsed(spark, folder)).select("stack", "ref", "sec", "dt_days", "bperp", "primary")
 
 
@@ -105,7 +105,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def network_adaptive_threshold(spark: SparkSession, folder: str) -> DataFrame:
-    """The largest threshold that keeps enough pairs and one component."""
+    """The largest threshold that keeps enough pairs and one component; count, least, largest and median."""
     return G.adaptive_threshold(scored(spark, folder))
 
 
@@ -119,7 +119,7 @@ def network_spanning_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT c.stack, c.scene, round(c.bperp_m - f.bperp_m, 5) AS bperp, true AS resolved FROM collapsed c JOIN (SELECT * FROM collapsed QUALIFY row_number() OVER (PARTITION BY stack ORDER BY t, scene) = 1) f USING (stack)")
 def network_propagated_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    """Baselines summed along the chain of consecutive dates equal those against the anchor."""
+    """Baselines summed along the chain of consecutive dates equal those against the anchor."""
     s = collapsed(spark, folder)
     b = s.select("scene", "bperp_m")
     p = P.sequential(s, 4).join(b.withColumnsRenamed({"scene": "ref", "bperp_m": "b1"}), "ref").join(b.withColumnsRenamed({"scene": "sec", "bperp_m": "b2"}), "sec").withColumn("signed", F.col("b2") - F.col("b1"))
@@ -141,7 +141,7 @@ def network_screening(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_pairs("SELECT stack, scene, min(orbit) AS orbit, count(*) AS n_pairs FROM (SELECT stack, ref AS scene FROM usable UNION ALL SELECT stack, sec FROM usable) JOIN (SELECT scene, orbit FROM collapsed) USING (scene) GROUP BY 1, 2"))
 def network_scene_list(spark: SparkSession, folder: str) -> DataFrame:
-    """The distinct scenes of the pairs with their orbits."""
+    """The distinct scenes of the pairs with their orbits."""
     s = collapsed(spark, folder)
     return P.ends(P.primary_pairs(s)).join(s.select("scene", "orbit"), "scene").groupBy("stack", "scene").agg(F.min("orbit").alias("orbit"), F.count("*").alias("n_pairs"))
 
@@ -156,7 +156,7 @@ def network_edited(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_pairs("SELECT stack, CASE WHEN t_ref <= t_sec THEN ref || ':' || sec ELSE sec || ':' || ref END AS pair, CASE WHEN score >= 40 THEN 'good' WHEN score >= 25 THEN 'risky' ELSE 'bad' END AS class, CAST(score AS BIGINT) AS score FROM (SELECT *, round(100 - dt_days / 1.2 + bperp % 7) AS score FROM usable)"))
 def network_pair_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored scores met on either orientation; 0 to 1 scores brought to 0 to 100."""
+    """Stored scores met on either orientation, with their class."""
     p = P.primary_pairs(collapsed(spark, folder))
     key = N.pair_key(F.col("ref"), F.col("sec"), F.col("t_ref"), F.col("t_sec"))
     back = N.pair_key(F.col("sec"), F.col("ref"), F.col("t_sec"), F.col("t_ref"))

@@ -31,7 +31,7 @@ def pixel_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT layer, CASE WHEN ok THEN greatest(r0, 30) END AS row0, CASE WHEN ok THEN least(r1, 50) END AS row1, CASE WHEN ok THEN greatest(c0, 100) END AS col0, CASE WHEN ok THEN least(c1, 300) END AS col1 FROM (SELECT *, greatest(r0, 30) <= least(r1, 50) AND greatest(c0, 100) <= least(c1, 300) AS ok FROM (SELECT tile AS layer, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM pixels GROUP BY tile))")
 def pixel_window(spark: SparkSession, folder: str) -> DataFrame:
-    """Each tile's part of a window, null where they don't meet."""
+    """Each tile's part of a window, null where they don't meet."""
     e = X.extents(pixels(spark, folder), "tile").withColumnRenamed("tile", "layer")
     return X.intersect_window(e, 30, 50, 100, 300)
 
@@ -45,7 +45,7 @@ def pixel_mosaic(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT layer, row // 4 AS row, col // 4 AS col, round(avg(v), 6) AS v, count(v) AS n FROM pixels GROUP BY 1, 2, 3")
 def pixel_multilook(spark: SparkSession, folder: str) -> DataFrame:
-    """Means of 4 x 4 blocks."""
+    """Means of 4 x 4 blocks."""
     return X.multilook(pixels(spark, folder), 4, 4).withColumn("v", F.round("v", 6))
 
 
@@ -81,11 +81,11 @@ def pixel_majority(spark: SparkSession, folder: str) -> DataFrame:
 GRADIENT = "CASE WHEN lag(v) OVER {w} IS NULL THEN lead(v) OVER {w} - v WHEN lead(v) OVER {w} IS NULL THEN v - lag(v) OVER {w} ELSE (lead(v) OVER {w} - lag(v) OVER {w}) / 2.0 END / 30.0"
 
 
-@query(f"SELECT tile, round(avg(slope), 6) AS slope_mean, round(quantile_cont(slope, 0.9), 6) AS slope_p90, max(v) - min(v) AS relief FROM (SELECT tile, v, degrees(atan(sqrt(power({GRADIENT.format(w='c')}, 2) + power({GRADIENT.format(w='r')}, 2)))) AS slope FROM pixels WINDOW r AS (PARTITION BY tile, col ORDER BY row), c AS (PARTITION BY tile, row ORDER BY col)) GROUP BY tile")
+@query(f"SELECT tile, round(avg(slope), 6) AS slope_mean, round(quantile_cont(slope, 0.9), 6) AS slope_p90, max(v) - min(v) AS relief, round(avg(aspect), 5) AS aspect_mean FROM (SELECT tile, v, (degrees(atan2(-({GRADIENT.format(w='c')}), {GRADIENT.format(w='r')})) + 360) % 360 AS aspect, degrees(atan(sqrt(power({GRADIENT.format(w='c')}, 2) + power({GRADIENT.format(w='r')}, 2)))) AS slope FROM pixels WINDOW r AS (PARTITION BY tile, col ORDER BY row), c AS (PARTITION BY tile, row ORDER BY col)) GROUP BY tile")
 def pixel_terrain(spark: SparkSession, folder: str) -> DataFrame:
-    """Slope by central differences, one-sided at the edges; mean, 90th percentile, relief."""
+    """Slope and aspect by central differences, one-sided at the edges; means, 90th percentile, relief."""
     p = pixels(spark, folder).drop("layer").withColumnRenamed("tile", "layer")
-    g = X.gradients(p, 30.0).groupBy("layer").agg(F.round(F.avg("slope"), 6).alias("slope_mean"), F.round(F.percentile("slope", 0.9), 6).alias("slope_p90"))
+    g = X.gradients(p, 30.0).groupBy("layer").agg(F.round(F.avg("slope"), 6).alias("slope_mean"), F.round(F.percentile("slope", 0.9), 6).alias("slope_p90"), F.round(F.avg("aspect"), 5).alias("aspect_mean"))
     return g.join(p.groupBy("layer").agg((F.max("v") - F.min("v")).alias("relief")), "layer").withColumnRenamed("layer", "tile")
 
 
@@ -96,6 +96,13 @@ def pixel_roughness(spark: SparkSession, folder: str) -> DataFrame:
     return X.roughness(p).select(F.col("layer").alias("tile"), "row", "col", F.round("roughness", 5).alias("roughness"))
 
 
+@query("SELECT tile, round(avg(roughness), 5) AS roughness_mean FROM (SELECT a.tile, a.row, a.col, sqrt(greatest(0, avg(b.v * b.v) - avg(b.v) * avg(b.v))) AS roughness FROM pixels a JOIN pixels b ON a.tile = b.tile AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY 1, 2, 3) GROUP BY tile")
+def pixel_roughness_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean roughness of each tile."""
+    p = pixels(spark, folder).drop("layer").withColumnRenamed("tile", "layer")
+    return X.roughness(p).groupBy(F.col("layer").alias("tile")).agg(F.round(F.avg("roughness"), 5).alias("roughness_mean"))
+
+
 @query("SELECT row, col, round(avg(v), 6) AS mean, count(*) AS n, CASE WHEN avg(v) >= 50 THEN round(avg(v), 6) END AS masked FROM (SELECT layer, row % 64 AS row, col, v FROM pixels) GROUP BY row, col")
 def pixel_stack_mean(spark: SparkSession, folder: str) -> DataFrame:
     """Mean over the stack, masked under a threshold."""
@@ -150,17 +157,17 @@ def pixel_interferograms(spark: SparkSession, folder: str) -> DataFrame:
     return X.interferograms(s, image_pairs(s)).select("ref", "sec", "row", "col", F.col("re").cast("long").alias("re"), F.col("im").cast("long").alias("im"))
 
 
-@query(with_images("SELECT a.ref, a.sec, a.row, a.col, round(sqrt(power(sum(b.re), 2) + power(sum(b.im), 2)) / sqrt(sum(b.p_ref) * sum(b.p_sec)), 6) AS coherence FROM ifg a JOIN ifg b ON a.ref = b.ref AND a.sec = b.sec AND b.row BETWEEN a.row - 5 AND a.row + 5 AND b.col BETWEEN a.col - 5 AND a.col + 5 WHERE a.ref = 1 AND a.row < 16 AND a.col < 32 GROUP BY 1, 2, 3, 4"))
-def pixel_coherence(spark: SparkSession, folder: str) -> DataFrame:
-    """Coherence over 11 x 11 boxes, for a corner of one image's pairs."""
-    s = images(spark, folder)
-    c = X.coherence(X.interferograms(s, image_pairs(s)))
-    return c.where("ref = 1 AND row < 16 AND col < 32").select("ref", "sec", "row", "col", F.round("coherence", 6).alias("coherence"))
+BOX = "OVER (PARTITION BY ref, sec, {p} ORDER BY {o} RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)"
 
 
-@query()
-def pixel_coherence_all(spark: SparkSession, folder: str) -> DataFrame:
-    """The same for all pixels of all pairs; the join of boxes is too slow as SQL."""
+def box(columns: str, source: str, along: str, across: str) -> str:
+    sums = ", ".join(f"sum({c}) {BOX.format(p=across, o=along)} AS {c}" for c in columns.split())
+    return f"SELECT ref, sec, row, col, {sums} FROM {source}"
+
+
+@query(with_images(f"SELECT ref, sec, row, col, round(sqrt(power(re, 2) + power(im, 2)) / sqrt(p_ref * p_sec), 6) AS coherence FROM ({box('re im p_ref p_sec', '(' + box('re im p_ref p_sec', 'ifg', 'col', 'row') + ')', 'row', 'col')})"))
+def pixel_coherence(spark: SparkSession, folder: str) -> DataFrame:
+    """Coherence over 11 x 11 boxes, for all pixels of all pairs."""
     s = images(spark, folder)
     return X.coherence(X.interferograms(s, image_pairs(s))).select("ref", "sec", "row", "col", F.round("coherence", 6).alias("coherence"))
 
@@ -284,7 +291,7 @@ def with_cube(sql: str) -> str:
     return WITH + CUBE + sql
 
 
-@query(with_cube("SELECT a.row, a.col, a.t, round(a.value - b.value, 6) + 0.0 AS value FROM ts a JOIN (SELECT * FROM ts WHERE row = (SELECT row FROM ts ORDER BY quality DESC, row, col LIMIT 1) AND col = (SELECT col FROM ts ORDER BY quality DESC, row, col LIMIT 1)) b ON a.t = b.t"))
+@query(with_cube("SELECT row, col, t, round(value - first_value(value) OVER (PARTITION BY t ORDER BY quality DESC, row, col), 6) + 0.0 AS value FROM ts"))
 def series_reference_point(spark: SparkSession, folder: str) -> DataFrame:
     """I8: values less those of the pixel of best quality."""
     ts = series(spark, folder)
@@ -292,7 +299,7 @@ def series_reference_point(spark: SparkSession, folder: str) -> DataFrame:
     return I.to_reference_point(ts, q).select("row", "col", "t", F.round("value", 6).alias("value"))
 
 
-@query(with_cube("SELECT a.row, a.col, a.t, round(a.value - b.value, 6) + 0.0 AS value FROM ts a JOIN ts b ON a.row = b.row AND a.col = b.col AND b.t = 24"))
+@query(with_cube("SELECT row, col, t, round(value - max(value) FILTER (t = 24) OVER (PARTITION BY row, col), 6) + 0.0 AS value FROM ts"))
 def series_reference_date(spark: SparkSession, folder: str) -> DataFrame:
     """Values less those of a date."""
     return I.to_reference_date(series(spark, folder), 24).select("row", "col", "t", F.round("value", 6).alias("value"))
@@ -330,16 +337,20 @@ def series_velocity_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return I.bootstrap_velocity(series(spark, folder), 40).select("row", "col", F.round("velocity_std", 6).alias("velocity_std"), "n")
 
 
-@query()
+PLANE = """SELECT row, col, t, round(value - mv - (row - mr) * (rv * cc - cv * rc) / (rr * cc - rc * rc) - (col - mc) * (cv * rr - rv * rc) / (rr * cc - rc * rc), 5) + 0.0 AS value FROM ts JOIN (
+SELECT t, avg(value) AS mv, avg(row) AS mr, avg(col) AS mc, var_pop(row) AS rr, var_pop(col) AS cc, covar_pop(row, col) AS rc, covar_pop(row, value) AS rv, covar_pop(col, value) AS cv FROM ts GROUP BY t) USING (t)"""
+
+
+@query(with_cube(PLANE))
 def series_deramped(spark: SparkSession, folder: str) -> DataFrame:
     """A plane of each date taken from its pixels."""
-    return I.without_surface(series(spark, folder), I.LINEAR).select("row", "col", "t", F.round("value", 5).alias("value"))
+    return I.deramped(series(spark, folder)).select("row", "col", "t", (F.round("value", 5) + 0.0).alias("value"))
 
 
-@query()
+@query(with_cube("SELECT row, col, t, round(value - i - s * (row * 10 + col % 5), 5) + 0.0 AS value FROM ts JOIN (SELECT t, regr_intercept(value, row * 10 + col % 5) AS i, regr_slope(value, row * 10 + col % 5) AS s FROM ts GROUP BY t) USING (t)"))
 def series_height_correlated(spark: SparkSession, folder: str) -> DataFrame:
     """The part of each date that goes with height (here a function of the row) taken out."""
-    return I.without_surface(series(spark, folder), {"one": "1", "h": "row * 10 + col % 5"}).select("row", "col", "t", F.round("value", 5).alias("value"))
+    return I.without_height(series(spark, folder), "row * 10 + col % 5").select("row", "col", "t", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query(with_cube("SELECT t, round(sqrt(avg(value * value)), 6) AS rms FROM ts GROUP BY t"))
@@ -365,6 +376,14 @@ def series_closure(spark: SparkSession, folder: str) -> DataFrame:
     return I.closure_ambiguities(ifg, ifg.select("ref", "sec").distinct())
 
 
+@query("SELECT row, col, round(sum(v * d / 365.25) / sum(power(d / 365.25, 2)), 9) AS velocity, count(*) AS n FROM (SELECT row % 64 AS row, col, v, CAST(layer % 8 + 1 AS DOUBLE) * 6 AS d FROM pixels WHERE v % 9 <> 0) GROUP BY row, col")
+def series_phase_velocity(spark: SparkSession, folder: str) -> DataFrame:
+    """Average phase velocity of each pixel over its pairs, missing phases left out."""
+    phase = F.when(F.col("v") % 9 != 0, F.col("v").cast("double"))
+    p = pixels(spark, folder).select(F.pmod("row", F.lit(64)).alias("row"), "col", ((F.pmod("layer", F.lit(8)) + 1) * 6).alias("dt_days"), phase.alias("phase"))
+    return I.phase_velocity(p).withColumn("velocity", F.round("velocity", 9))
+
+
 @query("SELECT row, col, round(avg(v), 6) AS mean_value, count(*) AS n FROM (SELECT row % 64 AS row, col, v FROM pixels) GROUP BY row, col")
 def series_average(spark: SparkSession, folder: str) -> DataFrame:
     """Average of the stack per pixel."""

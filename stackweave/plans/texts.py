@@ -73,14 +73,13 @@ def source_numbers(spark: SparkSession, folder: str) -> DataFrame:
     """The third column of whitespace tables, where it is a finite number."""
     line = table(spark, folder, "lineitem")
     third = F.when(F.col("l_linenumber") == 3, "NaN").otherwise(F.col("l_tax").cast("string"))
-    f = F.split(F.concat_ws(" ", F.lit("a"), F.lit("b"), third), " ")
-    x = F.get(f, F.lit(2)).try_cast("double")
-    return line.select("l_orderkey", x.alias("x")).where("x IS NOT NULL AND NOT isnan(x)").groupBy("l_orderkey").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
+    lines = line.select("l_orderkey", F.concat_ws("  ", F.lit(" a"), F.lit("b"), third, F.lit("d")).alias("value"))
+    return S.numbers(lines, 3).groupBy("l_orderkey").agg(F.round(F.sum("x"), 4).alias("total"), F.count("*").alias("n"))
 
 
 @query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unwrapped' WHEN 1 THEN 'coherence' WHEN 2 THEN 'dem' END AS kind FROM supplier")
 def source_archive_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    """Kinds of product files by name."""
+    """Kinds of product files by name."""
     s = table(spark, folder, "supplier")
     name = F.concat(F.lit("S1_"), "s_suppkey", F.element_at(F.array(F.lit("_unw_phase.tif"), F.lit("_corr.tif"), F.lit("_dem.tif"), F.lit("_browse.png")), (F.pmod("s_suppkey", F.lit(4)) + 1).cast("int")))
     return s.select("s_suppkey", S.archive_kind(name).alias("kind"))
@@ -98,7 +97,7 @@ def sink_export_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_pairs("SELECT stack, count(DISTINCT (ref, sec)) AS n_pairs, len(list_distinct(list_concat(list(ref), list(sec)))) AS n_scenes FROM usable GROUP BY stack"))
 def sink_stack_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """One document a stack, read back and counted."""
+    """One document a stack, read back and counted."""
     docs = S.stack_documents(P.primary_pairs(collapsed(spark, folder)))
     d = F.from_json("document", "pairs array<array<string>>, scenes array<long>")
     return docs.select("stack", d.alias("d")).select("stack", F.size("d.pairs").cast("long").alias("n_pairs"), F.size("d.scenes").cast("long").alias("n_scenes"))
@@ -121,10 +120,10 @@ def layers_with_labels(spark: SparkSession, folder: str) -> DataFrame:
     return p.join(label, ["ref", "sec"], "left").groupBy("stack").agg(F.bool_and(F.col("label").isNotNull()).cast("int").alias("use_labels"), F.count("*").alias("n"))
 
 
-@query("SELECT h.path AS path, h.rows AS modal, o.frame AS odd, o.n_days AS n_days FROM (SELECT path, arg_max(n_days, (c, -n_days)) AS rows FROM (SELECT path, n_days, count(*) AS c FROM (SELECT path, frame, count(DISTINCT month(day)) AS n_days FROM scenes GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY path) h JOIN (SELECT path, frame, count(DISTINCT month(day)) AS n_days FROM scenes GROUP BY 1, 2) o ON h.path = o.path AND o.n_days <> h.rows".replace("h.rows AS", 'h."rows" AS').replace("AS rows FROM", 'AS "rows" FROM').replace("<> h.rows", '<> h."rows"'))
+@query("SELECT h.path AS path, h.rows AS modal, o.frame AS odd, o.n_days AS n_days FROM (SELECT path, arg_max(n_days, (c, -n_days)) AS rows FROM (SELECT path, n_days, count(*) AS c FROM (SELECT path, frame, count(DISTINCT day) // 8 AS n_days FROM scenes GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY path) h JOIN (SELECT path, frame, count(DISTINCT day) // 8 AS n_days FROM scenes GROUP BY 1, 2) o ON h.path = o.path AND o.n_days <> h.rows".replace("h.rows AS", 'h."rows" AS').replace("AS rows FROM", 'AS "rows" FROM').replace("<> h.rows", '<> h."rows"'))
 def grids_odd_ones(spark: SparkSession, folder: str) -> DataFrame:
     """The most frequent shape of a track's grids, and those that differ."""
-    shape = scenes(spark, folder).groupBy("path", "frame").agg(F.countDistinct(F.month("day")).alias("n_days"))
+    shape = scenes(spark, folder).groupBy("path", "frame").agg(F.floor(F.countDistinct("day") / 8).alias("n_days"))
     n = shape.groupBy("path", "n_days").agg(F.count("*").alias("c"))
     modal = n.groupBy("path").agg(F.max_by("n_days", F.struct("c", -F.col("n_days"))).alias("modal"))
     return shape.join(modal, "path").where("n_days != modal").select("path", "modal", F.col("frame").alias("odd"), "n_days")

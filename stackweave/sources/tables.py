@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,9 +62,10 @@ def slice_orbits(lines: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def numbers(lines: DataFrame, place: int = 3, column: str = "value") -> DataFrame:
-    """The finite numbers in the given place (from 1) of whitespace tables."""
+    """(other columns, x): the finite numbers in the given place (from 1) of whitespace tables."""
     x = F.get(F.split(F.trim(column), r"\s+"), F.lit(place - 1)).try_cast("double")
-    return lines.select(x.alias("x")).where("x IS NOT NULL AND NOT isnan(x) AND abs(x) != double('Infinity')")
+    others = [c for c in lines.columns if c != column]
+    return lines.select(*others, x.alias("x")).where("x IS NOT NULL AND NOT isnan(x) AND abs(x) != double('Infinity')")
 
 
 def baseline_rows(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -111,11 +115,6 @@ def write_export(product: DataFrame, path: str) -> None:
     export_values(product).repartition("dataset", "date").sortWithinPartitions("row", "col").write.partitionBy("dataset", "date").parquet(path)
 
 
-def write_stack(pairs: DataFrame, path: str) -> None:
-    """Pairs with baselines, partitioned by path and frame."""
-    pairs.write.partitionBy("path", "frame").parquet(path)
-
-
 def stack_documents(pairs: DataFrame) -> DataFrame:
     """(stack, document): one JSON document a stack, with sorted pairs, baselines and scenes."""
     p = F.array_sort(F.collect_set(F.array(F.col("ref").cast("string"), F.col("sec").cast("string"))))
@@ -123,6 +122,68 @@ def stack_documents(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("stack").agg(p.alias("pairs"), s.alias("scenes")).select("stack", F.to_json(F.struct("pairs", "scenes")).alias("document"))
 
 
+DOCUMENT = "pairs array<array<string>>, scenes array<string>, baselines map<string, double>"
+
+
+def pairs_of_stacks(documents: DataFrame, legacy: DataFrame | None = None, flat: DataFrame | None = None, explicit: DataFrame | None = None) -> DataFrame:
+    """(stack, ref, sec), sorted out of JSON of several layouts, for each stack from the first that has it.
+
+    explicit and legacy: (stack, text) with a list of pairs; documents: (stack, document); flat: (text), a list for
+    all, which counts only if no stack has one of its own. Pairs are distinct.
+    """
+    lists = "array<array<string>>"
+    sources = [x.select("stack", F.from_json(c, kind).alias("j")).select("stack", pairs.alias("p")) for x, c, kind, pairs in (
+        (explicit, "text", lists, F.col("j")), (documents, "document", DOCUMENT, F.col("j.pairs")), (legacy, "text", lists, F.col("j"))) if x is not None]
+    rows = None
+    for i, one in enumerate(sources):
+        one = one.where("p IS NOT NULL").withColumn("rank", F.lit(i))
+        rows = one if rows is None else rows.unionByName(one)
+    best = rows.groupBy("stack").agg(F.min_by("p", "rank").alias("p"))
+    if flat is not None and best.isEmpty():
+        best = flat.select(F.lit(None).cast("string").alias("stack"), F.from_json("text", lists).alias("p"))
+    return best.select("stack", F.explode("p").alias("p")).select("stack", F.get("p", F.lit(0)).alias("ref"), F.get("p", F.lit(1)).alias("sec")).distinct()
+
+
+SCORES_VERSION = 2
+
+
+def score_documents(scores: DataFrame, scenes: DataFrame, version: int = SCORES_VERSION) -> DataFrame:
+    """(stack, document): the scores of each stack's pairs (stack, ref, sec, score) with version, counts and scene names."""
+    each = scores.groupBy("stack").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "ref", "sec").alias("k"), F.col("score").cast("double").alias("v"))))).alias("scores"))
+    names = scenes.groupBy("stack").agg(F.array_sort(F.collect_set(F.col("scene").cast("string"))).alias("names"))
+    fields = F.struct(F.lit(version).alias("schema_version"), F.lit(True).alias("complete"), F.size("names").alias("n_scenes"), F.size("scores").alias("n_pairs"), F.col("names").alias("scene_names"), "scores")
+    return names.join(each, "stack").select("stack", F.to_json(fields).alias("document"))
+
+
+STORED = "schema_version int, complete boolean, n_scenes long, n_pairs long, scene_names array<string>, scores map<string, double>"
+
+
+def stored_scores(documents: DataFrame, version: int = SCORES_VERSION) -> DataFrame:
+    """(stack, n_scenes, n_pairs, complete, scene_names, scores) of score documents of the version; others count as absent."""
+    d = documents.select("stack", F.from_json("document", STORED).alias("d")).where(F.col("d.schema_version") == version)
+    return d.select("stack", *(F.col(f"d.{c}").alias(c) for c in ("n_scenes", "n_pairs", "complete", "scene_names", "scores")))
+
+
+def to_rebuild(stored: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(stack, rebuild): whether a stack of scenes has none that is complete and holds all its scenes (or, without names, as many)."""
+    now = scenes.groupBy("stack").agg(F.collect_set(F.col("scene").cast("string")).alias("now"))
+    held = F.when(F.col("scene_names").isNotNull(), F.size(F.array_except("now", "scene_names")) == 0).otherwise(F.col("n_scenes") >= F.size("now"))
+    return now.join(stored, "stack", "left").select("stack", (~F.coalesce(F.col("complete") & held, F.lit(False))).alias("rebuild"))
+
+
+def write_reanalysis(grid: DataFrame, path: str) -> None:
+    """Cells (time, lat, lon, variables) by year and month, so that a reader of few dates touches few folders."""
+    parts = grid.withColumns({"year": F.year("time"), "month": F.month("time")})
+    parts.repartition("year", "month").sortWithinPartitions("time", "lat", "lon").write.partitionBy("year", "month").parquet(path)
+
+
+def read_reanalysis(spark: SparkSession, path: str, dates: DataFrame) -> DataFrame:
+    """The cells of the months of the dates (day); only those folders are read."""
+    months = dates.where("day IS NOT NULL").select(F.year("day").alias("y"), F.month("day").alias("m")).distinct().collect()  # twelve a year
+    wanted = reduce(or_, ((F.col("year") == r["y"]) & (F.col("month") == r["m"]) for r in months), F.lit(False))
+    return spark.read.parquet(path).where(wanted)
+
+
 def write_decay_maps(maps: DataFrame, path: str) -> None:
     """Maps of g_inf, g0 and tau by season and polarization; invalid values become NODATA."""
     bad = lambda c: F.when(F.col(c).isNull() | F.isnan(c), NODATA).otherwise(F.col(c)).alias(c)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stackweave.functions import catalog as N
 from stackweave.functions import geo, scores, sql
-from stackweave.operators import coherence, features, graph, inversion, pairs
+from stackweave.operators import catalog, coherence, features, graph, inversion, pairs
 from stackweave.sources import tables, xml
 
 
@@ -70,6 +70,71 @@ def test_repair(scenes, parts):
     assert got == net
 
 
+def test_repair_between_gaps(spark):
+    """A stack with long gaps gives what its parts give alone."""
+    rows = [(s, i + 500 * g, t + 1000 * g, b) for s, i, t, b in stacks(seed=5, n=12) for g in range(3)]
+    got = graph.select_pairs(spark.createDataFrame(rows, "stack string, scene long, t long, bperp_m double"))
+    assert graph.parts_at_gaps(spark.createDataFrame(rows, "stack string, scene long, t long, bperp_m double"), 120).select("stack").distinct().count() == 9
+    for g in range(3):
+        own = [r for r in rows if 1000 * g <= r[2] < 1000 * (g + 1)]
+        alone = graph.select_pairs(spark.createDataFrame(own, "stack string, scene long, t long, bperp_m double"))
+        assert {(r["ref"], r["sec"]) for r in got.where(F.col("t_ref").between(1000 * g, 1000 * g + 999)).collect()} == {(r["ref"], r["sec"]) for r in alone.collect()}
+
+
+@pytest.mark.parametrize("days", [20, 150, 10_000])
+def test_components_of_pairs(scenes, days):
+    p = pairs.all_pairs(scenes, 40).where("(ref + sec) % 3 = 0")
+    up = {s[1]: s[1] for s in stacks()}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in p.select("ref", "sec").collect():
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    got = {r["scene"]: r["component"] for r in graph.components(p, scenes, days).collect()}
+    assert got == {x: root(x) for x in up} and 3 < len(set(got.values())) < len(up)
+
+
+def test_star_components(spark):
+    links = spark.createDataFrame([("a", i + 1, i) for i in range(40)] + [("b", 40, 7), ("b", 7, 7), ("b", None, 3)], "k string, u long, v long")
+    got = {(r["k"], r["id"]): r["component"] for r in graph.star_components(links, ["k"]).collect()}
+    assert got == {**{("a", i): 0 for i in range(41)}, ("b", 40): 7, ("b", 7): 7}
+    with pytest.raises(RuntimeError):
+        graph.star_components(links, ["k"], rounds=1)
+
+
+def test_preferred_forest():
+    """The forest that takes links in turn, unless their ends are joined already."""
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        n, m = int(r.integers(1, 30)), int(r.integers(0, 60))
+        a, b = r.integers(0, n, m), r.integers(0, n, m)
+        label, want = list(range(n)), []
+        for x, y in zip(a.tolist(), b.tolist()):
+            want.append(label[x] != label[y])
+            label = [label[x] if v == label[y] else v for v in label]
+        assert graph.preferred_forest(n, a, b).tolist() == want
+
+
+def test_later_scenes(scenes):
+    p = pairs.all_pairs(scenes).groupBy("stack", F.col("ref").alias("scene")).agg(F.count("*").alias("n_later"), F.max("dt_days").alias("dt_max"), F.max("bperp").alias("bperp_max"))
+    got = pairs.later_scenes(scenes)
+    assert got.exceptAll(p).isEmpty() and p.exceptAll(got).isEmpty()
+
+
+def test_burst_pairs(spark):
+    """Pairs are chosen by date; each burst that has both dates gives one."""
+    rows = [("s", b, 100 * b + i, 12 * i, 10.0 * i + b) for i in range(8) for b in range(3) if (i, b) != (4, 2)]
+    s = spark.createDataFrame(rows, "stack string, burst long, scene long, t long, bperp_m double")
+    got = {(r["burst"], r["t_ref"], r["t_sec"]): (r["ref"], r["sec"]) for r in graph.burst_pairs(s).collect()}
+    dates = {(r["t_ref"], r["t_sec"]) for r in graph.burst_pairs(s).collect()}
+    assert got == {(b, x, y): (100 * b + x // 12, 100 * b + y // 12) for x, y in dates for b in range(3) if b != 2 or 48 not in (x, y)}
+    assert len(dates) > 7
+
+
 def test_adaptive_threshold(scenes):
     scored = pairs.all_pairs(scenes, 60).withColumn("coh", F.round(F.exp(-F.col("dt_days") / 40) + F.pmod("ref", F.lit(7)) / 100, 6))
     got = {r["stack"]: r for r in graph.adaptive_threshold(scored).collect()}
@@ -121,8 +186,13 @@ def test_pixel_inversion(spark, kind):
 def test_deramp_and_functions(spark):
     rows = [(i, j, t, 3.0 + 0.5 * i * t - 0.2 * j + (1.0 if (i, j) == (2, 2) else 0.0)) for i in range(5) for j in range(4) for t in (0, 12, 24)]
     ts = spark.createDataFrame(rows, "row long, col long, t long, value double")
-    out = inversion.without_surface(ts, inversion.LINEAR, "NOT (row = 2 AND col = 2)").collect()
+    out = inversion.deramped(ts, mask="NOT (row = 2 AND col = 2)").collect()
     assert all(r["value"] == pytest.approx(1.0 if (r["row"], r["col"]) == (2, 2) else 0.0, abs=1e-6) for r in out)
+    far = [(1_000_000 + i, 2_000_000 + j, 0, 1e3 + 0.3 * i * i - 0.1 * i * j + j) for i in range(30) for j in range(30)]
+    left = inversion.deramped(spark.createDataFrame(far, ts.schema), inversion.QUADRATIC).agg(F.max(F.abs("value"))).first()[0]
+    assert left < 1e-6
+    high = spark.createDataFrame([(i, 0, 0, 5.0 + 2.0 * (1000 + i) - 0.01 * (1000 + i) ** 2) for i in range(50)], ts.schema)
+    assert inversion.without_height(high, "1000 + row", 2).agg(F.max(F.abs("value"))).first()[0] < 1e-6
     t = [0.0, 100.0, 200.0, 365.25, 500.0, 730.5]
     y = [2 + 3 * x / 365.25 + (4 if x >= 200 else 0) for x in t]
     one = spark.createDataFrame([(0, 0, y), (0, 1, [*y[:5], None])], "row long, col long, values array<double>")
@@ -131,6 +201,24 @@ def test_deramp_and_functions(spark):
         assert [got[c, n] for n in ("poly0", "poly1", "step200")] == pytest.approx([2, 3, 4])
 
 
+def test_bootstrap(spark):
+    """A line without noise has no spread; noise has about that of the fit's own error; the result is the same in every run."""
+    r = random.Random(2)
+    t = [12 * k for k in range(40)]
+    rows = [(i, 0, x, 3.0 + 2.0 * x / 365.25) for i in range(3) for x in t] + [(i, 1, x, r.gauss(0, 1)) for i in range(60) for x in t] + [(0, 2, 0, 1.0), (1, 2, 0, None)]
+    ts = spark.createDataFrame(rows, "row long, col long, t long, value double")
+    got = {(r["row"], r["col"]): r for r in inversion.bootstrap_velocity(ts, 200).collect()}
+    assert all(got[i, 0]["velocity_std"] < 1e-9 and got[i, 0]["n"] == 200 for i in range(3))
+    x = np.array(t) / 365.25
+    want = 1 / np.sqrt(((x - x.mean()) ** 2).sum())
+    assert np.mean([got[i, 1]["velocity_std"] for i in range(60)]) == pytest.approx(want, rel=0.15)
+    assert (got[0, 2]["velocity_std"], got[0, 2]["n"]) == (None, 0) and (1, 2) not in got
+    again = inversion.bootstrap_velocity(ts.repartition(3), 200)
+    assert {(r["row"], r["col"]): r["velocity_std"] for r in again.collect()} == {k: r["velocity_std"] for k, r in got.items()}
+    w = inversion.poisson_weights(np.arange(200_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert [np.mean(w == k) for k in range(3)] == pytest.approx([np.exp(-1), np.exp(-1), np.exp(-1) / 2], abs=0.005)
+
+
 def test_decay_fit():
     lag = np.array([12.0, 24, 36, 48])
     truth = np.array([[0.1, 0.9, 20.0], [0.0, 0.6, 50.0]])
@@ -150,7 +238,7 @@ def test_season_segments(spark):
 
 
 def test_chained_coherence(spark):
-    seg = spark.createDataFrame([(1, 10, "winter"), (1, 20, "spring"), (2, 5, "summer")], "pair long, days int, season string")
+    seg = spark.createDataFrame([(1, [(10, "winter"), (20, "spring")]), (2, [(5, "summer")])], "pair long, segments array<struct<days: int, season: string>>")
     par = spark.createDataFrame([("winter", 0.1, 0.8, 20.0), ("spring", 0.2, 0.9, 40.0)], "season string, g_inf double, g0 double, tau double")
     got = {r["pair"]: r for r in coherence.chained(seg, par, ["pair"]).collect()}
     g, a = (10 * 0.1 + 20 * 0.2) / 30, (10 * 0.8 + 20 * 0.9) / 30
@@ -165,6 +253,82 @@ def test_lagrange(spark):
     assert all(r["n_used"] == 8 and r["value"] == pytest.approx(r["t"] ** 3 - 2 * r["t"]) for r in got) and len(got) == 3
 
 
+def test_filter_stacks_in_order(spark):
+    """Coverage before the limit, the limit before the count; the first item decides for its stack."""
+    rows = [("a", 1, "f", i, i, "up" if i == 0 else "down", 0.0 if i % 2 else 50.0) for i in range(10)] + [("b", 2, "f", 100 + i, i, "down", 0.0) for i in range(3)]
+    s = spark.createDataFrame(rows, "stack string, path long, frame string, scene long, t long, direction string, west double").withColumns({"day": F.date_add(F.lit("2024-01-01").cast("date"), F.col("t").cast("int")), "south": F.lit(0.0), "east": F.col("west") + 10, "north": F.lit(10.0)})
+    area = dict(min_coverage=0.5, aoi=(0, 0, 10, 10))
+    ids = lambda **k: [r["scene"] for r in catalog.filter_stacks(s, **k).orderBy("scene").collect()]
+    assert ids(direction="UP", **area, earliest=2) == [1, 3]
+    assert ids(**area, earliest=4, min_count=4) == [1, 3, 5, 7]
+    assert ids(**area, latest=2, min_count=2) == [7, 9, 101, 102]
+    assert ids(direction="down") == [100, 101, 102] and ids(stacks=[(2, "f")], start="2024-01-02") == [101, 102]
+    assert len(ids()) == 13 and catalog.search(s, aoi=(55, 0, 58, 5)).count() == 5
+    with pytest.raises(ValueError):
+        catalog.search(s, paths=[3])
+
+
+def test_name_list(spark):
+    d = spark.createDataFrame([(1, "S1A_IW_SLC__1SDV_20200101T000000, short\n # S1A_IW_SLC__1SDV_20200102T000000\nS1A_IW_SLC__1SDV_20200101T000000 not_a_scene"), (2, None), (3, "#all of it S1A_IW_SLC__1SDV_20200103T000000")], "doc_id long, text string")
+    assert [tuple(r) for r in catalog.name_list(d).collect()] == [("S1A_IW_SLC__1SDV_20200101T000000", 1, 0)]
+
+
+def test_fire_days(spark):
+    spots = spark.createDataFrame([(5.0, 5.0, 100), (5.0, 15.0, 200), (-3.5, 0.5, 300)], "lat double, lon double, t long")
+    areas = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, -1.0, -4.0, 5.0, 5.0)], "site long, west double, south double, east double, north double")
+    got = {(r["site"], r["t"]) for r in features.fire_days(spots, areas).collect()}
+    assert got == {(s, h + d) for s, h in ((1, 100), (2, 100), (2, 300)) for d in range(-3, 4)}
+    p = spark.createDataFrame([(1, 50, 97), (1, 103, 300), (1, 104, 112), (2, 297, 310), (3, 100, 101)], "site long, t_d1 long, t_d2 long")
+    assert {(r["site"], r["t_d1"]): r["fire"] for r in features.with_fire(p, features.fire_days(spots, areas)).collect()} == {(1, 50): True, (1, 103): True, (1, 104): False, (2, 297): True, (3, 100): False}
+
+
+def test_reanalysis(spark, tmp_path):
+    """Only the months of the dates are read; means skip nulls; missing hours take the nearest."""
+    hour = lambda d, h: datetime.datetime(2020, 1, d, h)
+    names = ["d2m", "skt", "u10", "v10", "ssr", "str", "smlt", "swvl2", "swvl3", "lai_hv", "lai_lv"]
+    rows = [(hour(d, h), lat, 0.0, 273.15 + h, 280.0, 3.0, 4.0, 10.0 if lat else None, -2.0, 0.5, 0.1, 0.2, 1.0, 2.0) for d in (1, 2) for h in (10, 16) for lat in (0.0, 1.0, 9.0)]
+    rows.append((datetime.datetime(2020, 3, 1), 0.0, 0.0, *[1.0] * 11))
+    grid = spark.createDataFrame(rows, "time timestamp, lat double, lon double, " + ", ".join(f"{n} double" for n in names))
+    tables.write_reanalysis(grid, str(tmp_path / "cells"))
+    dates = spark.createDataFrame([(datetime.date(2020, 1, 1), 11), (datetime.date(2020, 1, 2), None), (datetime.date(2020, 1, 3), 5)], "day date, hour int")
+    read = tables.read_reanalysis(spark, str(tmp_path / "cells"), dates)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(year" in plan and "PartitionFilters: [], " not in plan and read.count() == 12
+    got = {r["day"].day: r for r in features.reanalysis_days(features.area_means(read, -1, -1, 1, 2), dates).collect()}
+    assert (got[1]["dewpoint"], got[2]["dewpoint"], got[3]["dewpoint"]) == (10.0, 16.0, None)
+    assert (got[1]["wind_speed"], got[1]["net_radiation"], got[1]["snowmelt"], got[2]["hour"]) == (5.0, 16.0, 1.0, 17)
+
+
+def test_pair_tables_and_scores(spark):
+    docs = spark.createDataFrame([("a", '{"pairs": [["1", "2"], ["1", "2"]]}'), ("b", '{"pairs": [["3", "4"]]}')], "stack string, document string")
+    old = spark.createDataFrame([("b", '[["8", "9"]]'), ("c", '[["5", "6"]]')], "stack string, text string")
+    flat = spark.createDataFrame([('[["7", "8"]]',)], "text string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(tables.pairs_of_stacks(docs, old, flat)) == [("a", "1", "2"), ("b", "3", "4"), ("c", "5", "6")]
+    assert rows(tables.pairs_of_stacks(docs, old, explicit=old.limit(1))) == [("a", "1", "2"), ("b", "8", "9"), ("c", "5", "6")]
+    assert rows(tables.pairs_of_stacks(docs.limit(0), old.limit(0), flat)) == [(None, "7", "8")]
+    scores = spark.createDataFrame([("a", 1, 2, 0.5), ("b", 3, 4, None)], "stack string, ref long, sec long, score double")
+    scenes = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("b", 4)], "stack string, scene long")
+    stored = tables.stored_scores(tables.score_documents(scores, scenes).unionByName(tables.score_documents(scores, scenes, version=1)))
+    assert rows(stored.select("stack", "n_scenes", "n_pairs", "complete")) == [("a", 2, 1, True), ("b", 2, 1, True)]
+    more = scenes.unionAll(spark.createDataFrame([("b", 5), ("c", 1)], "stack string, scene long"))
+    assert rows(tables.to_rebuild(stored, more)) == [("a", False), ("b", True), ("c", True)]
+
+
+def test_export_and_listing(spark, tmp_path):
+    rows = [("velocity", "20200101", 1, 0, 2.5), ("velocity", "20200101", 0, 0, float("nan")), ("maskTempCoh", "20200101", 0, 0, 3.0), ("maskTempCoh", "20200102", 0, 0, None)]
+    tables.write_export(spark.createDataFrame(rows, "dataset string, date string, row long, col long, value double"), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["dataset"], r["date"], r["row"]): r["value"] for r in back.collect()} == {("velocity", 20200101, 1): 2.5, ("velocity", 20200101, 0): -9999.0, ("maskTempCoh", 20200101, 0): 1.0, ("maskTempCoh", 20200102, 0): 255.0}
+    with pytest.raises(Exception):
+        tables.export_values(spark.createDataFrame([("other", "20200101", 0, 0, 1.0)], "dataset string, date string, row long, col long, value double")).collect()
+    for name in ("S1_unw_phase.tif", "x/S1_corr.tif", "x/S1_browse.png"):
+        (tmp_path / "files" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "files" / name).write_bytes(b"12345")
+    got = {r["path"].rsplit("/", 1)[1]: (r["kind"], r["bytes"]) for r in tables.listing(spark, str(tmp_path / "files")).collect()}
+    assert got == {"S1_unw_phase.tif": ("unwrapped", 5), "S1_corr.tif": ("coherence", 5), "S1_browse.png": (None, 5)}
+
+
 def test_names_and_dates(spark):
     name = "S1A_IW_SLC__1SDV_20200101T000000_20200101T000030_030000_038000_1234"
     d = spark.createDataFrame([(name,), ("20240115",), ("not_a_scene",), (None,)], "n string")
