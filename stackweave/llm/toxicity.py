@@ -29,6 +29,8 @@ from .learning import labelled_sample, segment_sum, sigmoid
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
 BITS = 18
+#: Bytes of text whose features a worker holds at once.
+PIECE = 1 << 20
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 STEMS = (4, 5, 6)
 OFFENDING = 0.5
@@ -112,7 +114,7 @@ class NoisyOr:
 def counts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, documents that have it, those of label 1) of a task's labelled documents."""
     n, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
-    for part, buf, at in X.pieces(batches, "text"):
+    for part, buf, at in X.pieces(batches, "text", PIECE):
         b = bags(buf, at)
         doc = np.searchsorted(b.first, b.sentence, "right") - 1
         pair = np.unique(doc.astype(np.int64) << BITS | b.feature)
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def features_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, at in X.pieces(batches, "text"):
+        for part, buf, at in X.pieces(batches, "text", PIECE):
             b = bags(buf, at, shared.value)
             s, f = distinct(b)
             ends = np.searchsorted(s, b.first[1:])
@@ -203,7 +205,7 @@ def score(docs: DataFrame, model: NoisyOr, offending: float = OFFENDING) -> Data
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known = m.weight != 0
-        for part, buf, at in X.pieces(batches, "text"):
+        for part, buf, at in X.pieces(batches, "text", PIECE):
             b = bags(buf, at, known)
             # each feature of a sentence counts once, as in fit()
             b.sentence, b.feature = distinct(b)
