@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import decay, season
-from .cut import cut
 
 STEPS = 40
 NO_FIT = (0.0, 1.0, 30.0)
@@ -99,60 +98,89 @@ def fit_pixels(levels: DataFrame, keys: list[str], lags: tuple[int, ...]) -> Dat
     return wide.mapInPandas(run, f"{fields}, n_lags long, g_inf double, g0 double, tau double")
 
 
-def chained(spans: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, coh, floor, n_segments) of spans (keys, segments array<struct<days, season>>, on); null if a season lacks parameters.
+def season_days(scenes: DataFrame, lat: Column) -> DataFrame:
+    """scenes with before (days of each season of SEASON_ORDER before the scene's day) and cuts (seasons begun by then).
 
-    Floors and starts are means weighted by days, decays add up. The parameters, one row a season (and ``on``, such as
-    a band of latitude), become a literal map, so that no segment is a row of its own and nothing is shuffled.
+    Each day of a span has one season, so what a span has of each is the difference of two scenes' columns: no span is
+    cut into segments, and a pair is a row of numbers. The calendar is a row a day and half of the globe.
     """
-    key = F.concat_ws(":", *on, "season")
-    rows = params.select(key.alias("k"), "g_inf", "g0", "tau").collect()  # four, or four for each of nine bands
-    known = F.create_map(*(x for r in rows for x in (F.lit(r["k"]), F.struct(*(F.lit(float(r[c])).alias(c) for c in ("g_inf", "g0", "tau"))))))
-    of = lambda s: known[F.concat_ws(":", *(F.col(c).cast("string") for c in on), s["season"])]
-    got = spans.select(*keys, F.transform("segments", lambda s: F.struct(s["days"].alias("days"), of(s).alias("p"))).alias("x"))
-    zero = F.struct(*(F.lit(0.0).alias(c) for c in ("days", "g_inf", "g0", "decay")), F.lit(True).alias("whole"))
-    add = lambda acc, x: F.struct(
-        (acc["days"] + x["days"]).alias("days"),
-        (acc["g_inf"] + F.coalesce(x["days"] * x["p"]["g_inf"], F.lit(0.0))).alias("g_inf"),
-        (acc["g0"] + F.coalesce(x["days"] * x["p"]["g0"], F.lit(0.0))).alias("g0"),
-        (acc["decay"] + F.coalesce(x["days"] / x["p"]["tau"], F.lit(0.0))).alias("decay"),
-        (acc["whole"] & x["p"]["tau"].isNotNull()).alias("whole"),
-    )
-    done = got.select(*keys, F.size("x").cast("long").alias("n_segments"), F.aggregate("x", zero, add).alias("a"))
-    ginf, g0 = F.col("a.g_inf") / F.col("a.days"), F.col("a.g0") / F.col("a.days")
-    total = ginf + (g0 - ginf) * F.exp(-F.col("a.decay"))
-    return done.select(*keys, F.when(F.col("a.whole"), F.round(total, 4)).alias("coh"), F.when(F.col("a.whole"), F.round(ginf, 4)).otherwise(0.0).alias("floor"), "n_segments")
-
-
-def pixel_chained(segments: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:
-    """Per pair the mean over pixels (season, pixel, g_inf, g0, tau) that are valid in all its segments.
-
-    Pairs with the same list of (season, days) have the same mean. The distinct lists, whose number the longest
-    interval bounds, are sent to all batches of pixels, whose sums are added up: no pair meets a pixel.
+    day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
+    scenes = scenes.withColumn("_south", lat < 0)
+    ends = scenes.agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a IS NOT NULL")
+    days = ends.select(F.explode(F.sequence("a", "b")).alias("t")).crossJoin(F.broadcast(scenes.sparkSession.createDataFrame([(False,), (True,)], "_south boolean")))  # two rows
+    own = days.withColumn("s", season(F.month(day("t")), F.when(F.col("_south"), -1.0).otherwise(1.0), fall=True))
+    before = Window.partitionBy("_south").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.dayofmonth(day("t")) == 1) & F.month(day("t")).isin(3, 6, 9, 12)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")).over(before), F.lit(0))
+    known = own.select("t", "_south", F.array(*(count(F.col("s") == s) for s in SEASON_ORDER)).alias("before"), count(start).alias("cuts"), start.alias("begins"))
+    return scenes.join(F.broadcast(known), ["t", "_south"]).drop("_south")  # two rows a day of the span
+
+
+SEASON_COLUMNS = ("before", "cuts", "begins")
+
+
+def days_of(i: int) -> Column:
+    return F.get("before_sec", F.lit(i)) - F.get("before_ref", F.lit(i))
+
+
+def chained(pairs: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, coh, floor, n_segments) of pairs that carry SEASON_COLUMNS of both ends; null if a season lacks parameters.
+
+    Floors and starts are means weighted by days, decays add up. params: (season, g_inf, g0, tau), or a row for each
+    season and ``on``, such as a band of latitude, which pairs have too.
+    """
+    value = lambda s, c: F.max(F.when(F.col("season") == s, F.col(c))).alias(f"{s}_{c}")
+    wide = params.groupBy(*on).agg(*(value(s, c) for s in SEASON_ORDER for c in ("g_inf", "g0", "tau")))
+    got = pairs.join(F.broadcast(wide), list(on), "left") if on else pairs.crossJoin(F.broadcast(wide))  # one row, or one a band
+    total = {c: F.lit(0.0) for c in ("days", "g_inf", "g0", "decay")}
+    whole = F.lit(True)
+    for i, s in enumerate(SEASON_ORDER):
+        d = days_of(i)
+        used = lambda x, d=d: F.when(d > 0, x).otherwise(0.0)
+        total["days"] = total["days"] + d
+        total["g_inf"] = total["g_inf"] + used(d * F.col(f"{s}_g_inf"))
+        total["g0"] = total["g0"] + used(d * F.col(f"{s}_g0"))
+        total["decay"] = total["decay"] + used(d / F.col(f"{s}_tau"))
+        whole = whole & ((d == 0) | F.col(f"{s}_tau").isNotNull())
+    sums = got.select(*keys, *(x.alias(c) for c, x in total.items()), whole.alias("whole"), (1 + F.col("cuts_sec") - F.col("cuts_ref") - F.col("begins_ref").cast("long")).alias("n_segments"))
+    ginf, g0 = F.col("g_inf") / F.col("days"), F.col("g0") / F.col("days")
+    coh = ginf + (g0 - ginf) * F.exp(-F.col("decay"))
+    return sums.select(*keys, F.when(F.col("whole"), F.round(coh, 4)).alias("coh"), F.when(F.col("whole"), F.round(ginf, 4)).otherwise(0.0).alias("floor"), "n_segments")
+
+
+def pixel_chained(pairs: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:
+    """Per pair the mean over pixels (season, pixel, g_inf, g0, tau) that are valid in all its seasons.
+
+    Pairs with the same days of each season have the same mean. The distinct quadruples of days, whose number the
+    longest interval bounds, are sent to all batches of pixels, whose sums are added up: no pair meets a pixel.
     """
-    one = F.transform(F.array_sort(F.collect_list(F.struct("season", "days"))), lambda x: F.concat_ws(":", x["season"], x["days"]))
-    spans = cut(segments.groupBy(*keys).agg(F.array_join(one, ",").alias("spans")))
-    distinct = [r["spans"] for r in spans.select("spans").distinct().toLocalIterator()]
-    shared = maps.sparkSession.sparkContext.broadcast([(k, [(s, int(d)) for s, d in (x.split(":") for x in k.split(","))]) for k in distinct])
+    names = ["d0", "d1", "d2", "d3"]
+    spans = pairs.select(*keys, *(days_of(i).cast("int").alias(n) for i, n in enumerate(names)))
+    distinct = spans.select(*names).distinct().toArrow()  # at most a longest interval's square a season
+    days = np.stack([distinct[n].to_numpy() for n in names], axis=1).astype(float).reshape(-1, 4)
+    shared = maps.sparkSession.sparkContext.broadcast(days)
     value = lambda s, c: F.max(F.when(F.col("season") == s, F.col(c))).cast("double").alias(f"{s}_{c}")
     wide = maps.groupBy(*pixel).agg(*(value(s, c) for s in SEASON_ORDER for c in ("g_inf", "g0", "tau")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d = shared.value
+        sums = np.zeros((len(d), 3))
         for p in batches:
-            at = {s: [p[f"{s}_{c}"].to_numpy(float) for c in ("g_inf", "g0", "tau")] for s in SEASON_ORDER}
-            rows = []
-            for k, parts in shared.value:
-                days = sum(d for _, d in parts)
-                f, g0 = (sum(d * at[s][c] for s, d in parts) / days for c in (0, 1))
-                c = f + (g0 - f) * np.exp(-sum(d / at[s][2] for s, d in parts))
-                ok = ~np.isnan(c)
-                if ok.any():
-                    rows.append((k, np.maximum(c, f)[ok].sum(), f[ok].sum(), int(ok.sum())))
-            yield pd.DataFrame(rows, columns=["spans", "c", "f", "n"])
+            g_inf, g0, tau = (np.stack([p[f"{s}_{c}"].to_numpy(float) for s in SEASON_ORDER]) for c in ("g_inf", "g0", "tau"))
+            lacks = np.isnan(tau)
+            for i in range(0, len(d), 256):
+                part = d[i : i + 256]
+                ok = ((part > 0).astype(float) @ lacks) == 0
+                n = part.sum(1, keepdims=True)
+                floor, start = (part @ np.where(lacks, 0, x) / n for x in (g_inf, g0))
+                c = np.maximum(floor + (start - floor) * np.exp(-(part @ np.where(lacks, 0, 1 / np.where(lacks, 1, tau)))), floor)
+                sums[i : i + 256] += np.stack([(c * ok).sum(1), (floor * ok).sum(1), ok.sum(1)], axis=1)
+        own = np.flatnonzero(sums[:, 2])
+        yield pd.DataFrame({**{k: d[own, i].astype(np.int32) for i, k in enumerate(names)}, "c": sums[own, 0], "f": sums[own, 1], "n": sums[own, 2].astype(np.int64)})
 
     n = F.sum("n")
-    means = wide.mapInPandas(run, "spans string, c double, f double, n long").groupBy("spans").agg(F.round(F.sum("c") / n, 4).alias("coh"), F.round(F.sum("f") / n, 4).alias("floor"), n.alias("n_pixels"))
-    return spans.join(means, "spans").select(*keys, "coh", "floor", "n_pixels")
+    means = wide.mapInPandas(run, "d0 int, d1 int, d2 int, d3 int, c double, f double, n long").groupBy(*names).agg(F.round(F.sum("c") / n, 4).alias("coh"), F.round(F.sum("f") / n, 4).alias("floor"), n.alias("n_pixels"))
+    return spans.join(means, names).select(*keys, "coh", "floor", "n_pixels")
 
 
 def evaluate(maps: DataFrame, dt: float) -> DataFrame:

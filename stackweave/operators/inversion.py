@@ -26,6 +26,16 @@ def rates_design(n_dates: int, pairs: Sequence[tuple[int, int]], t: Sequence[flo
     return d
 
 
+def solved_rates(pairs: Sequence[tuple[int, int]], y: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    """Rates of the intervals by normal equations, added up pair by pair over the few intervals that each spans."""
+    m, b = np.zeros((len(dt), len(dt))), np.zeros(len(dt))
+    for (i, j), v in zip(pairs, y.tolist()):
+        d = dt[i:j]
+        m[i:j, i:j] += d[:, None] * d
+        b[i:j] += d * v
+    return np.linalg.solve(m, b)
+
+
 def date_corrections(shifts: DataFrame, schema_key: str = "stack") -> DataFrame:
     """Pair shifts (stack, t_ref, t_sec, shift, is_master on neither) -> corrections of dates, 0 at the first date.
 
@@ -39,14 +49,14 @@ def date_corrections(shifts: DataFrame, schema_key: str = "stack") -> DataFrame:
         used = p[p["shift"].notna()]
         at = {d: i for i, d in enumerate(dates.tolist())}
         pairs = [(at[a], at[b]) for a, b in used[["t_ref", "t_sec"]].itertuples(index=False)]
-        design = rates_design(len(dates), pairs, dates)
-        y = used["shift"].to_numpy(float)
+        y, dt = used["shift"].to_numpy(float), np.diff(dates).astype(float)
+        rank, rmse, rate = 0, None, np.zeros(len(dates) - 1)
         if len(pairs):
             rank = len(dates) - len(np.unique(least_labels(len(dates), *np.array(pairs).T)))
-            rate = np.linalg.solve(design.T @ design, design.T @ y) if rank == len(dates) - 1 else np.linalg.lstsq(design, y, rcond=None)[0]
-            rmse = float(np.sqrt(np.mean((design @ rate - y) ** 2)))
-        else:
-            rate, rank, rmse = np.zeros(len(dates) - 1), 0, None
+            rate = solved_rates(pairs, y, dt) if rank == len(dates) - 1 else np.linalg.lstsq(rates_design(len(dates), pairs, dates), y, rcond=None)[0]
+            at_date = np.concatenate([[0.0], np.cumsum(rate * dt)])
+            first, last = np.array(pairs).T
+            rmse = float(np.sqrt(np.mean((at_date[last] - at_date[first] - y) ** 2)))
         value = np.concatenate([[0.0], np.cumsum(rate * np.diff(dates))])
         return pd.DataFrame({"stack": p["stack"].iloc[0], "t": dates, "correction": value, "rank": rank, "full_rank": rank == len(dates) - 1, "rmse": rmse, "n_used": len(used), "n_failed": len(p) - len(used)})
 

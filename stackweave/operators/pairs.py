@@ -21,13 +21,15 @@ MIN_DEGREE, MAX_DEGREE = 3, 5
 NO_BASELINE = 10_000.0
 
 
-def all_pairs(scenes: DataFrame, dt_max: int | None = None) -> DataFrame:
+def all_pairs(scenes: DataFrame, dt_max: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """(stack, ref, sec, t_ref, t_sec, dt_days, bperp): pairs of a stack's scenes, earlier first.
 
+    Columns to ``carry`` come along from both ends, as <name>_ref and <name>_sec.
+
     With ``dt_max`` scenes meet in buckets of that many days, each later scene in its own and the one before, so
     that a stack's work grows with its scenes and not with their square. Without it all pairs of a stack are formed.
     """
-    cols = ["stack", "scene", "t", "bperp_m"]
+    cols = ["stack", "scene", "t", "bperp_m", *carry]
     a = scenes.select("stack", *(F.col(c).alias(f"a_{c}") for c in cols[1:]))
     b = scenes.select("stack", *(F.col(c).alias(f"b_{c}") for c in cols[1:]))
     keys, near = ["stack"], F.col("a_t") < F.col("b_t")
@@ -44,6 +46,7 @@ def all_pairs(scenes: DataFrame, dt_max: int | None = None) -> DataFrame:
         F.col("b_t").alias("t_sec"),
         (F.col("b_t") - F.col("a_t")).alias("dt_days"),
         F.round(F.abs(F.col("b_bperp_m") - F.col("a_bperp_m")), 5).alias("bperp"),
+        *(F.col(f"{end}_{c}").alias(f"{c}_{name}") for c in carry for end, name in (("a", "ref"), ("b", "sec"))),
     )
 
 

@@ -190,15 +190,16 @@ def coherence_segments(spark: SparkSession, folder: str) -> DataFrame:
     return pair_segments(collapsed(spark, folder))
 
 
-def pair_spans(scenes: DataFrame, lat: Column | None = None) -> DataFrame:
-    """(stack, ref, sec, segments) of pairs up to 120 days apart."""
-    p = P.all_pairs(scenes, 120)
+def pair_segments(scenes: DataFrame) -> DataFrame:
+    """(stack, ref, sec, segment, days, season) of pairs up to 120 days apart."""
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
-    return p.select("stack", "ref", "sec", K.season_segments(day("t_ref"), day("t_sec"), F.lit(45.0) if lat is None else lat).alias("segments"))
+    segments = K.season_segments(day("t_ref"), day("t_sec"), F.lit(45.0))
+    return P.all_pairs(scenes, 120).select("stack", "ref", "sec", F.posexplode(segments).alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
 
 
-def pair_segments(scenes: DataFrame) -> DataFrame:
-    return pair_spans(scenes).select("stack", "ref", "sec", F.posexplode("segments").alias("i", "s")).select("stack", "ref", "sec", F.col("i").cast("long").alias("segment"), "s.*")
+def season_pairs(spark: SparkSession, folder: str, lat: Column) -> DataFrame:
+    """Pairs up to 120 days apart that carry the days of each season before both ends."""
+    return P.all_pairs(K.season_days(collapsed(spark, folder), lat), 120, K.SEASON_COLUMNS)
 
 
 @query("SELECT season, lag, round(avg(coh), 6) AS coh, count(*) AS n FROM samples WHERE coh > 0 AND coh < 255 GROUP BY season, lag HAVING count(*) >= 30")
@@ -226,15 +227,15 @@ def coherence_decay_fit(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def coherence_chained(spark: SparkSession, folder: str) -> DataFrame:
     """Q5: coherence of pairs chained over their seasons."""
-    return K.chained(pair_spans(collapsed(spark, folder)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
+    return K.chained(season_pairs(spark, folder, F.lit(45.0)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
 
 
 @query()
 def coherence_climatology(spark: SparkSession, folder: str) -> DataFrame:
     """The same from the climatology of the pair's band of latitude."""
     lat = latitude(F.split("stack", ":")[0].cast("long"))
-    spans = pair_spans(collapsed(spark, folder), lat).withColumn("band", K.band_of(lat))
-    return K.chained(spans, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band",))
+    pairs = season_pairs(spark, folder, lat).withColumn("band", K.band_of(lat))
+    return K.chained(pairs, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band",))
 
 
 @query()
@@ -242,7 +243,7 @@ def coherence_pixelwise(spark: SparkSession, folder: str) -> DataFrame:
     """Q7: each part is a pixel; mean over the pixels that are valid in all of a pair's seasons."""
     s = samples(spark, folder).where("coh > 0 AND coh < 255")
     maps = K.fit_pixels(s.groupBy("part", "season", "lag").agg((F.avg("coh") / 100).alias("coh")), ["part", "season"], LEVELS).where("n_lags >= 3")
-    return K.pixel_chained(pair_segments(collapsed(spark, folder)), maps, ["stack", "ref", "sec"], ["part"])
+    return K.pixel_chained(season_pairs(spark, folder, F.lit(45.0)), maps, ["stack", "ref", "sec"], ["part"])
 
 
 @query("SELECT pair, strftime(day, 'A%Y%j') AS code, CAST(CASE WHEN site % 2 = 0 THEN 1 ELSE -1 END * (site % 90) // 10 * 10 AS INT) AS lat, n FROM (SELECT site || '/' || t AS pair, day, site, n FROM site_days)")

@@ -238,13 +238,49 @@ def test_season_segments(spark):
     assert got == [[(10, "winter"), (92, "spring"), (9, "summer")], [(10, "winter")], [(1, "winter")]]
 
 
-def test_chained_coherence(spark):
-    seg = spark.createDataFrame([(1, [(10, "winter"), (20, "spring")]), (2, [(5, "summer")])], "pair long, segments array<struct<days: int, season: string>>")
-    par = spark.createDataFrame([("winter", 0.1, 0.8, 20.0), ("spring", 0.2, 0.9, 40.0)], "season string, g_inf double, g0 double, tau double")
-    got = {r["pair"]: r for r in coherence.chained(seg, par, ["pair"]).collect()}
-    g, a = (10 * 0.1 + 20 * 0.2) / 30, (10 * 0.8 + 20 * 0.9) / 30
-    assert got[1]["coh"] == pytest.approx(round(g + (a - g) * np.exp(-(10 / 20 + 20 / 40)), 4))
-    assert got[2]["coh"] is None and got[2]["floor"] == 0
+def spans_of(d1, d2, south):
+    """(season, days) of a span, day by day."""
+    names = ["winter", "winter", "spring", "spring", "spring", "summer", "summer", "summer", "fall", "fall", "fall", "winter"]
+    seasons = [names[((d1 + datetime.timedelta(k)).month - 1 + (6 if south else 0)) % 12] for k in range((d2 - d1).days)]
+    return [(s, len(list(g))) for s, g in itertools.groupby(seasons)]
+
+
+@pytest.mark.parametrize("south", [False, True])
+def test_chained_coherence(spark, south):
+    """Day by day over the seasons of each span, for pairs and for the mean over pixels."""
+    r = random.Random(7)
+    zero = datetime.date(1970, 1, 1)
+    first = (datetime.date(2019, 1, 1) - zero).days
+    rows = [("s", i, first + d, 0.0) for i, d in enumerate(sorted(r.sample(range(500), 40) + [59, 151, 424]))]
+    s = spark.createDataFrame(rows, "stack string, scene long, t long, bperp_m double")
+    p = pairs.all_pairs(coherence.season_days(s, F.lit(-10.0 if south else 10.0)), 200, coherence.SEASON_COLUMNS)
+    par = {"winter": (0.1, 0.8, 20.0), "spring": (0.2, 0.9, 40.0), "fall": (0.15, 0.7, 30.0)}
+    table = spark.createDataFrame([(k, *v) for k, v in par.items()], "season string, g_inf double, g0 double, tau double")
+    got = {(r["ref"], r["sec"]): r for r in coherence.chained(p, table, ["ref", "sec"]).collect()}
+    want = {}
+    for x, y in itertools.combinations(rows, 2):
+        if 0 < y[2] - x[2] <= 200:
+            want[x[1], y[1]] = spans_of(zero + datetime.timedelta(x[2]), zero + datetime.timedelta(y[2]), south)
+    assert got.keys() == want.keys() and {len(v) for v in want.values()} >= {1, 2, 3}
+
+    def value(seg, of):
+        n = sum(d for _, d in seg)
+        g, a = (sum(d * of[k][c] for k, d in seg) / n for c in (0, 1))
+        return g + (a - g) * np.exp(-sum(d / of[k][2] for k, d in seg)), g
+
+    for k, seg in want.items():
+        assert got[k]["n_segments"] == len(seg)
+        if any(x == "summer" for x, _ in seg):
+            assert (got[k]["coh"], got[k]["floor"]) == (None, 0.0)
+        else:
+            assert (got[k]["coh"], got[k]["floor"]) == pytest.approx(value(seg, par), abs=6e-5)
+    pixels = {i: {k: (v[0] + i / 100, v[1], v[2] + i) for k, v in {**par, "summer": (0.3, 0.6, 10.0)}.items() if (i, k) != (2, "winter")} for i in range(5)}
+    maps = spark.createDataFrame([(i, k, *v) for i, x in pixels.items() for k, v in x.items()], "px long, season string, g_inf double, g0 double, tau double")
+    got = {(r["ref"], r["sec"]): r for r in coherence.pixel_chained(p, maps, ["ref", "sec"], ["px"]).collect()}
+    for k, seg in want.items():
+        own = [value(seg, x) for x in pixels.values() if all(n in x for n, _ in seg)]
+        assert got[k]["n_pixels"] == len(own) and got[k]["coh"] == pytest.approx(np.mean([max(v) for v in own]), abs=6e-5)
+        assert got[k]["floor"] == pytest.approx(np.mean([f for _, f in own]), abs=6e-5)
 
 
 def test_lagrange(spark):
