@@ -7,9 +7,12 @@ doc_id. Strings are judged on the input. The work is dealt out by content, so th
    bytes (if they have WIDTH).
 2. Each WIDTH-byte window has a minimiser, the smallest hash of its GRAM-byte grams, which depends on the window's
    bytes alone. A minimiser that only one document has rules its windows out. Minimisers are counted in buckets of
-   hashes; one piece of text sends each only once.
-3. The windows left are cut into fragments that share a minimiser of shorter grams, SHORT bytes, and fragments are
-   dealt into buckets by it: equal windows meet in one bucket. Equal fragments are taken together.
+   hashes; one piece of text sends each only once. A minimiser that over HOT_PIECES pieces, and over one in HOT_SHARE
+   of all, send is hot; so there are HOT_SHARE times as many as a piece has at most.
+3. The windows left are cut into fragments that share a minimiser, and fragments are dealt into buckets by it: equal
+   windows meet in one bucket. Windows of a hot minimiser, of a gram that very many texts have amid other words, are
+   fragments of their own, dealt by the hash of all their bytes: no bucket gets all of them. Equal fragments are taken
+   together, first in each piece, so that a passage that very many documents share is sent once a piece.
 4. In a bucket the windows are suffix-sorted in two stages. A suffix is of type B if it is smaller than its
    successor, the suffix one byte later. Type B is sorted directly, by WIDTH bytes and a few more. The others, of
    type A, follow by a scan over buckets of first bytes in ascending order: the sorted suffixes of a bucket put their
@@ -31,6 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +43,11 @@ from . import text as X
 from .ids import copies_of, one_per_id, only
 
 WIDTH = 50
-GRAM, SHORT = 28, 12
+GRAM = 28
 PIECE = 2 << 20
 BUCKET_BYTES = 16 << 20
+#: Pieces that have a minimiser, and their share of all, from which on its windows are dealt one by one.
+HOT_PIECES, HOT_SHARE = 512, 64
 #: Buckets at least, so that small inputs are dealt as finely as middling ones.
 LEAST_BUCKETS = 64
 
@@ -123,24 +129,29 @@ def send_minimisers(buckets: int):
 NAMES = ["bucket", "doc", "keys", "docs", "counts"]
 
 
-def shared_minimisers(t: pa.Table) -> pa.Table:
-    """(doc, keys) of hashes that several pieces sent, and what was known before."""
-    known = t.filter(pa.compute.is_valid(t["doc"])).select(["doc", "keys"])
-    t = t.filter(pa.compute.is_null(t["doc"]))
-    join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    key, doc = join("keys", np.uint64), np.repeat(join("docs", np.int64), join("counts", np.int32))
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    twice = np.zeros(len(key), bool)
-    twice[1:] = key[1:] == key[:-1]
-    twice[:-1] |= twice[1:]
-    key, doc = key[twice], doc[twice]
-    order = np.argsort(doc, kind="stable")
-    own, keys = doc_keys(doc[order], key[order])
-    return pa.concat_tables([known, pa.table({"doc": pa.array(own, pa.int64()), "keys": keys})])
-
-
-def send_fragments(buckets: int):
+def shared_minimisers(hot: int):
+    """Of one bucket: (doc, keys) of hashes that several pieces sent, and what was known before; null and those of over ``hot`` pieces."""
+
+    def run(t: pa.Table) -> pa.Table:
+        known = t.filter(pa.compute.is_valid(t["doc"])).select(["doc", "keys"])
+        t = t.filter(pa.compute.is_null(t["doc"]))
+        join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
+        key, doc = join("keys", np.uint64), np.repeat(join("docs", np.int64), join("counts", np.int32))
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(key)))
+        many = pa.table({"doc": pa.nulls(1, pa.int64()), "keys": pa.array([key[begin[size > hot]].tobytes()])})
+        twice = np.repeat(size > 1, size)
+        key, doc = key[twice], doc[twice]
+        order = np.argsort(doc, kind="stable")
+        own, keys = doc_keys(doc[order], key[order])
+        return pa.concat_tables([known, pa.table({"doc": pa.array(own, pa.int64()), "keys": keys}), many])
+
+    return run
+
+
+def send_fragments(buckets: int, hot: Broadcast):
     """Of texts with their shared hashes: fragments by bucket. Of equal ones of a piece only the first document's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,14 +170,14 @@ def send_fragments(buckets: int):
             for d, blobs in enumerate(lists.to_pylist()):
                 own = slice(begin[d], begin[d + 1])
                 use[own] = np.isin(value[own], np.frombuffer(b"".join(blobs), np.uint64))
-            first, count = first[use], count[use]
-            left = X.ragged(first, count)
-            if not len(left):
+            first, count, of, value = first[use], count[use], of[use], value[use]
+            if not len(first):
                 continue
-            short = minimisers(total, len(buf), SHORT)[left]
-            same_doc = np.searchsorted(at, left, "right") - 1
-            first, count = runs(left, short)
-            value, of = short[np.searchsorted(left, first)], same_doc[np.searchsorted(left, first)]
+            alone = np.isin(value, hot.value)
+            lone = X.ragged(first[alone], count[alone])
+            first, count = np.concatenate([first[~alone], lone]), np.concatenate([count[~alone], np.ones(len(lone), count.dtype)])
+            of = np.concatenate([of[~alone], np.searchsorted(at, lone, "right") - 1])
+            value = np.concatenate([value[~alone], X.spans_hash(total, lone, lone + WIDTH)])
             ids = rows.column("doc").to_numpy()[of]
             start = first - at[of]
             whole = X.spans_hash(total, first, first + count + WIDTH - 1)
@@ -364,10 +375,14 @@ def without_repeats(docs: DataFrame, with_text: bool) -> DataFrame:
     firsts = only(docs.where(F.octet_length("text") >= WIDTH), copies.select("doc"), "left_anti")
     buckets = max(LEAST_BUCKETS, int(n // BUCKET_BYTES) + 1)
     sent = firsts.mapInArrow(send_minimisers(buckets), "bucket int, doc long, keys binary, docs binary, counts binary")
-    hits = scratch.written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_minimisers, "doc long, keys binary"), "hits")
+    often = max(HOT_PIECES, int(n // PIECE) // HOT_SHARE)
+    found = scratch.written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_minimisers(often), "doc long, keys binary"), "hits")
+    hot = np.frombuffer(b"".join(r["keys"] for r in found.where("doc IS NULL").toLocalIterator()), np.uint64)  # HOT_SHARE pieces' keys at most
+    hot = docs.sparkSession.sparkContext.broadcast(hot)
+    hits = found.where("doc IS NOT NULL")
     lists = hits.groupBy("doc").agg(F.collect_list("keys").alias("shared"))
     with_hits = only(firsts, hits.select("doc").distinct()).join(lists, "doc")
-    fragments = with_hits.mapInArrow(send_fragments(buckets), "bucket int, data binary, docs binary, starts binary, counts binary")
+    fragments = with_hits.mapInArrow(send_fragments(buckets, hot), "bucket int, data binary, docs binary, starts binary, counts binary")
     spans = scratch.written(fragments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(covered, "doc long, spans binary"), "spans")
     hit = spans.select("doc").distinct()
     cut = only(docs, hit).join(spans.groupBy("doc").agg(F.collect_list("spans").alias("spans")), "doc").select("doc", "text", "spans").mapInArrow(remove, "doc long, n_spans long, kept_sha256 string, spans array<long>, kept binary")

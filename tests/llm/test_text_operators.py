@@ -222,9 +222,12 @@ def brute_substrings(width=50):
     return out
 
 
-@pytest.mark.parametrize("piece,hot", [(1 << 22, 1000), (3000, 0)])
-def test_substrings(docs, piece, hot, monkeypatch):
+@pytest.mark.parametrize("piece,hot,often", [(1 << 22, 1000, 512), (3000, 0, 512), (3000, 1000, 2)])
+def test_substrings(docs, piece, hot, often, monkeypatch):
+    """Exact for pieces of any size, and with windows of frequent minimisers dealt one by one."""
     monkeypatch.setattr(ids, "HOT", hot)
+    monkeypatch.setattr(substrings, "HOT_PIECES", often)
+    monkeypatch.setattr(substrings, "HOT_SHARE", 1 << 40)
     monkeypatch.setattr(substrings, "PIECE", piece)
     out = substrings.dedup_substrings(docs, with_text=True).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute_substrings()
