@@ -12,11 +12,12 @@ parts; by the pigeonhole principle more than SPARE parts of a linked pair agree.
 says nothing: it is not joined on, unless a document has over SPARE of them. Parts join by the XOR of the hashes of
 their set bits.
 
-Candidates of a part come as pairs if few documents share it; else the documents of a part are compared in blocks,
+Candidates of a part come as pairs if few documents share it; else the documents of a part are compared within blocks,
 by a second, explicit parity sketch, and give a spanning forest of what may link, never all pairs. The same explicit
-sketch sifts the pairs. All that is left is verified on the whole sets. Since a forest's edge may fail, parts are
-compared anew, without the failed edges, until they hold nothing that could join two components: no link between
-different texts is lost. All links lie within components: there each pair of classes is compared once, on the whole
+sketch sifts the pairs. All that is left is verified on the whole sets. Parts of several blocks, or with a failed edge,
+are compared anew, without the failed edges, until they hold nothing that could join two components: no link between
+different texts is lost. Only what is outside a part's largest component is compared with the rest of it, so that a
+part of very many near copies costs a multiple of its documents, not their square. All links lie within components: there each pair of classes is compared once, on the whole
 sets, for the numbers of links; pairs are counted in blocks and never listed. That work grows with the square of a
 component's classes.
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from . import text as X
 from .components import components
-from .ids import copies_of, one_per_id, only
+from .ids import BROADCAST_IDS, copies_of, one_per_id, only
 
 #: Documents of a part up to which all its pairs are listed (a constant number of rows a document).
 FEW = 6
@@ -217,78 +218,133 @@ def sizes_fit(rule: Rule):
     return F.least("n_a", "n_b") * rule.den >= F.greatest("n_a", "n_b") * rule.num
 
 
-def forests(rows: DataFrame, table: DataFrame, label: DataFrame | None, failed: DataFrame | None, rule: Rule) -> DataFrame:
-    """Links (key, a, b, more) that may join two components, from parts that many documents share.
+def near_pairs(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(Hamming distances, whether they and the sizes allow a link) of all rows of sketches a with all of b."""
+    apart = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(-1, dtype=np.int64)
+    small, large = np.minimum(n_a[:, None], n_b[None, :]), np.maximum(n_a[:, None], n_b[None, :])
+    return apart, (apart * (rule.den + rule.num) <= (rule.den - rule.num) * (small + large)) & (small * rule.den >= large * rule.num)
 
-    rows: (key, doc, g). A part's documents are dealt into blocks by hash; each pair of blocks is one group, which
-    compares its documents by their sketches and gives a spanning forest over the components it was given. When parts
-    are compared anew, more marks the links of a document that has others than the AT_ONCE it gives.
+
+def sketch_words(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(t), -1).view(np.uint64)
+
+
+def rows_at_once(bits: np.ndarray, others: int) -> int:
+    return max(1, (16 << 20) // (bits.shape[1] * 8 * max(1, others)))
+
+
+LINKS = "key long, a long, b long, more boolean"
+
+
+def links_of(key: pa.ChunkedArray, a: list[int], b: list[int], more: list[bool]) -> pa.Table:
+    return pa.table({"key": key.slice(0, 1).take(pa.array(np.zeros(len(a), np.int64))), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+
+def with_sketches(rows: DataFrame, table: DataFrame) -> DataFrame:
+    return rows.withColumn("band", F.col("key").bitwiseAND(255).cast("int")).join(table.select("doc", "band", "n", "sketch"), ["doc", "band"])
+
+
+def ordered(links: DataFrame) -> DataFrame:
+    return links.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "more")
+
+
+def forests(rows: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
+    """Links (key, a, b, more) from parts (key, doc, g) that many documents share: a spanning forest of what may link.
+
+    A part's documents are dealt into blocks by hash, and each block is a group on its own; what links across blocks is
+    for forests_anew(), when most documents of a part have one component.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("g") / BLOCK)).cast("int")
-    with_sketch = rows.withColumn("band", F.col("key").bitwiseAND(255).cast("int")).join(table.select("doc", "band", "n", "sketch"), ["doc", "band"])
-    if label is not None:
-        with_sketch = with_sketch.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left")
-    else:
-        with_sketch = with_sketch.withColumn("component", F.lit(None).cast("long"))
-    if failed is not None:
-        with_sketch = with_sketch.join(failed.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("no")), "doc", "left")
-    else:
-        with_sketch = with_sketch.withColumn("no", F.lit(None).cast("array<long>"))
-    anew = failed is not None
-    own = F.pmod(F.xxhash64("doc", "key"), blocks).cast("int")
-    other = F.sequence(F.lit(0), blocks - 1)
-    dealt = with_sketch.withColumn("own", own).withColumn("other", F.explode(other))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", F.coalesce("component", "doc").alias("component"), "n", "sketch", "no")
+    dealt = with_sketches(rows, table).withColumn("i", F.pmod(F.xxhash64("doc", "key"), blocks).cast("int"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc")
-        doc, n, own, comp = (t[c].to_numpy() for c in ("doc", "n", "own", "component"))
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
-        bits = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(len(doc), -1)
-        bits = bits.view(np.uint64)
-        place = {d: k for k, d in enumerate(doc.tolist())} if t["no"].null_count < len(doc) else {}
-        a, b, more = [], [], []
-        parent = {c: c for c in comp.tolist()}
+        doc, n, bits = t["doc"].to_numpy(), t["n"].to_numpy(), sketch_words(t)
+        up = list(range(len(doc)))
 
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
 
-        no = t["no"].to_pylist() if place else None
-        step = max(1, (16 << 20) // (bits.shape[1] * 8 * max(1, len(doc))))
+        a, b = [], []
+        step = rows_at_once(bits, len(doc))
         for s in range(0, len(doc), step):
             e = min(len(doc), s + step)
-            apart = np.bitwise_count(bits[s:e, None, :] ^ bits[None, :e, :]).sum(-1, dtype=np.int64)
-            total = n[s:e, None] + n[None, :e]
-            near = (apart * (rule.den + rule.num) <= (rule.den - rule.num) * total) & (np.minimum(n[s:e, None], n[None, :e]) * rule.den >= np.maximum(n[s:e, None], n[None, :e]) * rule.num)
+            apart, near = near_pairs(bits[s:e], n[s:e], bits[:e], n[:e], rule)
             near &= np.arange(e)[None, :] < np.arange(s, e)[:, None]
-            near &= comp[s:e, None] != comp[None, :e]
-            if i != j:
-                near &= own[s:e, None] != own[None, :e]
-            if no:
-                for v in range(s, e):
-                    near[v - s, [place[x] for x in no[v] or () if x in place and place[x] < e]] = False
             for v in np.flatnonzero(near.any(1)).tolist():
                 us = np.flatnonzero(near[v])
-                if anew:
-                    # compared anew: several at once, the nearest first; what is left comes in later rounds
-                    more += [len(us) > AT_ONCE] * min(len(us), AT_ONCE)
-                    us = us[np.argsort(apart[v, us], kind="stable")][:AT_ONCE]
-                    a += [doc[s + v]] * len(us)
-                    b += doc[us].tolist()
-                    continue
-                # of each component that v may join, the document whose sketch is nearest
-                us = us[np.argsort(apart[v, us], kind="stable")]
-                us = us[np.unique(comp[us], return_index=True)[1]]
                 for u in us[np.argsort(apart[v, us], kind="stable")].tolist():
-                    x, y = root(comp[s + v]), root(comp[u])
+                    x, y = root(s + v), root(u)
                     if x != y:
-                        parent[x] = y
-                        a.append(doc[s + v]), b.append(doc[u]), more.append(False)
-        return pa.table({"key": t["key"].slice(0, 1).take(pa.array(np.zeros(len(a), np.int64))), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+                        up[x] = y
+                        a.append(doc[s + v]), b.append(doc[u])
+        return links_of(t["key"], a, b, [False] * len(a))
+
+    return ordered(dealt.select("key", "i", "doc", "n", "sketch").groupBy("key", "i").applyInArrow(run, LINKS))
+
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, a long, b long, more boolean").select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "more")
+def forests_anew(rows: DataFrame, table: DataFrame, label: DataFrame, failed: DataFrame, rule: Rule) -> DataFrame:
+    """Links (key, a, b, more) that may join two components, from parts (key, doc, g) that hold several.
+
+    Only documents of a part outside its largest component are compared with all others: with each other, and with
+    those of the largest, in pairs of blocks. A part of one component sends nothing, and one that is nearly so costs
+    the documents left over times its documents. Each document gives its AT_ONCE nearest; more marks that it has others.
+    """
+    named = rows.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    named = scratch.written(named, "named")
+    each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+    part = each.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("g")).where("m < g")
+    parts = scratch.written(part, "open-parts")
+    named = named.drop("g").join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "key")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int") if isinstance(n, str) else F.ceil(n / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("doc", "key"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    left, most = blocks(F.col("g") - F.col("m")), blocks("m")
+    rest = F.col("component") != F.col("main")
+    # groups: two blocks of what is left over (kind 0), or one of these and one of the largest component (kind 1)
+    one = F.transform(every(left), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, own(left)).alias("i"), F.greatest(o, own(left)).alias("j")))
+    two = F.transform(every(most), lambda o: F.struct(F.lit(1).alias("kind"), own(left).alias("i"), o.alias("j")))
+    three = F.transform(every(left), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), own(most).alias("j")))
+    named = named.select("key", "doc", "component", rest.alias("rest"), own(left).alias("own"), F.when(rest, F.concat(one, two)).otherwise(three).alias("groups"))
+    no = failed.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("no"))
+    dealt = with_sketches(named, table).join(no, "doc", "left").select("key", "doc", "component", "rest", "own", "n", "sketch", "no", F.inline("groups"))
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("doc")
+        doc, n, comp, own, rest = (t[c].to_numpy() for c in ("doc", "n", "component", "own", "rest"))
+        bits, inner, cross = sketch_words(t), t["kind"][0].as_py() == 0, t["i"][0].as_py() != t["j"][0].as_py()
+        rows, columns = (np.arange(len(doc)), np.arange(len(doc))) if inner else (np.flatnonzero(rest), np.flatnonzero(~rest))
+        column_of = np.full(len(doc), -1)
+        column_of[columns] = np.arange(len(columns))
+        # pairs that failed, from both ends
+        place = {d: k for k, d in enumerate(doc.tolist())}
+        bad = [(k, place[x]) for k, xs in enumerate(t["no"].to_pylist()) for x in xs or () if x in place]
+        bad = np.array(bad + [(y, x) for x, y in bad], np.int64).reshape(-1, 2)
+        bad = bad[column_of[bad[:, 1]] >= 0]
+        bad = bad[np.argsort(bad[:, 0], kind="stable")]
+        a, b, more = [], [], []
+        step = rows_at_once(bits, len(columns))
+        for s in range(0, len(rows), step):
+            v = rows[s : s + step]
+            apart, near = near_pairs(bits[v], n[v], bits[columns], n[columns], rule)
+            near &= comp[v][:, None] != comp[columns][None, :]
+            if inner:
+                near &= columns[None, :] < v[:, None]
+                if cross:
+                    near &= own[v][:, None] != own[columns][None, :]
+            lo, hi = np.searchsorted(bad[:, 0], v, "left"), np.searchsorted(bad[:, 0], v, "right")
+            near[np.repeat(np.arange(len(v)), hi - lo), column_of[bad[X.ragged(lo, hi - lo), 1]]] = False
+            for k in np.flatnonzero(near.any(1)).tolist():
+                us = np.flatnonzero(near[k])
+                more += [len(us) > AT_ONCE] * min(len(us), AT_ONCE)
+                us = us[np.argsort(apart[k, us], kind="stable")][:AT_ONCE]
+                a += [doc[v[k]]] * len(us)
+                b += doc[columns[us]].tolist()
+        return links_of(t["key"], a, b, more)
+
+    return ordered(dealt.groupBy("key", "kind", "i", "j").applyInArrow(run, LINKS))
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
@@ -426,19 +482,22 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
         pairs = pairs.withColumn("key", F.lit(None).cast("long")).withColumn("more", F.lit(False))
         if many is not None:
-            pairs = pairs.unionByName(forests(many, sketch, label, failed, rule))
+            pairs = pairs.unionByName(forests(many, sketch, rule) if label is None else forests_anew(many, sketch, label, failed, rule))
         pairs = scratch.written(pairs, "pairs")
         found = pairs.select("a", "b").distinct()
-        if found.isEmpty():
+        if found.isEmpty() and not (label is None and many is not None and not many.where(F.col("g") > BLOCK).isEmpty()):
             break
         done = scratch.written(verified(found, docs, rule), "verified")
         yes, no = done.where("linked").select("a", "b"), done.where("NOT linked").select("a", "b")
         linked = yes if linked is None else linked.unionAll(yes)
         failed = no if failed is None else failed.unionAll(no)
-        # a part whose forest held has nothing left to join; only those with an edge that failed, or with links that
-        # were not given yet, are compared anew
+        # a part whose forest held has nothing left to join; only those with an edge that failed, with links that were
+        # not given yet, or with blocks not yet compared with each other, are compared anew
         given = pairs.where("key IS NOT NULL")
-        again = scratch.written(given.join(no, ["a", "b"], "left_semi").select("key").unionAll(given.where("more").select("key")).distinct(), "again")
+        again = given.join(no, ["a", "b"], "left_semi").select("key").unionAll(given.where("more").select("key"))
+        if many is not None and label is None:
+            again = again.unionAll(many.where(F.col("g") > BLOCK).select("key"))
+        again = scratch.written(again.distinct(), "again")
         many = many.join(again, "key", "left_semi") if many is not None and not again.isEmpty() else None
         if label is None or not yes.isEmpty():
             label = scratch.written(components(linked), "labels")
@@ -446,8 +505,8 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
         raise RuntimeError("links were left after the last round")
     sizes = table.select("doc", "n").distinct()
     out = marks.select("doc").join(copies, "doc", "left").withColumn("class", F.coalesce("class", "doc")).join(sizes.withColumnRenamed("doc", "class"), "class", "left")
-    if linked is None:
-        linked, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "id long, component long")
+    if label is None:
+        label = spark.createDataFrame([], "id long, component long")
     out = out.join(label.withColumnRenamed("id", "class"), "class", "left")
     if count:
         out = out.join(scratch.written(degrees(label, sizes, docs, rule), "degrees"), "class", "left").fillna(0, ["n_linked"])

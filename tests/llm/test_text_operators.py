@@ -65,6 +65,34 @@ def test_jaccard_components(docs, k, num, monkeypatch):
     assert got == brute_components(k, num, 100)
 
 
+def test_jaccard_parts_of_many_blocks(spark, monkeypatch):
+    """Near copies of one text in many blocks, some far enough to need others between; blocks that hold no link alone."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    monkeypatch.setattr(jaccard, "AT_ONCE", 2)
+    r = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    text, now = {}, list(base)
+    for d in range(40):  # a chain: each near the one before
+        for _ in range(3):
+            now[int(r.integers(300))] = f"x{d}"
+        text[d] = " ".join(now)
+    for d in range(40, 100):  # a cloud around the base
+        own = list(base)
+        for _ in range(int(r.integers(0, 12))):
+            own[int(r.integers(300))] = f"y{d}"
+        text[d] = " ".join(own)
+    made = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    seen = []
+    anew = jaccard.forests_anew
+    monkeypatch.setattr(jaccard, "forests_anew", lambda *x: seen.append(1) or anew(*x))
+    for rule in (jaccard.Rule(3, 90, 100), jaccard.Rule(3, 80, 100)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(made, rule, count=False).collect()}
+        want = brute_components(3, rule.num, 100, text)
+        assert got == want
+    assert seen and 1 < len({c for _, c in want.values()} | {0, 1})
+
+
 def test_jaccard_keep_one(docs, monkeypatch):
     monkeypatch.setattr(ids, "HOT", 0)
     kept = jaccard.keep_one(docs)
