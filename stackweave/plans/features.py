@@ -163,7 +163,19 @@ def coherence_points(f: DataFrame) -> DataFrame:
     return f.select("site", "t_d1", "t_d2", Q.coherence_score().alias("s")).select("site", "t_d1", "t_d2", "s.score100", "s.tier")
 
 
-@query()
+def contributed(weights: dict) -> str:
+    """Names of the features by falling share of the score, as SQL."""
+    shares = ", ".join(f"{{o: -abs(round({w}::DOUBLE * {unit(k)}, 4)), k: '{k}'}}" for k, w in weights.items())
+    return f"array_to_string(list_transform(list_sort(list_filter([{shares}], lambda s: -s.o > 0.001)), lambda s: s.k), ',')"
+
+
+WET = "coalesce(temp_max_d1 > 0 AND snow_cover_frac_d1 > 0.3, false) OR coalesce(temp_max_d2 > 0 AND snow_cover_frac_d2 > 0.3, false)"
+
+
+@query(WITH + PAIRS + f"""SELECT site, t_d1, t_d2, tier, contributions, round(CASE tier WHEN 'landcover' THEN 100 * CASE WHEN len({KILLS}) > 0 THEN 0 ELSE round({unit("CASE WHEN v >= 0.4 AND (ndvi_d1 >= 0.3) <> (ndvi_d2 >= 0.3) THEN least(m, 0.5) ELSE m END")}, 4) END WHEN 'flat' THEN 100 * flat ELSE CASE WHEN {WET} THEN 0 ELSE {POINTS} END END, 2) AS score100 FROM (
+SELECT *, (a / tot) * {unit('1 - ' + weighted(Q.URBAN_BARE, 80.0))} + (v / tot) * {unit('1 - ' + weighted(Q.VEGETATION, 80.0))} + (c / tot) * least({unit('1 - ' + weighted(Q.FOREST, 80.0))}, 0.25) AS m FROM (SELECT *, CASE WHEN a + v + c = 0 THEN 1 ELSE a + v + c END AS tot FROM (
+SELECT *, lc_urban_fraction + lc_bare_fraction AS a, lc_crop_fraction + lc_grass_fraction + lc_shrub_fraction AS v, coalesce(lc_forest_fraction, 0) AS c, (['coherence', 'landcover', 'climatology', 'flat'])[CAST(site % 4 + 1 AS INT)] AS tier, CASE site % 4 WHEN 0 THEN 0.3 ELSE 0.2 END::DOUBLE AS coh, round({unit('1 - ' + weighted(Q.FLAT))}, 4) AS flat, {contributed(Q.FLAT)} AS contributions
+FROM (SELECT * REPLACE (CASE WHEN site % 4 = 1 THEN lc_forest_fraction END AS lc_forest_fraction, CASE WHEN site % 4 = 1 THEN ndvi_d1 END AS ndvi_d1) FROM fv))))""".replace("CASE site % 4 WHEN 0 THEN 0.3 ELSE 0.2 END::DOUBLE", "CAST(CASE site % 4 WHEN 0 THEN 0.3 ELSE 0.2 END AS DOUBLE)"))
 def quality_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Each tier of the cascade, with the flat score's largest contributions."""
     f = features(spark, folder)

@@ -452,3 +452,23 @@ def test_propagated_baseline_of_long_chains(spark):
     p = spark.createDataFrame([("a", i, i + 1, 0.5) for i in range(299)], "stack string, ref long, sec long, signed double")
     got = {(r["stack"], r["scene"]): (r["bperp"], r["resolved"]) for r in graph.propagated_baseline(p, s).collect()}
     assert got == {**{("a", i): (i / 2, True) for i in range(300)}, ("a", 900): (0.0, False), ("b", 7): (0.0, True)}
+
+
+def test_sql_functions_equal_columns(spark):
+    """The functions for SQL users give what the column functions give, nulls included."""
+    sql.register(spark)
+    name = "S1A_IW_SLC__1SDV_20200101T134501_20200101T000030_030000_038000_1234"
+    day = datetime.date(2021, 3, 9)
+    rows = [(name, "Sentinel-1B", "134501", day, 12.5, -3.4, 0.2), ("20240115", None, "233001", datetime.date(2020, 12, 31), -45.0, 0.0, 0.41), (None, "x", None, None, None, 7.0, None)]
+    d = spark.createDataFrame(rows, "name string, platform string, hms string, day date, x double, y double, z double")
+    c = F.col
+    both = {
+        "sw_scene_date(name)": N.scene_date(c("name")), "sw_scene_hour(name)": N.scene_hour(c("name")), "sw_start_stamp(name)": N.start_stamp(c("name")), "sw_mission(platform)": N.mission(c("platform")), "sw_round_hour(hms)": N.round_hour(c("hms")),
+        "sw_composite_code(day)": N.composite_code(c("day")), "sw_composite_day(sw_composite_code(day))": c("day"), "sw_day_offset_id(day)": N.day_offset_id(c("day")), "sw_pair_key(name, platform, day, date'2021-01-01')": N.pair_key(c("name"), c("platform"), c("day"), F.lit("2021-01-01").cast("date")),
+        "sw_tile_lat(x, 3)": N.tile_lat(c("x"), 3), "sw_tile_lon(x, 1)": N.tile_lon(c("x")), "sw_freeze_thaw(x, y)": scores.freeze_thaw(c("x"), c("y")), "sw_snow_delta(x, z)": scores.snow_delta(c("x"), c("z")), "sw_wind_speed(x, y)": scores.wind_speed(c("x"), c("y")), "sw_celsius(x)": scores.celsius(c("x")),
+        "sw_coherence_penalty(z)": scores.coherence_penalty(c("z")), "sw_rescaled(z, 1.2)": scores.rescaled(c("z"), F.lit(1.2)), "sw_rescaled(z, 2)": scores.rescaled(c("z"), F.lit(2)), "sw_los_up(z, z)": geo.los_up(c("z"), c("z")), "sw_vertical(x, z)": geo.vertical(c("x"), c("z")), "sw_route(x * 1000)": pairs.route(c("x") * 1000), "sw_band_of(x)": coherence.band_of(c("x")),
+        "sw_decay(z, y, 20, 6)": scores.decay(c("z"), c("y"), F.lit(20), F.lit(6)), "sw_unit(x)": scores.unit(c("x")), "sw_end_of_day(name)": N.end_of_day(c("name")), "sw_area_key(name)": scores.area_key(c("name")), "sw_metres(x, 0.05546576)": geo.phase_to_metres(c("x")),
+    }
+    for r in d.select(*(F.struct(F.expr(k).alias("a"), v.alias("b")).alias(str(i)) for i, (k, v) in enumerate(both.items()))).collect():
+        for k, x in zip(both, r):
+            assert x["a"] == pytest.approx(x["b"]) if isinstance(x["b"], float) else x["a"] == x["b"], k
