@@ -29,8 +29,8 @@ END_ID = 0
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 #: New units encoded in one call's text.
 JOINED = 1000
-#: Bytes of text at a time: the more, the fewer units are looked up twice.
-PIECE = 12 << 20
+#: Bytes of text at a time.
+PIECE = 6 << 20
 _kept: dict[str, Encoded] = {}
 
 

@@ -62,11 +62,13 @@ class Encoded:
             setattr(self, name, new)
 
     def lookup(self, units: list[bytes]) -> np.ndarray:
-        if len(self.index) + len(units) > self.kept and len(self.index):
-            self.clear()
         get = self.index.get
         found = np.array([get(u, -1) for u in units], np.int64)
         new = np.flatnonzero(found < 0)
+        if len(self.index) + len(new) > self.kept and len(self.index):
+            self.clear()
+            found[:] = -1
+            new = np.arange(len(units))
         if len(new):
             fresh = [units[i] for i in new.tolist()]
             flat, length = self.encode(fresh)
