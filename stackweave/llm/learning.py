@@ -7,16 +7,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts of more bytes are scored whole, but not learned from.
+LONGEST = 256 << 10
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id as text is divisible by 5: labels of these rows are never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """At most ``bound`` labelled rows (text, label) for learning, none held out.
+    """At most ``bound`` labelled rows (text, label) of at most LONGEST bytes for learning, none held out.
 
     The rows with the smallest hash of the id are taken, so that the choice is the same in every run. Rows of
-    labels with a null id or label are left out; an id with several labels counts once, with its largest.
+    labels with a null id or label are left out; an id with several labels counts once, with its largest, and one
+    with several texts with that which sorts first. So what learning brings to the driver is bounded.
     """
     ids = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -26,7 +31,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "label")  # bound rows at most
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST)
+    found = short.join(F.broadcast(ids), "doc_id")  # bound rows at most
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
