@@ -13,6 +13,8 @@ from ..functions.scores import decay, season
 
 STEPS = 40
 NO_FIT = (0.0, 1.0, 30.0)
+#: A line falls if its slope is under this; equal values have a slope of some rounding error.
+FALLING = -1e-12
 # Climatological coherence by band of latitude (from 0, 10, ... 80), season, and lags 6, 12, 18, 24, 36, 48.
 SEASON_ORDER = ("winter", "spring", "summer", "fall")
 CLIMATOLOGY_LAGS = (6, 12, 18, 24, 36, 48)
@@ -75,7 +77,7 @@ def fit(lag: np.ndarray, coh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
             slope = (tc * (logs - mean[:, None])).sum(1) / ss
             a = np.exp(mean - slope * tm)
             err = (np.where(valid, g[:, None] + a[:, None] * np.exp(slope[:, None] * lag) - coh, 0) ** 2).sum(1) / k
-        take = ok & (slope < 0) & (err < best)
+        take = ok & (slope < FALLING) & (err < best)
         best[take] = err[take]
         for o, v in zip(out, (g, np.minimum(g + a, 1.0), -1 / np.where(slope < 0, slope, -1))):
             o[take] = v[take]
@@ -123,7 +125,7 @@ def days_of(i: int) -> Column:
     return F.get("before_sec", F.lit(i)) - F.get("before_ref", F.lit(i))
 
 
-def chained(pairs: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+def chained(pairs: DataFrame, params: DataFrame, keys: list[str], on: tuple[str, ...] = (), digits: int = 4) -> DataFrame:
     """(keys, coh, floor, n_segments) of pairs that carry SEASON_COLUMNS of both ends; null if a season lacks parameters.
 
     Floors and starts are means weighted by days, decays add up. params: (season, g_inf, g0, tau), or a row for each
@@ -145,7 +147,7 @@ def chained(pairs: DataFrame, params: DataFrame, keys: list[str], on: tuple[str,
     sums = got.select(*keys, *(x.alias(c) for c, x in total.items()), whole.alias("whole"), (1 + F.col("cuts_sec") - F.col("cuts_ref") - F.col("begins_ref").cast("long")).alias("n_segments"))
     ginf, g0 = F.col("g_inf") / F.col("days"), F.col("g0") / F.col("days")
     coh = ginf + (g0 - ginf) * F.exp(-F.col("decay"))
-    return sums.select(*keys, F.when(F.col("whole"), F.round(coh, 4)).alias("coh"), F.when(F.col("whole"), F.round(ginf, 4)).otherwise(0.0).alias("floor"), "n_segments")
+    return sums.select(*keys, F.when(F.col("whole"), F.round(coh, digits)).alias("coh"), F.when(F.col("whole"), F.round(ginf, digits)).otherwise(0.0).alias("floor"), "n_segments")
 
 
 def pixel_chained(pairs: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:

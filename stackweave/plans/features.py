@@ -194,9 +194,30 @@ def quality_legacy(spark: SparkSession, folder: str) -> DataFrame:
     return features(spark, folder).select("site", "t_d1", "t_d2", Q.legacy_score(F.col("dt"), F.col("bperp"), snow, F.col("season_penalty"), F.col("ndvi_d1"), 9).alias("score"))
 
 
-@query("""SELECT stack, ref, sec, i AS segment, CAST(greatest(date_diff('day', b, e), 1) AS INT) AS days, (['winter','winter','spring','spring','spring','summer','summer','summer','fall','fall','fall','winter'])[month(b)] AS season FROM (
+def segments_sql(month: str = "month(b)") -> str:
+    """(stack, ref, sec, segment, days, season) of pairs; ``month`` is that of a segment's first day b, in the north."""
+    return f"""SELECT stack, ref, sec, i AS segment, CAST(greatest(date_diff('day', b, e), 1) AS INT) AS days, (['winter','winter','spring','spring','spring','summer','summer','summer','fall','fall','fall','winter'])[{month}] AS season FROM (
 SELECT stack, ref, sec, unnest(range(len(p) - 1)) AS i, unnest(p[1:len(p) - 1]) AS b, unnest(p[2:len(p)]) AS e FROM (SELECT *, list_concat(list_concat([d1], list_filter(list_transform(range(CAST(date_trunc('month', d1) AS TIMESTAMP), CAST(d2 AS TIMESTAMP), INTERVAL 1 MONTH), lambda x: CAST(x AS DATE)), lambda m: month(m) IN (3, 6, 9, 12) AND m > d1 AND m < d2)), [d2]) AS p FROM (
-SELECT a.stack, a.scene AS ref, b.scene AS sec, a.day AS d1, b.day AS d2 FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND b.t - a.t BETWEEN 1 AND 120)))""")
+SELECT a.stack, a.scene AS ref, b.scene AS sec, a.day AS d1, b.day AS d2 FROM collapsed a JOIN collapsed b ON a.stack = b.stack AND b.t - a.t BETWEEN 1 AND 120)))"""
+
+
+def fit_sql(levels: str, keys: str) -> str:
+    """Tables up to fitted (keys, n, g_inf, g0, tau) from levels (keys, lag, coh): the floor of least squared error on the grid."""
+    return f""", lv AS (SELECT {keys}, CAST(lag AS DOUBLE) AS x, CAST(coh AS DOUBLE) AS y FROM ({levels})),
+base AS (SELECT {keys}, min(y) AS least, count(*) AS n FROM lv GROUP BY {keys} HAVING count(*) >= 3),
+grid AS (SELECT *, least * 0.95::DOUBLE * step / {K.STEPS - 1} AS g FROM base, (SELECT unnest(range({K.STEPS})) AS step)),
+line AS (SELECT {keys}, step, g, regr_slope(ln(y - g), x) AS s, avg(ln(y - g)) - regr_slope(ln(y - g), x) * avg(x) AS i FROM grid JOIN lv USING ({keys}) GROUP BY {keys}, step, g),
+error AS (SELECT {keys}, step, g, s, exp(i) AS a, avg(power(g + exp(i) * exp(s * x) - y, 2)) AS e FROM line JOIN lv USING ({keys}) WHERE s < {K.FALLING} GROUP BY {keys}, step, g, s, i),
+best AS (SELECT {keys}, arg_min({{g: g, a: a, s: s}}, {{e: e, step: step}}) AS b FROM error GROUP BY {keys}),
+fitted AS (SELECT {keys}, n, coalesce(b.g, 0) AS g_inf, coalesce(least(b.g + b.a, 1), 1) AS g0, coalesce(-1 / b.s, 30) AS tau FROM base LEFT JOIN best USING ({keys}))
+"""
+
+
+CHAINED = """SELECT stack, ref, sec, CASE WHEN count(tau) = count(*) THEN round(sum(days * g_inf) / sum(days) + (sum(days * g0) / sum(days) - sum(days * g_inf) / sum(days)) * exp(-sum(days / tau)), {digits}) END AS coh,
+CASE WHEN count(tau) = count(*) THEN round(sum(days * g_inf) / sum(days), {digits}) ELSE 0 END AS floor, count(*) AS n_segments FROM seg LEFT JOIN fitted USING ({on}) GROUP BY stack, ref, sec"""
+
+
+@query(segments_sql())
 def coherence_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of pairs cut at the seasons' first days."""
     return pair_segments(collapsed(spark, folder))
@@ -227,27 +248,31 @@ def season_levels(spark: SparkSession, folder: str) -> DataFrame:
     return s.groupBy("season", "lag").agg((F.round(F.avg("coh"), 3) / 100).alias("c")).select("season", "lag", F.round(F.col("c") * F.exp(-F.col("lag") / 40), 6).alias("coh"))
 
 
-@query()
+@query(WITH + fit_sql("SELECT part, season, lag, avg(coh) / 100 AS coh FROM samples WHERE coh > 0 AND coh < 255 GROUP BY part, season, lag", "part, season") + "SELECT part, season, n AS n_lags, round(g_inf, 6) AS g_inf, round(g0, 6) AS g0, round(1 / tau, 8) AS per_day FROM fitted")
 def coherence_decay_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Q8 Q9: floors, starts and decay times per part and season, from at least three lags."""
+    """Q8 Q9: floors, starts and decays a day per part and season, from at least three lags."""
     s = samples(spark, folder).where("coh > 0 AND coh < 255")
     levels = s.groupBy("part", "season", "lag").agg((F.avg("coh") / 100).alias("coh"))
     got = K.fit_pixels(levels, ["part", "season"], LEVELS).where("n_lags >= 3")
-    return got.select("part", "season", "n_lags", *(F.round(c, 6).alias(c) for c in ("g_inf", "g0", "tau")))
+    return got.select("part", "season", "n_lags", F.round("g_inf", 6).alias("g_inf"), F.round("g0", 6).alias("g0"), F.round(1 / F.col("tau"), 8).alias("per_day"))
 
 
-@query()
+@query(WITH + fit_sql("SELECT season, lag, round(round(avg(coh), 3) / 100 * exp(-lag / 40.0::DOUBLE), 6) AS coh FROM samples WHERE coh > 0 AND coh < 255 GROUP BY season, lag", "season") + f", seg AS ({segments_sql()}) " + CHAINED.format(on="season", digits=4))
 def coherence_chained(spark: SparkSession, folder: str) -> DataFrame:
     """Q5: coherence of pairs chained over their seasons."""
     return K.chained(season_pairs(spark, folder, F.lit(45.0)), K.fit_pixels(season_levels(spark, folder), ["season"], LEVELS), ["stack", "ref", "sec"])
 
 
-@query()
+LEVELS_SQL = ", ".join(f"({band}, '{s}', {lag}, {c})" for band, *values in K.CLIMATOLOGY for s, row in zip(K.SEASON_ORDER, values) for lag, c in zip(K.CLIMATOLOGY_LAGS, row))
+PATH = "CAST(split_part(stack, ':', 1) AS BIGINT)"
+
+
+@query(WITH + fit_sql(f"SELECT * FROM (VALUES {LEVELS_SQL}) v(band, season, lag, coh)", "band, season") + f", seg AS (SELECT *, CAST(least(({PATH} * 7 + 3) % 90 // 10 * 10, 80) AS INT) AS band FROM ({segments_sql(f'CAST((month(b) + CASE WHEN {PATH} % 2 = 1 AND ({PATH} * 7 + 3) % 90 > 0 THEN 5 ELSE 11 END) % 12 + 1 AS INT)')})) " + CHAINED.format(on="band, season", digits=10))
 def coherence_climatology(spark: SparkSession, folder: str) -> DataFrame:
     """The same from the climatology of the pair's band of latitude."""
     lat = latitude(F.split("stack", ":")[0].cast("long"))
     pairs = season_pairs(spark, folder, lat).withColumn("band", K.band_of(lat))
-    return K.chained(pairs, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band",))
+    return K.chained(pairs, K.fit_pixels(K.climatology(spark), ["band", "season"], K.CLIMATOLOGY_LAGS), ["stack", "ref", "sec"], ("band",), digits=10)
 
 
 @query()
