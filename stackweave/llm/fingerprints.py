@@ -47,15 +47,13 @@ def winnow(buf: np.ndarray, at: np.ndarray, k: int = K, t: int = T) -> tuple[np.
 
 def winnow_slices(buf: np.ndarray, k: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One long text: each slice has the windows that begin in it; a choice that two slices make counts once."""
-    hashes, places = [], []
+    hashes, places, last = [], [], -1
     windows = len(buf) - t + 1
     for s in range(0, windows, SLICE):
-        part = buf[s : min(windows, s + SLICE) + t - 1]
-        h, pos, _ = winnow_piece(part, np.array([0, len(part)]), k, t)
-        again = int(s > 0 and pos[0] + s == places[-1][-1])
-        hashes.append(h[again:]), places.append(pos[again:] + s)
-        if not len(places[-1]):
-            hashes.pop(), places.pop()
+        h, pos, _ = winnow_piece(buf[s : min(windows, s + SLICE) + t - 1], np.array([0, min(windows, s + SLICE) + t - 1 - s]), k, t)
+        new = pos + s > last  # choices only move to the right
+        hashes.append(h[new]), places.append(pos[new] + s)
+        last = int(pos[-1]) + s
     h = np.concatenate(hashes)
     return h, np.concatenate(places), np.array([len(h)])
 

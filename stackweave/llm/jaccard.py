@@ -298,10 +298,10 @@ def forests_anew(rows: DataFrame, table: DataFrame, label: DataFrame, failed: Da
     part = each.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("g")).where("m < g")
     parts = scratch.written(part, "open-parts")
     named = named.drop("g").join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "key")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int") if isinstance(n, str) else F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("doc", "key"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    left, most = blocks(F.col("g") - F.col("m")), blocks("m")
+    left, most = blocks(F.col("g") - F.col("m")), blocks(F.col("m"))
     rest = F.col("component") != F.col("main")
     # groups: two blocks of what is left over (kind 0), or one of these and one of the largest component (kind 1)
     one = F.transform(every(left), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, own(left)).alias("i"), F.greatest(o, own(left)).alias("j")))
