@@ -285,31 +285,36 @@ def forests(rows: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
     return ordered(dealt.select("key", "i", "doc", "n", "sketch").groupBy("key", "i").applyInArrow(run, LINKS))
 
 
-def forests_anew(rows: DataFrame, table: DataFrame, label: DataFrame, failed: DataFrame, rule: Rule) -> DataFrame:
-    """Links (key, a, b, more) that may join two components, from parts (key, doc, g) that hold several.
+def forests_anew(rows: DataFrame, table: DataFrame, label: DataFrame, failed: DataFrame, rule: Rule, large: bool) -> DataFrame:
+    """Links (key, a, b, more) that may join two components, from parts (key, doc, g) that may hold several.
 
-    Only documents of a part outside its largest component are compared with all others: with each other, and with
-    those of the largest, in pairs of blocks. A part of one component sends nothing, and one that is nearly so costs
-    the documents left over times its documents. Each document gives its AT_ONCE nearest; more marks that it has others.
+    A part of one block is one group. Of a larger one (large: there are some) only documents outside its largest
+    component are compared with all others: with each other, and with those of the largest, in pairs of blocks. A part of
+    one component then sends nothing, and one that is nearly so costs the documents left over times its documents. Each
+    document gives its AT_ONCE nearest; more marks that it has others.
     """
+    group = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     named = rows.join(label.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    named = scratch.written(named, "named")
-    each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
-    part = each.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("g")).where("m < g")
-    parts = scratch.written(part, "open-parts")
-    named = named.drop("g").join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "key")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("doc", "key"), n).cast("int")
-    every = lambda n: F.sequence(F.lit(0), n - 1)
-    left, most = blocks(F.col("g") - F.col("m")), blocks(F.col("m"))
-    rest = F.col("component") != F.col("main")
-    # groups: two blocks of what is left over (kind 0), or one of these and one of the largest component (kind 1)
-    one = F.transform(every(left), lambda o: F.struct(F.lit(0).alias("kind"), F.least(o, own(left)).alias("i"), F.greatest(o, own(left)).alias("j")))
-    two = F.transform(every(most), lambda o: F.struct(F.lit(1).alias("kind"), own(left).alias("i"), o.alias("j")))
-    three = F.transform(every(left), lambda o: F.struct(F.lit(1).alias("kind"), o.alias("i"), own(most).alias("j")))
-    named = named.select("key", "doc", "component", rest.alias("rest"), own(left).alias("own"), F.when(rest, F.concat(one, two)).otherwise(three).alias("groups"))
+    one = F.lit(0)
+    groups = named.where(F.col("g") <= BLOCK).select("key", "doc", "component", F.lit(True).alias("rest"), one.alias("own"), F.array(group(0, one, one)).alias("groups"))
+    if large:
+        named = scratch.written(named.where(F.col("g") > BLOCK), "named")
+        each = named.groupBy("key", "component").agg(F.count("*").alias("c"))
+        parts = each.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("m"), F.sum("c").alias("g")).where("m < g")
+        parts = scratch.written(parts, "open-parts")
+        named = named.drop("g").join(F.broadcast(parts) if parts.count() <= BROADCAST_IDS else parts, "key")
+        blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("doc", "key"), n).cast("int")
+        every = lambda n: F.sequence(F.lit(0), n - 1)
+        left, most = blocks(F.col("g") - F.col("m")), blocks(F.col("m"))
+        # two blocks of what is left over (kind 0), or one of these and one of the largest component (kind 1)
+        among = F.transform(every(left), lambda o: group(0, F.least(o, own(left)), F.greatest(o, own(left))))
+        to_main = F.transform(every(most), lambda o: group(1, own(left), o))
+        of_main = F.transform(every(left), lambda o: group(1, o, own(most)))
+        rest = F.col("component") != F.col("main")
+        groups = groups.unionByName(named.select("key", "doc", "component", rest.alias("rest"), own(left).alias("own"), F.when(rest, F.concat(among, to_main)).otherwise(of_main).alias("groups")))
     no = failed.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("no"))
-    dealt = with_sketches(named, table).join(no, "doc", "left").select("key", "doc", "component", "rest", "own", "n", "sketch", "no", F.inline("groups"))
+    dealt = with_sketches(groups, table).join(no, "doc", "left").select("key", "doc", "component", "rest", "own", "n", "sketch", "no", F.inline("groups"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc")
@@ -467,7 +472,8 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
     shared = scratch.written(parts, "parts")
     few = shared.where("b IS NOT NULL").select("a", "b", F.col("key").cast("int").alias("band")).distinct()
     many = shared.where("b IS NULL").select("key", F.col("a").alias("doc"), "g")
-    many = None if many.isEmpty() else many
+    biggest = many.agg(F.max("g")).first()[0]
+    many, large = (many, biggest > BLOCK) if biggest else (None, False)
     sketch = table.where("band IS NOT NULL").drop("keys")
     near = scratch.written(close_enough(few, sketch, rule).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
     linked = label = failed = None
@@ -482,10 +488,10 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
             pairs = pairs.groupBy("a").agg(F.min("b").alias("b"))
         pairs = pairs.withColumn("key", F.lit(None).cast("long")).withColumn("more", F.lit(False))
         if many is not None:
-            pairs = pairs.unionByName(forests(many, sketch, rule) if label is None else forests_anew(many, sketch, label, failed, rule))
+            pairs = pairs.unionByName(forests(many, sketch, rule) if label is None else forests_anew(many, sketch, label, failed, rule, large))
         pairs = scratch.written(pairs, "pairs")
         found = pairs.select("a", "b").distinct()
-        if found.isEmpty() and not (label is None and many is not None and not many.where(F.col("g") > BLOCK).isEmpty()):
+        if found.isEmpty() and not (label is None and large):
             break
         done = scratch.written(verified(found, docs, rule), "verified")
         yes, no = done.where("linked").select("a", "b"), done.where("NOT linked").select("a", "b")
@@ -495,7 +501,7 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
         # not given yet, or with blocks not yet compared with each other, are compared anew
         given = pairs.where("key IS NOT NULL")
         again = given.join(no, ["a", "b"], "left_semi").select("key").unionAll(given.where("more").select("key"))
-        if many is not None and label is None:
+        if large and label is None:
             again = again.unionAll(many.where(F.col("g") > BLOCK).select("key"))
         again = scratch.written(again.distinct(), "again")
         many = many.join(again, "key", "left_semi") if many is not None and not again.isEmpty() else None

@@ -77,7 +77,7 @@ def test_jaccard_parts_of_many_blocks(spark, monkeypatch):
         for _ in range(3):
             now[int(r.integers(300))] = f"x{d}"
         text[d] = " ".join(now)
-    for d in range(40, 100):  # a cloud around the base
+    for d in range(40, 70):  # a cloud around the base
         own = list(base)
         for _ in range(int(r.integers(0, 12))):
             own[int(r.integers(300))] = f"y{d}"
@@ -86,11 +86,9 @@ def test_jaccard_parts_of_many_blocks(spark, monkeypatch):
     seen = []
     anew = jaccard.forests_anew
     monkeypatch.setattr(jaccard, "forests_anew", lambda *x: seen.append(1) or anew(*x))
-    for rule in (jaccard.Rule(3, 90, 100), jaccard.Rule(3, 80, 100)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(made, rule, count=False).collect()}
-        want = brute_components(3, rule.num, 100, text)
-        assert got == want
-    assert seen and 1 < len({c for _, c in want.values()} | {0, 1})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(made, jaccard.Rule(3, 90, 100), count=False).collect()}
+    assert got == brute_components(3, 90, 100, text)
+    assert seen and len({c for _, c in got.values()}) > 1
 
 
 def test_jaccard_keep_one(docs, monkeypatch):
