@@ -103,24 +103,66 @@ def test_gradient():
         assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-6
 
 
+def holds_item(doc, item):
+    """Whether some window of 13 words (the item, if shorter) laid word by word over the document has 4/5 of them equal."""
+    n, need = len(item), min(13, len(item))
+    if not n or len(doc) < need:
+        return False
+    own = np.concatenate([np.full(n - 1, -1), doc, np.full(n - 1, -1)])
+    view = np.lib.stride_tricks.sliding_window_view
+    same, inside = view(own, n) == item, view(own >= 0, n)
+    total = lambda x: view(x, need, axis=1).sum(-1)
+    return bool(((total(inside) == need) & (5 * total(same) >= 4 * need)).any())
+
+
 def test_pipeline(spark):
+    """Each stage keeps of its own input what its rule says, by brute force; the last gives every text's ids."""
+    import re
+
     import corpus_pipeline
 
+    from stackweave.llm import lines
+
+    from .test_text_operators import LOW, SPACE, brute_components
+
     folder = "/root/testdata/sf0.001"
     docs = queries.table(spark, folder, "documents")
-    before = {r["doc_id"] for r in docs.collect()}
-    names = [n for n, _ in corpus_pipeline.STAGES]
-    assert len(names) == 5
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, folder)
+    stages = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram jaccard join", "benchmark decontamination", "sentencepiece"]
+    text = lambda d: {r["doc_id"]: r["text"] or "" for r in d.collect()}
+
+    def run(name, want):
+        out = stages[name](spark, docs, folder)
         assert out.columns == docs.columns
-        now = out.collect()
-        after = {r["doc_id"] for r in now}
-        assert after <= before and len(after) > len(before) * 0.7, name
-        docs, before = spark.createDataFrame(now, docs.schema), after
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
-    assert {r["doc_id"] for r in last.where("round_trip").collect()} == before
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, folder).collect()} == before
+        got = out.collect()
+        assert {r["doc_id"]: r["text"] or "" for r in got} == want, name
+        return spark.createDataFrame(got, docs.schema), want
+
+    before = text(docs)
+    model = toxicity.fit(docs, queries.table(spark, folder, "labels"))
+    low = {r["doc_id"] for r in toxicity.score(docs, model).where("toxic_score < 0.5").collect()}
+    docs, now = run("toxicity", {d: t for d, t in before.items() if d in low})
+    assert 0 < len(before) - len(now) < 40
+    key = lambda x: x.strip(SPACE).translate(LOW)
+    first, want = {}, {}
+    for d in sorted(now):
+        for x in now[d].split("\n"):
+            first.setdefault(key(x), d)
+    for d, t in now.items():
+        kept = [x for x in t.split("\n") if len(key(x)) < lines.MIN_CHARS or first[key(x)] == d]
+        if len(kept) == t.count("\n") + 1 or "\n".join(kept).strip(SPACE):
+            want[d] = "\n".join(kept)
+    docs, now = run("line dedup", want)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in docs.collect())
+    docs, now = run("n-gram jaccard join", {d: now[d] for d, (_, c) in brute_components(5, 80, 100, now).items() if d == c})
+    words = lambda t: re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t.translate(LOW))
+    code = {}
+    coded = lambda t: np.array([code.setdefault(w, len(code)) for w in words(t)], np.int64)
+    items = [coded(r["text"]) for r in queries.table(spark, folder, "benchmark").collect()]
+    docs, now = run("benchmark decontamination", {d: t for d, t in now.items() if not any(holds_item(coded(t), i) for i in items)})
+    last = stages["sentencepiece"](spark, docs, folder).collect()
+    assert {r["doc_id"] for r in last if r["round_trip"]} == now.keys() == {r["doc_id"] for r in last}
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, folder).collect()} == {r["doc_id"]: r["ids"] for r in last}
 
 
 def test_contract_columns(spark):
