@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 with np.errstate(over="ignore"):
     INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
