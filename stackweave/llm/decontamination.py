@@ -31,8 +31,10 @@ from . import text as X
 #: Kept (1) and ignored (0) positions. With every fifth word replaced some window still fits the first.
 MASKS = ("111101111", "1101011", "11100111", "111111")
 WINDOW, NUM, DEN = 13, 4, 5
-#: Words of benchmark items that are sent to the executors at once. A larger benchmark is sought in several scans.
+#: Words of benchmark items that a worker holds at once. A larger benchmark is several groups, sought one after the other.
 AT_ONCE = 2_000_000
+#: Bytes of text that a worker gathers before it takes the next group, where there are several.
+GATHERED = 32 << 20
 FILTER_BITS = 23
 #: Hits of a mask that are held at once.
 HITS_AT_ONCE = 1 << 22
@@ -115,6 +117,8 @@ def overlaps(items: Items, word: np.ndarray, first: np.ndarray) -> Iterator[tupl
             which, place = X.ragged(lo[s:e], n), np.repeat(at[s:e], n)
             hits.append(np.unique(np.stack([np.searchsorted(first, place, "right") - 1, items.item[which], place - items.offset[which]]), axis=1))
             s = e
+    if not hits:
+        return
     for d, i, g in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
         a, b = items.first[i], items.first[i + 1]
         lo, hi = max(g, int(first[d])), min(g + b - a, int(first[d + 1]))
@@ -142,39 +146,57 @@ def chunks(benchmark: DataFrame, at_once: int = AT_ONCE) -> Iterator[Items]:
         yield items_of(ids, texts)
 
 
+def gathered(pieces: Iterable[tuple], limit: int) -> Iterator[list[tuple]]:
+    """Lists of pieces of ``limit`` bytes of text together, or one piece."""
+    some, n = [], 0
+    for piece in pieces:
+        if some and n + len(piece[1]) > limit:
+            yield some
+            some, n = [], 0
+        some.append(piece)
+        n += len(piece[1])
+    if some:
+        yield some
+
+
+def found_in(items: Items, rows: pa.RecordBatch, buf: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The verified overlaps of a piece of text with a group of items."""
+    start, end, word, first = X.words(buf, at, X.LETTER)
+    got = np.array(list(overlaps(items, word, first)), np.int64).reshape(-1, 6)
+    doc, w, n = got[:, 0], got[:, 2], got[:, 3]
+    return pa.RecordBatch.from_arrays(
+        [
+            rows.column("doc_id").cast(pa.int64()).take(pa.array(doc)),
+            pa.array(items.ids[got[:, 1]]),
+            pa.array(start[w] - at[doc]),
+            pa.array(end[w + n - 1] - at[doc]),
+            pa.array(n.astype(np.int32)),
+            pa.array(got[:, 4].astype(np.int32)),
+        ],
+        ["doc_id", "item_id", "start", "end", "n_words", "n_equal"],
+    )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """One row per contaminated document and item: the overlap's bytes [start, end), its words and how many are equal.
 
-    Only items, in groups of a set size, are sent to the executors: the documents are not shuffled.
+    Only items, in groups of a set size, are sent to the executors: the documents are read once and not shuffled. Of
+    several groups a worker holds one at a time.
     """
     spark = docs.sparkSession
-    found = None
-    for group in chunks(benchmark, at_once):
-        shared = spark.sparkContext.broadcast(group)
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for rows, buf, at in X.pieces(batches, "text"):
-                start, end, word, first = X.words(buf, at, X.LETTER)
-                got = list(overlaps(items, word, first))
-                doc = np.array([x[0] for x in got], np.int64)
-                w, n = np.array([x[2] for x in got], np.int64), np.array([x[3] for x in got], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("doc_id").cast(pa.int64()).take(pa.array(doc)),
-                        pa.array(items.ids[np.array([x[1] for x in got], np.int64)]),
-                        pa.array(start[w] - at[doc]),
-                        pa.array(end[w + n - 1] - at[doc]),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(np.array([x[4] for x in got], np.int32)),
-                    ],
-                    ["doc_id", "item_id", "start", "end", "n_words", "n_equal"],
-                )
-
-        part = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, SCHEMA)
-        found = part if found is None else found.unionAll(part)
-    if found is None:
+    groups = [spark.sparkContext.broadcast(group) for group in chunks(benchmark, at_once)]
+    if not groups:
         return spark.createDataFrame([], SCHEMA)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in gathered(X.pieces(batches, "text"), GATHERED if len(groups) > 1 else 0):
+            for group in groups:
+                items = group.value
+                yield from (found_in(items, *piece) for piece in some)
+                if len(groups) > 1:
+                    group.__dict__.pop("_value", None)  # read again from the worker's disk for the next pieces
+
+    found = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, SCHEMA)
     best = F.struct("n_equal", (-F.col("start")).alias("s"), "end", "n_words")
     return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), F.col("b.n_words").alias("n_words"), F.col("b.n_equal").alias("n_equal"))
 

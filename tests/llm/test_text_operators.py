@@ -15,6 +15,7 @@ from stackweave.llm import text as X
 from stackweave.llm.components import components
 from stackweave.llm.units import starts
 
+from ..oracle import FOLDER
 from .data import SCHEMA, rows
 
 ROWS = rows()
@@ -597,6 +598,23 @@ def test_decontamination(spark, docs):
     assert kept.columns == d.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([2, 3, 4, 5, 8, None])
 
 
+@pytest.mark.parametrize("at_once", [2_000_000, 1])
+def test_decontamination_of_clean_tables(spark, none, at_once):
+    """Clean, empty and null texts, each in a batch of its own, have no rows and all stay."""
+    bench = spark.createDataFrame([(5, "the quick brown fox jumps over the lazy dog and runs home again today"), (6, "tiny item")], "item_id long, text string")
+    clean = spark.createDataFrame([(1, "a clean sentence"), (2, "another clean one that holds some more words than that"), (3, ""), (4, None), (5, "?!")], "doc_id long, text string").repartition(5)
+    for d in (clean, clean.where("doc_id IN (3, 4)"), none, spark.createDataFrame([(i, None) for i in range(4)], "doc_id long, text string")):
+        assert decontamination.contaminated(d, bench, at_once).count() == 0
+        assert decontamination.without_contaminated(d, bench).count() == d.count()
+
+
+def test_decontamination_of_single_rows(spark):
+    """As many partitions as documents give what one has."""
+    d, bench = (queries.table(spark, FOLDER, t) for t in ("documents", "benchmark"))
+    got = [sorted(map(tuple, decontamination.contaminated(x, bench).collect())) for x in (d.coalesce(1), d.repartition(200))]
+    assert got[0] == got[1]
+
+
 def brute_overlap(doc, item):
     """Whether some window of 13 words (the item, if shorter) laid over the document word by word has 4/5 of its words equal."""
     need = min(13, len(item))
