@@ -79,12 +79,15 @@ def thinned(t: pa.Table) -> pa.Table:
 
 
 def components(pairs: DataFrame, scenes: DataFrame, days: int = THIN_DAYS) -> DataFrame:
-    """(stack, scene, component): the smallest scene that each scene reaches by pairs (stack, ref, sec, t_ref) of its stack.
+    """(stack, scene, component): the smallest scene that each scene reaches by pairs (stack, ref, sec) of its stack.
 
     The links of a window of days are thinned where they are formed, to one root a scene; only roots that share a
     scene are linked further. So what goes through the rounds is a few links a window, however dense the pairs are.
+    The day of a pair is its column t_ref or, where pairs have none, the scene's t (no window for unknown scenes).
     """
     kind = dict(pairs.dtypes)
+    if "t_ref" not in pairs.columns:
+        pairs = pairs.join(scenes.select("stack", F.col("scene").alias("ref"), F.col("t").alias("t_ref")), ["stack", "ref"], "left")
     links = pairs.select("stack", F.floor(F.col("t_ref") / days).alias("w"), F.col("ref").cast("long").alias("ref"), F.col("sec").cast("long").alias("sec"))
     local = cut(links.groupBy("stack", "w").applyInArrow(thinned, f"stack {kind['stack']}, scene long, root long"))
     own = local.groupBy("stack", "scene").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))  # a scene is in few windows
