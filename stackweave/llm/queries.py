@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, jaccard, lines, quality, scratch, secrets, sentencepiece_viterbi, substrings, tokens, toxicity
+from . import decontamination, fill_middle, fingerprints, jaccard, lines, prefix_trie, quality, scratch, secrets, sentencepiece_viterbi, substrings, tokens, toxicity
 from .learning import held_out
 
 
@@ -94,5 +94,69 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_live", "n_example", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans)}
-SQL = {"op7_line_dedup": OP7_SQL}
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+OP11_SQL = """
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY i) AS t
+  FROM range(256) r(i)
+), turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role) AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (SELECT c, list(turn ORDER BY pos) AS ts FROM turns GROUP BY c),
+started AS (
+  SELECT o.c, o.ts, coalesce(b.ts, []) AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(range(length(CAST(o.c AS VARCHAR))), lambda i: CAST(ascii(substr(CAST(o.c AS VARCHAR), i + 1, 1)) AS BIGINT))),
+                         lambda a, x: xor(a // 256, crc.t[xor(a % 256, x) + 1])), 4294967295) % 4 AS h
+  FROM crc, own o LEFT JOIN own b ON b.c = o.c - o.c % 20
+), whole AS (SELECT c, list_concat(base[1:h], ts[h + 1:]) AS ts FROM started),
+visits AS (SELECT c, len(ts) AS n, d, ts[1:d] AS path FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM visits GROUP BY path, d
+), kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+own_totals AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids ON nodes.path = kids.path),
+sums AS (
+  SELECT path[1:up] AS path, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT path, saved, n_children, unnest(range(d + 1)) AS up FROM own_totals) GROUP BY 1
+)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own_totals o JOIN sums s ON o.path = s.path LEFT JOIN nodes p ON o.d > 0 AND p.path = o.path[1:o.d - 1]
+"""
+
+
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    out = fill_middle.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), ranks AS (
+  SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(hex, 8 * i + 1, 8) AS BIGINT)) AS h FROM units
+), cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM ranks
+), parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans, op11_prefix_trie, op12_fill_middle)}
+SQL = {"op7_line_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_middle": OP12_SQL}
