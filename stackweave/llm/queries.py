@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_middle, fingerprints, jaccard, lines, prefix_trie, quality, scratch, secrets, sentencepiece_viterbi, substrings, tokens, toxicity
+from . import decontamination, fill_middle, fingerprints, jaccard, language, lines, prefix_trie, quality, scratch, secrets, sentencepiece_viterbi, substrings, tokens, toxicity
 from .learning import held_out
 
 
@@ -158,5 +158,11 @@ FROM parts
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans, op11_prefix_trie, op12_fill_middle)}
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    out = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return out.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sentencepiece, op3_ngram_jaccard, op4_decontamination, op5_suffix_array_dedup, op8_fingerprints, op6_toxicity, op7_line_dedup, op9_token_binary, op10_secret_scans, op11_prefix_trie, op12_fill_middle, op13_language_id)}
 SQL = {"op7_line_dedup": OP7_SQL, "op11_prefix_trie": OP11_SQL, "op12_fill_middle": OP12_SQL}
