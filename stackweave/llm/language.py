@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import text as X
 from .learning import LONGEST, segment_sum
 
@@ -208,14 +209,18 @@ class Seen:
 
 
 def sample(docs: DataFrame, bound: int, each: int) -> DataFrame:
-    """(lang, windows): of ``bound`` labelled documents at most, as many of each language, ``each`` windows evenly spread.
+    """(lang, window): of ``bound`` labelled documents at most, as many of each language, ``each`` windows evenly spread.
 
-    Of a language the rows with the smallest hash of the id are taken, so that the choice is the same in every run.
+    Of a language the rows with the smallest hash of the id are taken, so that the choice is the same in every run. Rows
+    whose hash is too large for that, by the language's count, go before any is shuffled.
     """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST))
-    n = rows.select("lang").distinct().count()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    some = rows.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= max(1, bound // max(1, n)))
+    counts = scratch.written(rows.groupBy("lang").agg(F.count("*").alias("of")), "languages")
+    n = max(1, bound // max(1, counts.count()))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    near = rows.join(counts, "lang").where(share * F.col("of") <= 1.2 * n + 50)
+    order = Window.partitionBy("lang").orderBy(share, "doc_id", F.xxhash64("text"))
+    some = near.select("lang", "text", F.row_number().over(order).alias("n")).where(F.col("n") <= n)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, at in X.pieces(batches, "text"):
@@ -230,7 +235,8 @@ def sample(docs: DataFrame, bound: int, each: int) -> DataFrame:
 
 def fit(docs: DataFrame, bound: int = SAMPLE, each: int = WINDOWS, steps: int = STEPS, seed: int = 11) -> Network:
     """Fit on at most ``bound`` labelled documents, of which at most ``each`` windows come to the driver."""
-    got = sample(docs.select("doc_id", "text", "lang"), bound, each).toArrow()
+    with scratch.temporary(docs.sparkSession):
+        got = sample(docs.select("doc_id", "text", "lang"), bound, each).toArrow()
     if not got.num_rows:
         return started([])
     lang = got["lang"].to_numpy()
