@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -11,6 +11,8 @@ from . import scratch
 BROADCAST_IDS = 1_000_000
 #: A key is hot from so many rows on, and from one in HOT_SHARE of all rows; so there are HOT_SHARE hot keys at most.
 HOT, HOT_SHARE = 1_000, 100_000
+#: Places that the rows of a hot key are dealt to where its row is too wide for a broadcast.
+DEALT = 64
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -28,18 +30,27 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
 
 
-def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], n: str, total: int, width: Column | None = None) -> DataFrame:
     """rows inner-joined with by_key, which has one row a key, and in ``n`` how many rows have the key.
 
-    Rows of a hot key are not brought together: hot keys, HOT_SHARE of them at most, are broadcast.
+    Rows of a hot key are not brought together: hot keys, HOT_SHARE of them at most, are broadcast. Where a row of by_key
+    has a ``width`` (its elements) and those of hot keys are more than BROADCAST_IDS together, the hot rows are dealt out
+    by a hash of theirs instead, and each hot key is sent to DEALT places.
     """
     by_key = scratch.written(by_key, "by-key")
     hot = F.col(n) > max(HOT, total // HOT_SHARE)
-    if by_key.where(hot).isEmpty():
+    often = by_key.where(hot)
+    wide = often.agg(F.sum(F.lit(1) if width is None else width)).first()[0]
+    if wide is None:
         return rows.join(by_key, keys)
-    most = F.broadcast(by_key.where(hot))
-    rest = rows.join(most.select(*keys), keys, "left_anti").join(by_key.where(~hot), keys)
-    return rows.join(most, keys).unionByName(rest)
+    names = F.broadcast(often.select(*keys))
+    rest = rows.join(names, keys, "left_anti").join(by_key.where(~hot), keys)
+    if wide <= BROADCAST_IDS:
+        return rows.join(F.broadcast(often), keys).unionByName(rest)
+    place = F.pmod(F.xxhash64(*rows.columns), F.lit(DEALT)).cast("int")
+    dealt = often.withColumn("dealt_to", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    most = rows.join(names, keys, "left_semi").withColumn("dealt_to", place).join(dealt.hint("shuffle_hash"), [*keys, "dealt_to"]).drop("dealt_to")
+    return most.unionByName(rest)
 
 
 def copies_of(marks: DataFrame, keys: list[str], total: int) -> DataFrame:

@@ -17,6 +17,8 @@ texts are scanned whole. An empty table gives no rows. Columns but doc_id, sourc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +43,43 @@ COPIED = 2
 MIXED = 6
 
 
+#: Matches of a block: places are summed up within blocks, and over blocks.
+BLOCK = 256
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once a row, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, kind: str) -> Column:
     """array<struct<start, end, value>> in code points, ends exclusive; empty where the quick test finds none.
 
     The pieces between matches come from split() with the same pattern, so that a match starts after all pieces
-    and matches before it.
+    and matches before it. These lengths are summed up in blocks, so that the work grows with the matches.
     """
     pattern, group, least, test = KINDS[kind]
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pieces = F.split(text, pattern, -1)
-    step = F.aggregate(
-        F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("p"), whole.alias("m"), value.alias("v")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("at"),
-            F.when(
-                F.char_length(x["v"]) >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["p"])).alias("start"), (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("end"), x["v"].alias("value")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(test), step).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), whole.alias("m"), value.alias("v"))  # one piece more than matches
+    sized = F.transform(both, lambda x: F.struct(F.char_length(x["p"]).alias("gap"), F.coalesce(F.char_length(x["m"]), F.lit(0)).alias("width"), x["v"].alias("value")))
+    block = lambda all, k: F.slice(all, k * BLOCK + 1, F.lit(BLOCK))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x["gap"] + x["width"])
+
+    def placed(part: Column, at: Column) -> Column:
+        one = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["width"]).alias("end"), x["value"].alias("value"))
+        start = F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["width"]).alias("at"), F.concat(acc["out"], F.array(one(acc, x))).alias("out")), lambda acc: acc["out"])
+
+    def spans(all: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all) - 1) / BLOCK).cast("int"))
+        before = lambda sums: F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        starts = before(F.transform(numbers, lambda k: total(block(all, k))))
+        return F.flatten(F.transform(starts, lambda at, k: placed(block(all, k), at)))
+
+    found = F.filter(let(sized, spans), lambda x: F.char_length(x["value"]) >= least)
+    return F.when(text.rlike(test), found).otherwise(F.array().cast(SPANS))
 
 
 TEXT = ["t0", "t1"]
@@ -111,7 +125,7 @@ def scan(docs: DataFrame) -> DataFrame:
         rows = scratch.written(candidates(docs.select("doc_id", "source", "text")), "spans")
         found = rows.where(F.size("spans") > 0)
         n, spans = found.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-        done = join_counted(found.select("doc_id", *TEXT), judged(found, spans), TEXT, "n_rows", n).select("doc_id", F.col("judged").alias("spans"))
+        done = join_counted(found.select("doc_id", *TEXT), judged(found, spans), TEXT, "n_rows", n, F.size("judged")).select("doc_id", F.col("judged").alias("spans"))
         none = F.array().cast(done.schema["spans"].dataType)
         return keep(done.unionByName(rows.where(F.size("spans") == 0).select("doc_id", none.alias("spans"))), "secrets")
 

@@ -615,6 +615,32 @@ def test_decontamination_of_single_rows(spark):
     assert got[0] == got[1]
 
 
+def test_secrets_of_a_long_list(spark):
+    """A text of 20,000 matches, in time that grows with them; blocks of matches join without a seam."""
+    import time
+
+    text = " ".join(f"{i:x}".rjust(20, "a") for i in range(20_000)) + " tail \U0001d11e"
+    d = spark.createDataFrame([(1, "\U0001d11e é " + text, "s"), (2, "deadbeef00112233ff", "s")], "doc_id long, text string, source string")
+    secrets.summary(d.where("doc_id = 2")).collect()
+    began = time.time()
+    got = {r["doc_id"]: r for r in secrets.summary(d).collect()}
+    assert time.time() - began < 15
+    assert got[1]["n_hex"] == 20_000
+    assert got[1]["base"].split(",") == [f"hex:{4 + 21 * i}:{24 + 21 * i}" for i in range(20_000)]
+    assert got[2]["base"] == "hex:0:18"
+
+
+def test_wide_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(ids, "HOT", 5)
+    monkeypatch.setattr(ids, "HOT_SHARE", 10)
+    monkeypatch.setattr(ids, "BROADCAST_IDS", 20)
+    rows = spark.createDataFrame([(i, i % 3 if i % 2 else 7) for i in range(100)], "doc long, k long")
+    by = rows.groupBy("k").agg(F.count("*").alias("n"), F.collect_list("doc").alias("wide"))
+    got = ids.join_counted(rows, by, ["k"], "n", 100, F.size("wide"))
+    assert sorted((r["doc"], r["k"], r["n"]) for r in got.collect()) == sorted((r["doc"], r["k"], r["n"]) for r in rows.join(by, "k").collect())
+    assert "shuffle_hash" in got._jdf.queryExecution().toString().lower() or "ShuffledHashJoin" in got._jdf.queryExecution().toString()
+
+
 def brute_overlap(doc, item):
     """Whether some window of 13 words (the item, if shorter) laid over the document word by word has 4/5 of its words equal."""
     need = min(13, len(item))
