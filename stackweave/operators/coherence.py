@@ -201,3 +201,27 @@ def covers(maps: DataFrame, row: int, col: int) -> DataFrame:
     """Seasons whose stored map's extent holds the point; others are stale for it."""
     e = maps.groupBy("season").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     return e.where(F.lit(row).between(F.col("r0"), F.col("r1")) & F.lit(col).between(F.col("c0"), F.col("c1"))).select("season")
+
+
+# Land-cover codes by how coherence behaves over them.
+CLASS_GROUPS = {"stable": (50, 60), "vegetation": (20, 30, 40), "forest": (10, 95), "water": (80, 90)}
+LEAST_PIXELS = 30
+
+
+def class_group(cls: Column) -> Column:
+    """The group of a land-cover code, null for others."""
+    out = F.lit(None).cast("string")
+    for group, codes in CLASS_GROUPS.items():
+        out = F.when(cls.isin(*codes), group).otherwise(out)
+    return out
+
+
+def levels_by_class(coherence: DataFrame, classes: DataFrame, least: int = LEAST_PIXELS) -> DataFrame:
+    """(season, group, lag, coh, n): mean coherence (0 to 1) of valid pixels by class group, where there are ``least``.
+
+    coherence: (season, lag, row, col, coh 0 to 100), 0 and 255 not valid; classes: (row, col, cls), the most frequent
+    class of each coherence cell, as pixels.majority() gives it.
+    """
+    known = classes.select("row", "col", class_group(F.col("cls")).alias("group")).where("group IS NOT NULL")
+    found = coherence.where("coh > 0 AND coh < 255").join(known, ["row", "col"]).groupBy("season", "group", "lag")
+    return found.agg((F.avg("coh") / 100).alias("coh"), F.count("*").alias("n")).where(F.col("n") >= least)
