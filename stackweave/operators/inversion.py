@@ -136,6 +136,34 @@ def to_reference_point(ts: DataFrame, quality: DataFrame | None = None, least: f
     return ts.join(ref, "t").withColumn("value", F.col("value") - F.col("_ref")).drop("_ref")
 
 
+def nearest_valid(quality: DataFrame, row: float, col: float, least: float = 0.0, ring: int = 4) -> tuple[int, int] | None:
+    """(row, col) of the pixel of at least the given quality that is nearest to a place on the grid; None without any.
+
+    Rings of cells around the place are read one after the other, each four times as wide, as ranges that reach the scan;
+    a pixel is the nearest once it is no further off than the ring read. Ties: the smallest row, then column.
+    """
+    good = quality.where(F.col("quality") >= least)
+    far = (F.col("row") - F.lit(float(row))) ** 2 + (F.col("col") - F.lit(float(col))) ** 2
+    ends = good.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if ends[0] is None:
+        return None
+    widest = max(abs(ends[0] - row), abs(ends[1] - row), abs(ends[2] - col), abs(ends[3] - col))
+    while True:
+        near = good.where(F.col("row").between(int(np.floor(row - ring)), int(np.ceil(row + ring))) & F.col("col").between(int(np.floor(col - ring)), int(np.ceil(col + ring))))
+        best = near.agg(F.min(F.struct(far.alias("far"), F.col("row"), F.col("col"))).alias("p")).first()["p"]
+        if best is not None and (best["far"] <= ring * ring or ring >= widest):
+            return int(best["row"]), int(best["col"])
+        ring *= 4
+
+
+def to_reference_place(ts: DataFrame, quality: DataFrame, grid: dict[str, float], lat: float, lon: float, least: float = 0.0) -> DataFrame:
+    """Values less those of the valid pixel nearest to a latitude and longitude; grid has x0, y0, dx and dy of pixel centres."""
+    found = nearest_valid(quality, (lat - grid["y0"]) / grid["dy"], (lon - grid["x0"]) / grid["dx"], least)
+    if found is None:
+        raise ValueError("no pixel is good enough for a reference")
+    return to_reference_point(ts, row=found[0], col=found[1])
+
+
 def to_reference_date(ts: DataFrame, t: int) -> DataFrame:
     """Values less the pixel's value on a date."""
     ref = ts.where(F.col("t") == t).select("row", "col", F.col("value").alias("_ref"))
@@ -172,13 +200,16 @@ def fitted_surface(ts: DataFrame, terms: dict[str, str], by: str = "t") -> DataF
     return grams.mapInPandas(run, f"{by} {kind}, " + ", ".join(f"{n} double" for n in names))
 
 
-def without_surface(ts: DataFrame, terms: dict[str, str], mask: str = "true") -> DataFrame:
-    """The surface fitted to the masked pixels of each date, taken from all. An offset must be among the terms."""
+def without_surface(ts: DataFrame, terms: dict[str, str], mask: str = "true", how: str = "inner") -> DataFrame:
+    """The surface fitted to the masked pixels of each date, taken from all. An offset must be among the terms.
+
+    Dates without a masked pixel go, or with how = "left" stay as they are.
+    """
     c = fitted_surface(ts.where(mask), terms).withColumnsRenamed({n: f"_{n}" for n in terms})
     fit = F.lit(0.0)
     for n, e in terms.items():
-        fit = fit + F.col(f"_{n}") * F.expr(e)
-    return ts.join(F.broadcast(c), "t").withColumn("value", F.col("value") - fit).drop(*(f"_{n}" for n in terms))  # one row a date
+        fit = fit + F.coalesce(F.col(f"_{n}"), F.lit(0.0)) * F.expr(e)
+    return ts.join(F.broadcast(c), "t", how).withColumn("value", F.col("value") - fit).drop(*(f"_{n}" for n in terms))  # one row a date
 
 
 def with_axes(ts: DataFrame, **terms: str) -> DataFrame:
@@ -200,10 +231,19 @@ def deramped(ts: DataFrame, terms: dict[str, str] = LINEAR, mask: str = "true")
     return without_surface(with_axes(ts, axis_r="row", axis_c="col"), terms, mask).drop("axis_r", "axis_c")
 
 
-def without_height(ts: DataFrame, height: str, degree: int = 1, mask: str = "true") -> DataFrame:
-    """The part of each date that goes with a polynomial of the height, an SQL expression, taken out."""
+def without_height(ts: DataFrame, height: str, degree: int = 1, mask: str = "true", least: float = 0.0) -> DataFrame:
+    """The part of each date that goes with a polynomial of the height, an SQL expression, taken out.
+
+    A date whose values have a correlation with the height under ``least``, of either sign, is left as it is.
+    """
     terms = {"one": "1", **{f"h{k}": " * ".join(["axis_h"] * k) for k in range(1, degree + 1)}}
-    return without_surface(with_axes(ts, axis_h=height), terms, mask).drop("axis_h")
+    scaled = with_axes(ts, axis_h=height)
+    if least <= 0:
+        return without_surface(scaled, terms, mask).drop("axis_h")
+    strong = scaled.where(mask).groupBy("t").agg((F.abs(F.corr("value", "axis_h")) >= least).alias("_strong"))
+    marked = scaled.join(F.broadcast(strong), "t", "left")  # one row a date
+    fitted = without_surface(marked, terms, f"({mask}) AND _strong", "left")
+    return fitted.drop("axis_h", "_strong")
 
 
 def phase_velocity(phase: DataFrame) -> DataFrame:
@@ -241,30 +281,79 @@ def time_functions(t: np.ndarray, poly: int = 1, periods: Sequence[float] = (),
     return list(cols), np.stack(list(cols.values()), axis=1)
 
 
-def fit_series(series: DataFrame, t: Sequence[float], extra: Sequence[np.ndarray] = (), names: Sequence[str] = (), **functions) -> DataFrame:
+def used_dates(t: Sequence[float], start: float | None = None, end: float | None = None, exclude: Sequence[float] = ()) -> np.ndarray:
+    """Which dates a fit uses: those from start to end (both included) that are not excluded."""
+    t = np.asarray(t, float)
+    return (t >= (-np.inf if start is None else start)) & (t <= (np.inf if end is None else end)) & ~np.isin(t, np.asarray(exclude, float))
+
+
+def fitted_by_mask(design: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least-squares coefficients of least norm of each row of y, its nan left out; nan for rows without a value.
+
+    Rows that lack the same dates share one pseudo-inverse.
+    """
+    ok = ~np.isnan(y)
+    out = np.full((len(y), design.shape[1]), np.nan)
+    _, first, which = np.unique(np.packbits(ok, axis=1), axis=0, return_index=True, return_inverse=True)
+    for k, f in enumerate(first.tolist()):
+        if ok[f].any():
+            own = np.flatnonzero(which.ravel() == k)
+            out[own] = y[own][:, ok[f]] @ np.linalg.pinv(design[ok[f]]).T
+    return out
+
+
+def values_of(p: pd.DataFrame, n: int, column: str = "values") -> np.ndarray:
+    return np.array([np.array(v, float) for v in p[column]]).reshape(len(p), n)
+
+
+def fit_series(series: DataFrame, t: Sequence[float], extra: Sequence[np.ndarray] = (), names: Sequence[str] = (), start: float | None = None, end: float | None = None, exclude: Sequence[float] = (), **functions) -> DataFrame:
     """(row, col, values array<double>) -> (row, col, name, coefficient): one shared design for all pixels.
 
-    ``extra`` are further regressors over dates, such as baselines for the height error.
+    ``extra`` are further regressors over dates, such as baselines for the height error. Dates outside start to end and
+    excluded ones are left out of the fit, and so are each pixel's own missing ones.
     """
     own, design = time_functions(np.asarray(t, float), **functions)
     own = [*own, *names]
     design = np.column_stack([design, *extra]) if len(extra) else design
+    use = used_dates(t, start, end, exclude)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        inverse = np.linalg.pinv(design)
         for p in batches:
-            y = np.array([np.array(v, float) for v in p["values"]]).reshape(len(p), len(t))
-            c = np.empty((len(p), len(own)))
-            whole = ~np.isnan(y).any(1)
-            c[whole] = y[whole] @ inverse.T
-            gaps = np.flatnonzero(~whole)
-            ok = ~np.isnan(y[gaps])
-            c[gaps] = np.where(ok.any(1)[:, None], weighted_rates(design, ok.astype(float), np.nan_to_num(y[gaps])), np.nan)
+            c = fitted_by_mask(design[use], values_of(p, len(use))[:, use])
             yield pd.DataFrame({"row": np.repeat(p["row"].to_numpy(), len(own)), "col": np.repeat(p["col"].to_numpy(), len(own)), "name": own * len(p), "coefficient": c.ravel()})
 
     return series.mapInPandas(run, "row long, col long, name string, coefficient double")
 
 
+def without_height_error(series: DataFrame, t: Sequence[float], bperp: Sequence[float], poly: int = 2, steps: Sequence[float] = (), exclude: Sequence[float] = (), by_velocity: bool = False) -> DataFrame:
+    """(row, col, values, scale) -> (row, col, values, height_error): the part that goes with baselines taken out of a series.
+
+    A date's regressor is bperp times the pixel's own scale (1 / (range * sin(incidence))), beside a polynomial and steps;
+    it is fitted with those to the used dates, or by_velocity to the rates between them, and taken from all dates. A pixel
+    with a scale of 0 or null has no height error and keeps its values.
+    """
+    _, design = time_functions(np.asarray(t, float), poly=poly, steps=steps)
+    design = np.column_stack([np.asarray(bperp, float), design])
+    use = used_dates(t, exclude=exclude)
+    years = np.diff(np.asarray(t, float)[use])[:, None] / 365.25
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            y, scale = values_of(p, len(use)), p["scale"].to_numpy(float)
+            d, v = design[use], y[:, use]
+            if by_velocity:
+                d, v = np.diff(d, axis=0) / years, np.diff(v, axis=1) / years.T
+                d = d[:, np.abs(d).max(0) > 0]  # the offset has no rate
+            slope = fitted_by_mask(d, v)[:, 0]
+            known = np.isfinite(scale) & (scale != 0) & np.isfinite(slope)
+            slope = np.where(known, slope, 0.0)
+            out = y - slope[:, None] * np.asarray(bperp, float)
+            error = np.divide(slope, scale, out=np.zeros(len(p)), where=known)
+            yield pd.DataFrame({"row": p["row"], "col": p["col"], "values": list(out), "height_error": pd.Series(np.where(known, error, np.nan), index=p.index)})
+
+    return series.select("row", "col", "values", "scale").mapInPandas(run, "row long, col long, values array<double>, height_error double")
+
+
 def poisson_weights(keys: np.ndarray) -> np.ndarray:
     """How often each key is picked: Poisson with mean 1, from a 64-bit finaliser of the key."""
     x = keys.astype(np.uint64)
