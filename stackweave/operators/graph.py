@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cut import cut
+from .cut import cut, temporary
 from .pairs import DT_MAX, MAX_DEGREE, MIN_DEGREE, PB_MAX, all_pairs, usable
 
 #: Days of a window in which links are thinned: a multiple of the longest interval, so that few links leave it.
@@ -85,6 +85,11 @@ def components(pairs: DataFrame, scenes: DataFrame, days: int = THIN_DAYS) -> Da
     scene are linked further. So what goes through the rounds is a few links a window, however dense the pairs are.
     The day of a pair is its column t_ref or, where pairs have none, the scene's t (no window for unknown scenes).
     """
+    with temporary(pairs.sparkSession) as keep:
+        return keep(labelled(pairs, scenes, days), "components")
+
+
+def labelled(pairs: DataFrame, scenes: DataFrame, days: int) -> DataFrame:
     kind = dict(pairs.dtypes)
     if "t_ref" not in pairs.columns:
         pairs = pairs.join(scenes.select("stack", F.col("scene").alias("ref"), F.col("t").alias("t_ref")), ["stack", "ref"], "left")
@@ -238,6 +243,6 @@ def propagated_baseline(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
     A scene takes the value of its smallest neighbour among those that fewer pairs reach. Scenes that no path reaches
     get 0 and resolved false. A group holds the pairs and scenes of one stack; chains may have any length.
     """
-    p, s = cut(pairs.select("stack", "ref", "sec", F.col("signed").cast("double").alias("signed"))), scenes.select("stack", "scene", "t")
+    p, s = pairs.select("stack", "ref", "sec", F.col("signed").cast("double").alias("signed")), scenes.select("stack", "scene", "t")
     kind = dict(s.dtypes)
     return p.groupBy("stack").cogroup(s.groupBy("stack")).applyInPandas(propagate_stack, f"stack {kind['stack']}, scene {kind['scene']}, bperp double, resolved boolean")

@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables. Importing the package registers all of them."""
 
-from . import areas, catalog, features, ground, network, pixels, scalars, series, texts  # noqa: F401
+from . import areas, catalog, features, ground, network, pixels, scalars, series, stores, texts  # noqa: F401
 from .adapters import WITH
 from .registry import QUERIES, SQL
 

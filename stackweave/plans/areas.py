@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from ..operators import features as E
 from ..operators import graph as GR
 from ..operators import pairs as P
 from ..operators import pixels as X
-from ..operators.cut import shared
+from ..operators.cut import place, temporary
 from ..sources import tables as S
 from .adapters import WITH, collapsed, pixels, samples, scenes, site_days, table
 from .features import PAIRS, features
@@ -46,11 +44,12 @@ SELECT w.day, w.hour, a.d2m, a.skt, a.u10, a.v10, a.swvl2, row_number() OVER (PA
 LEFT JOIN (SELECT CAST(time AS DATE) AS d, sum(ssr) AS ssr, sum(str) AS str, sum(smlt) AS smlt FROM area GROUP BY 1) s ON s.d = day WHERE rn = 1""")
 def features_reanalysis(spark: SparkSession, folder: str) -> DataFrame:
     """Cells written by month, the months of the wanted days read, means over the area, the overpass hour and 24-hour sums."""
-    path = f"{shared(spark).rstrip('/')}/reanalysis-{uuid.uuid4().hex}"
-    S.write_reanalysis(grid(spark, folder), path)
-    wanted = site_days(spark, folder).select("day").distinct().withColumn("hour", F.pmod(F.dayofyear("day"), F.lit(24)))
-    got = E.reanalysis_days(E.area_means(S.read_reanalysis(spark, path, wanted), *AREA), wanted)
-    return got.select(F.col("day").cast("string").alias("day"), "hour", "dewpoint", "skin_temp", "wind_speed", F.col("soil_moisture_7_28").alias("soil"), "net_radiation", "snowmelt")
+    with temporary(spark) as keep:
+        path = place(spark, "reanalysis")
+        S.write_reanalysis(grid(spark, folder), path)
+        wanted = site_days(spark, folder).select("day").distinct().withColumn("hour", F.pmod(F.dayofyear("day"), F.lit(24)))
+        got = E.reanalysis_days(E.area_means(S.read_reanalysis(spark, path, wanted), *AREA), wanted)
+        return keep(got.select(F.col("day").cast("string").alias("day"), "hour", "dewpoint", "skin_temp", "wind_speed", F.col("soil_moisture_7_28").alias("soil"), "net_radiation", "snowmelt"), "weather")
 
 
 @query("SELECT tile, round(CAST(snow AS DOUBLE) / valid, 4) AS snow_cover_frac, round(CAST(ice AS DOUBLE) / n, 4) AS glacier_fraction FROM (SELECT tile, count(*) AS n, count(*) FILTER (v < 200) AS valid, count(*) FILTER (v BETWEEN 40 AND 199) AS snow, count(*) FILTER (v = 254) AS ice FROM (SELECT tile, abs(v) % 256 AS v FROM pixels) GROUP BY tile) WHERE valid > 0")

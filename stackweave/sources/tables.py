@@ -100,6 +100,57 @@ def required_layers(files: DataFrame, needed: tuple[str, ...] = ("unwrapped", "c
     return n.where(F.assert_true(whole, F.lit("a required layer is missing")).isNull())
 
 
+#: Layers of a rate product that are bands of their own, products with a band a date, of one layer, and of masks.
+RATES, RATE_LAYERS = ("velocity", "velocityERA5"), ("velocity", "velocityStd", "residue", "intercept", "interceptStd")
+SERIES = ("timeseries", "timeseriesResidual")
+SCALARS = ("avgSpatialCoh", "temporalCoherence", "demErr", "numInvIfgram")
+MASKS = ("maskTempCoh", "maskConnComp")
+#: The value of a mask's missing pixels.
+MASK_NODATA = 255
+
+
+def export_bands(product: DataFrame) -> DataFrame:
+    """(file, band, is_mask, row, col, value) of a product (product, dataset, date, row, col, value, no_data or not).
+
+    A product may be named with the prefix geo_. Rates are split into a file a layer (the product's own name for the layer
+    named like it, else <product>_<layer>; other layers go); a series has a band a date; others one band named like the
+    product. Missing and infinite values, and those equal to no_data, become NODATA, in masks MASK_NODATA; masks are whole
+    numbers. An unknown product is an error.
+    """
+    name = F.regexp_replace("product", "^geo_", "")
+    known = name.isin(*RATES, *SERIES, *SCALARS, *MASKS)
+    checked = product.withColumn("_name", F.when(known, name).otherwise(F.raise_error(F.concat(F.lit("unknown product "), F.coalesce("product", F.lit("null")))).cast("string")))
+    kept = checked.where(~F.col("_name").isin(*RATES) | F.col("dataset").isin(*RATE_LAYERS))
+    rate, series, mask = (F.col("_name").isin(*x) for x in (RATES, SERIES, MASKS))
+    file = F.when(rate & (F.col("dataset") != F.col("_name")), F.concat_ws("_", "product", "dataset")).otherwise(F.col("product"))
+    band = F.when(series, F.col("date").cast("string")).when(rate, F.col("dataset")).otherwise(F.col("_name"))
+    v = F.col("value").cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    if "no_data" in product.columns:
+        bad = bad | F.coalesce(v == F.col("no_data").cast("double"), F.lit(False))
+    clean = F.when(bad, F.when(mask, float(MASK_NODATA)).otherwise(NODATA)).otherwise(F.when(mask, F.floor(v).cast("double")).otherwise(v))
+    return kept.select(file.alias("file"), band.alias("band"), mask.alias("is_mask"), "row", "col", clean.alias("value"))
+
+
+def write_bands(product: DataFrame, path: str) -> None:
+    """The bands of products: values as float in path/values, masks as bytes (short, 0 to 255) in path/masks, a folder a file
+    and band, sorted by row and column. Pixels of a band are spread over tasks by blocks of rows."""
+    bands = export_bands(product)
+    for part, own, kind in (("values", ~F.col("is_mask"), "float"), ("masks", F.col("is_mask"), "short")):
+        rows = bands.where(own).select("file", "band", "row", "col", F.col("value").cast(kind).alias("value"))
+        rows.repartition("file", "band", F.floor(F.col("row") / 1024)).sortWithinPartitions("file", "band", "row", "col").write.partitionBy("file", "band").parquet(f"{path}/{part}")
+
+
+def read_bands(spark: SparkSession, path: str, file: str | None = None, band: str | None = None) -> DataFrame:
+    """(file, band, row, col, value); of one file or band only its folders are read."""
+    rows = spark.read.schema("row long, col long, value float, file string, band string").parquet(f"{path}/values")
+    masks = spark.read.schema("row long, col long, value short, file string, band string").parquet(f"{path}/masks")
+    both = rows.withColumn("value", F.col("value").cast("double")).unionByName(masks.withColumn("value", F.col("value").cast("double")))
+    for c, x in (("file", file), ("band", band)):
+        both = both if x is None else both.where(F.col(c) == x)
+    return both.select("file", "band", "row", "col", "value")
+
+
 def export_values(product: DataFrame) -> DataFrame:
     """(dataset, date, row, col, value): missing and infinite values become NODATA; masks 0, 1 or 255."""
     v = F.col("value").cast("double")
@@ -185,13 +236,24 @@ def read_reanalysis(spark: SparkSession, path: str, dates: DataFrame) -> DataFra
 
 
 def write_decay_maps(maps: DataFrame, path: str) -> None:
-    """Maps of g_inf, g0 and tau by season and polarization; invalid values become NODATA."""
+    """Maps (season, pol, row, col, g_inf, g0, tau) in folders of season and polarization, sorted by row and column.
+
+    Invalid values become NODATA. Rows are spread over tasks in blocks, so that a file's row groups hold few rows of the map.
+    """
     bad = lambda c: F.when(F.col(c).isNull() | F.isnan(c), NODATA).otherwise(F.col(c)).alias(c)
-    maps.select("season", "pol", "row", "col", *(bad(c) for c in ("g_inf", "g0", "tau"))).write.partitionBy("season", "pol").parquet(path)
+    slim = maps.select("season", "pol", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), *(bad(c) for c in ("g_inf", "g0", "tau")))
+    slim.repartition("season", "pol", F.floor(F.col("row") / 1024)).sortWithinPartitions("season", "pol", "row", "col").write.partitionBy("season", "pol").parquet(path)
 
 
-def read_decay_maps(spark: SparkSession, path: str) -> DataFrame:
-    """With valid; what is not reads as 0, 0, 30."""
+def read_decay_maps(spark: SparkSession, path: str, seasons: list[str] | None = None, pol: str | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """With valid; what is not reads as 0, 0, 30. Of given seasons, a polarization and a box (rows, columns, ends included)
+    only those folders and row groups are read."""
     m = spark.read.parquet(path)
+    if seasons is not None:
+        m = m.where(F.col("season").isin(seasons))
+    if pol is not None:
+        m = m.where(F.col("pol") == pol)
+    if box is not None:
+        m = m.where(F.col("row").between(box[0], box[1]) & F.col("col").between(box[2], box[3]))
     ok = (F.col("g_inf") != NODATA) & (F.col("g0") != NODATA) & (F.col("tau") != NODATA)
     return m.select("season", "pol", "row", "col", *(F.when(ok, F.col(c)).otherwise(d).alias(c) for c, d in (("g_inf", 0.0), ("g0", 0.0), ("tau", 30.0))), ok.alias("valid"))
