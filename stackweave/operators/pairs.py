@@ -62,6 +62,25 @@ def later_scenes(scenes: DataFrame) -> DataFrame:
     return out.where("n_later > 0")
 
 
+def pairs_of(asked: DataFrame, scenes: DataFrame) -> DataFrame:
+    """(stack, ref, sec, t_ref, t_sec, dt_days, bperp): every combination of the asked scenes (stack, scene) with all scenes
+    of their stack, earlier first (same day: the smaller id), each once; scenes without a day are dropped.
+
+    The list grows with the scenes asked for times a stack's scenes; all combinations come from asking for all.
+    """
+    dated = scenes.where("t IS NOT NULL").select("stack", "scene", "t", "bperp_m")
+    want = dated.join(asked.select("stack", "scene").distinct(), ["stack", "scene"], "left_semi")
+    other = dated.select("stack", *(F.col(c).alias(f"b_{c}") for c in ("scene", "t", "bperp_m")))
+    both = want.join(other, "stack").where("scene != b_scene")
+    ends = F.array_sort(F.array(F.struct("t", "scene", "bperp_m"), F.struct(F.col("b_t").alias("t"), F.col("b_scene").alias("scene"), F.col("b_bperp_m").alias("bperp_m"))))
+    sorted_ends = both.select("stack", ends.alias("e")).select("stack", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
+    turned = sorted_ends.select(
+        "stack", F.col("a.scene").alias("ref"), F.col("b.scene").alias("sec"), F.col("a.t").alias("t_ref"), F.col("b.t").alias("t_sec"),
+        (F.col("b.t") - F.col("a.t")).alias("dt_days"), F.round(F.abs(F.col("b.bperp_m") - F.col("a.bperp_m")), 5).alias("bperp"),
+    )
+    return turned.distinct()
+
+
 def usable(targets: Sequence[int] = TARGETS, tol: int = TOLERANCE, dt_max: int = DT_MAX, pb_max: float = PB_MAX) -> Column:
     """Near a target interval, within the longest interval and baseline; a missing baseline is too long."""
     # plain comparisons, the cheap ones first: they are compiled into the join

@@ -210,10 +210,10 @@ def network_orbit_sources(spark: SparkSession, folder: str) -> DataFrame:
     return s.select("path", "scene").join(best.drop("source"), "scene", "left")
 
 
-@query(with_pairs("SELECT path, pair FROM (SELECT split_part(stack, ':', 1) AS path, t_ref // 90 || '_' || dt_days AS pair, count(DISTINCT stack) AS h FROM usable GROUP BY 1, 2) JOIN (SELECT split_part(stack, ':', 1) AS path, count(DISTINCT stack) AS n FROM usable GROUP BY 1) USING (path) WHERE h >= n"))
+@query(with_pairs("SELECT path, pair FROM (SELECT split_part(stack, ':', 1) AS path, t_ref // 730 || '_' || dt_days // 60 AS pair, count(DISTINCT stack) AS h FROM usable GROUP BY 1, 2) JOIN (SELECT split_part(stack, ':', 1) AS path, count(DISTINCT stack) AS n FROM usable GROUP BY 1) USING (path) WHERE h >= n"))
 def network_pairs_in_common(spark: SparkSession, folder: str) -> DataFrame:
-    """Pair ids (a quarter and an interval) that every swath of a track has; here a track's frames are its swaths."""
-    p = P.primary_pairs(collapsed(spark, folder)).select(F.split("stack", ":")[0].alias("path"), "stack", F.concat_ws("_", F.floor(F.col("t_ref") / 90), "dt_days").alias("pair"))
+    """Pair ids (two years and an interval in sixties of days) that every swath of a track has; here a track's frames are its swaths."""
+    p = P.primary_pairs(collapsed(spark, folder)).select(F.split("stack", ":")[0].alias("path"), "stack", F.concat_ws("_", F.floor(F.col("t_ref") / 730), F.floor(F.col("dt_days") / 60)).alias("pair"))
     return C.in_common(p, "path", "stack", "pair")
 
 

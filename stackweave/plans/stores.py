@@ -179,3 +179,26 @@ def sink_product_bands(spark: SparkSession, folder: str) -> DataFrame:
         path = place(spark, "bands")
         S.write_bands(p, path)
         return keep(S.read_bands(spark, path).groupBy("file", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "exported")
+
+
+# --- lists of pairs and archives ---
+
+
+@query(WITH + """, dated AS (SELECT stack, scene, CASE WHEN scene % 37 <> 0 THEN t END AS t, bperp_m FROM collapsed)
+SELECT DISTINCT a.stack, CASE WHEN (a.t, a.scene) < (b.t, b.scene) THEN a.scene ELSE b.scene END AS ref, CASE WHEN (a.t, a.scene) < (b.t, b.scene) THEN b.scene ELSE a.scene END AS sec, abs(a.t - b.t) AS dt_days
+FROM dated a JOIN dated b ON a.stack = b.stack AND a.scene <> b.scene WHERE a.scene % 100 = 0 AND a.t IS NOT NULL AND b.t IS NOT NULL""")
+def network_pairs_of_scenes(spark: SparkSession, folder: str) -> DataFrame:
+    """All combinations of the scenes asked for (ids divisible by 100) with those of their stack, in order of date, undated ones dropped."""
+    s = collapsed(spark, folder).withColumn("t", F.when(F.col("scene") % 37 != 0, F.col("t")))
+    return P.pairs_of(s.where("scene % 100 = 0"), s).select("stack", "ref", "sec", "dt_days")
+
+
+@query("""SELECT archive, count(*) AS n_members, CAST(count(DISTINCT k) AS BIGINT) AS n_kinds, arg_min(w, path) AS west, arg_min(w + 1.5, path) AS east, arg_min(s, path) AS south, arg_min(s + 2, path) AS north
+FROM (SELECT c_nationkey AS archive, c_custkey % 4 AS k, 'p' || c_custkey AS path, c_custkey % 90 / 2.0::DOUBLE AS w, c_custkey % 60 / 4.0::DOUBLE AS s FROM customer WHERE c_custkey % 4 <> 3) GROUP BY archive""")
+def source_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rasters of archives classified by name, each path once, with the bounds of each archive's first."""
+    c = table(spark, folder, "customer")
+    end = F.element_at(F.array(*map(F.lit, ("_unw_phase.tif", "_corr.tif", "_dem.tif", "_browse.png"))), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
+    west, south = F.pmod("c_custkey", F.lit(90)) / 2.0, F.pmod("c_custkey", F.lit(60)) / 4.0
+    m = c.select(F.col("c_nationkey").alias("archive"), F.concat(F.lit("p"), "c_custkey", end).alias("path"), west.alias("west"), south.alias("south"), (west + 1.5).alias("east"), (south + 2).alias("north"))
+    return S.archives(m.unionAll(m)).select("archive", "n_members", F.size("kinds").cast("long").alias("n_kinds"), "west", "east", "south", "north")

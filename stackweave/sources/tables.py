@@ -91,6 +91,17 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("kind", archive_kind(F.col("path"))).dropDuplicates(["path"])
 
 
+def archives(members: DataFrame) -> DataFrame:
+    """(archive, n_members, kinds, west, south, east, north) of members (archive, path, west, south, east, north).
+
+    Only rasters (.tif) count, each path once. The bounds are those of the archive's first raster by name. Kinds are
+    sorted; a raster of no known kind adds none.
+    """
+    rasters = members.where(F.lower("path").endswith(".tif")).dropDuplicates(["archive", "path"]).withColumn("kind", archive_kind(F.col("path")))
+    box = [F.min_by(c, "path").alias(c) for c in ("west", "south", "east", "north")]
+    return rasters.groupBy("archive").agg(F.count("*").alias("n_members"), F.array_sort(F.collect_set("kind")).alias("kinds"), *box)
+
+
 def required_layers(files: DataFrame, needed: tuple[str, ...] = ("unwrapped", "coherence", "dem")) -> DataFrame:
     """(product, n per kind); a product without a needed kind is an error."""
     n = files.groupBy("product").agg(*(F.count(F.when(F.col("kind") == k, True)).alias(f"n_{k}") for k in needed))
