@@ -194,7 +194,7 @@ def network_pairs_of_scenes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT archive, count(*) AS n_members, CAST(count(DISTINCT k) AS BIGINT) AS n_kinds, arg_min(w, path) AS west, arg_min(w + 1.5, path) AS east, arg_min(s, path) AS south, arg_min(s + 2, path) AS north
-FROM (SELECT c_nationkey AS archive, c_custkey % 4 AS k, 'p' || c_custkey AS path, c_custkey % 90 / 2.0::DOUBLE AS w, c_custkey % 60 / 4.0::DOUBLE AS s FROM customer WHERE c_custkey % 4 <> 3) GROUP BY archive""")
+FROM (SELECT c_nationkey AS archive, c_custkey % 4 AS k, 'p' || c_custkey || '_' AS path, c_custkey % 90 / 2.0::DOUBLE AS w, c_custkey % 60 / 4.0::DOUBLE AS s FROM customer WHERE c_custkey % 4 <> 3) GROUP BY archive""")
 def source_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Rasters of archives classified by name, each path once, with the bounds of each archive's first."""
     c = table(spark, folder, "customer")
