@@ -17,7 +17,8 @@ by a second, explicit parity sketch, and give a spanning forest of what may link
 sketch sifts the pairs. All that is left is verified on the whole sets. Parts of several blocks, or with a failed edge,
 are compared anew, without the failed edges, until they hold nothing that could join two components: no link between
 different texts is lost. Only what is outside a part's largest component is compared with the rest of it, so that a
-part of very many near copies costs a multiple of its documents, not their square. All links lie within components: there each pair of classes is compared once, on the whole
+part of very many near copies costs a multiple of its documents, not their square. Documents of a part that very many
+share are never gathered in one group: they go to the blocks directly. All links lie within components: there each pair of classes is compared once, on the whole
 sets, for the numbers of links; pairs are counted in blocks and never listed. That work grows with the square of a
 component's classes.
 
@@ -47,6 +48,9 @@ from .ids import BROADCAST_IDS, copies_of, one_per_id, only
 FEW = 6
 #: Documents of a block; a part of more is compared block by block.
 BLOCK = 4096
+#: Documents of a part from which on they are not gathered, hot parts of each of a document's keys at most, and the share of
+#: documents (one of so many) by which they are found.
+HOT_DOCS, HOT_PARTS, SEEN = 100_000, 30_000, 64
 #: Bytes of text whose keys one bucket holds.
 BUCKET_BYTES = 24 << 20
 #: Edges a document gives at once when a part is compared anew. All get their turn.
@@ -143,18 +147,43 @@ def sketches(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "doc long, n long, band int, keys array<long>, sketch binary")
 
 
-def packed(rows: DataFrame, buckets: int) -> DataFrame:
+def hot_parts(table: DataFrame, n_docs: int) -> np.ndarray:
+    """Sorted keys of parts that very many documents seem to share, from one of SEEN documents, chosen by hash.
+
+    They only take another way, so that no group holds all their documents; which keys are found changes no result. There
+    are at most the keys of a document times HOT_PARTS of them.
+    """
+    least = max(HOT_DOCS, n_docs // HOT_PARTS) // SEEN
+    some = table.where((F.col("band").isNotNull()) & (F.pmod(F.xxhash64("doc"), F.lit(SEEN)) == 0)).select(F.explode("keys").alias("key"))
+    found = some.groupBy("key").count().where(F.col("count") >= max(2, least)).select("key").toArrow()["key"].to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
+def members_of(table: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(key, a, null, g) of the documents of hot parts, as shared_parts() gives them; no part is gathered."""
+    spark = table.sparkSession
+    keys = F.broadcast(spark.createDataFrame(pa.table({"key": hot.view(np.int64)})))  # bounded, see hot_parts()
+    each = table.where("band IS NOT NULL").select(F.col("doc").alias("a"), F.explode("keys").alias("key")).join(keys, "key").distinct()
+    counted = each.groupBy("key").agg(F.count("*").alias("g")).where("g > 1")
+    return each.join(F.broadcast(counted), "key").select("key", "a", F.lit(None).cast("long").alias("b"), "g")
+
+
+def packed(rows: DataFrame, buckets: int, hot: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
     """(bucket, keys, docs, counts): keys of many documents in one row per bucket, as raw 64-bit integers.
 
     docs are the documents in order, counts how many keys each has in the row. Of a key that several documents of a
-    piece share, all are kept: the part's members are needed.
+    piece share, all are kept: the part's members are needed. Hot keys are left out.
     """
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("keys")
             key = lists.flatten().to_numpy().view(np.uint64)
             doc = np.repeat(b.column("doc").to_numpy(), lists.value_lengths().to_numpy())
+            if len(shared.value):
+                rest = ~np.isin(key, shared.value)
+                key, doc = key[rest], doc[rest]
             bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             key, doc, bucket = key[order], doc[order], bucket[order]
@@ -260,13 +289,7 @@ def forests(rows: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("doc")
         doc, n, bits = t["doc"].to_numpy(), t["n"].to_numpy(), sketch_words(t)
-        up = list(range(len(doc)))
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
+        part = np.arange(len(doc))  # the component of each document so far
         a, b = [], []
         step = rows_at_once(bits, len(doc))
         for s in range(0, len(doc), step):
@@ -275,11 +298,15 @@ def forests(rows: DataFrame, table: DataFrame, rule: Rule) -> DataFrame:
             near &= np.arange(e)[None, :] < np.arange(s, e)[:, None]
             for v in np.flatnonzero(near.any(1)).tolist():
                 us = np.flatnonzero(near[v])
-                for u in us[np.argsort(apart[v, us], kind="stable")].tolist():
-                    x, y = root(s + v), root(u)
-                    if x != y:
-                        up[x] = y
-                        a.append(doc[s + v]), b.append(doc[u])
+                us = us[part[us] != part[s + v]]
+                if not len(us):
+                    continue
+                # the nearest of each other component
+                us = us[np.argsort(apart[v, us], kind="stable")]
+                others, first = np.unique(part[us], return_index=True)
+                for u in us[np.sort(first)].tolist():
+                    a.append(doc[s + v]), b.append(doc[u])
+                part[np.isin(part, others)] = part[s + v]
         return links_of(t["key"], a, b, [False] * len(a))
 
     return ordered(dealt.select("key", "i", "doc", "n", "sketch").groupBy("key", "i").applyInArrow(run, LINKS))
@@ -468,7 +495,10 @@ def linked_classes(docs: DataFrame, rule: Rule, count: bool) -> DataFrame:
     firsts = only(docs, copies.select("doc"), "left_anti")
     table = scratch.written(sketches(firsts, rule), "sketches")
     buckets = max(12, int(n_bytes // BUCKET_BYTES) + 1)
-    parts = packed(table.where("band IS NOT NULL"), buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_parts, "key long, a long, b long, g long")
+    hot = hot_parts(table, n_docs)
+    parts = packed(table.where("band IS NOT NULL"), buckets, hot).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared_parts, "key long, a long, b long, g long")
+    if len(hot):
+        parts = parts.unionByName(members_of(table, hot))
     shared = scratch.written(parts, "parts")
     few = shared.where("b IS NOT NULL").select("a", "b", F.col("key").cast("int").alias("band")).distinct()
     many = shared.where("b IS NULL").select("key", F.col("a").alias("doc"), "g")

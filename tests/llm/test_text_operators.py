@@ -181,6 +181,25 @@ def test_jaccard_pigeonhole_bound():
             assert np.bitwise_count(sa ^ sb).sum() <= len(b) - len(a)
 
 
+def test_jaccard_of_hot_parts(spark, docs, monkeypatch):
+    """Parts that many share take another way to the same components, in blocks of a few documents."""
+    import random
+
+    r = random.Random(4)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    text = {1000 + i: " ".join(f"x{i}" if k == r.randrange(120) else w for k, w in enumerate(base)) for i in range(60)}
+    more = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in text.items()], docs.schema)
+    both = docs.unionByName(more)
+    monkeypatch.setattr(jaccard, "HOT_DOCS", 20)
+    monkeypatch.setattr(jaccard, "SEEN", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rule = jaccard.Rule(3, 90, 100)
+    assert len(jaccard.hot_parts(jaccard.sketches(more.withColumnRenamed("doc_id", "doc"), rule), 60)) > 3
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.link(both, rule).collect()}
+    want = brute_components(3, 90, 100, {**TEXT, **text})
+    assert got == {d: c for d, (_, c) in want.items()}
+
+
 def test_repeated_ids_and_nulls(spark):
     t = "one two three four five six seven eight nine ten"
     d = spark.createDataFrame([(7, t), (7, "zzz"), (9, t), (None, t), (11, None), (12, ""), (13, " \t ")], "doc_id long, text string")
