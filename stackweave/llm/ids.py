@@ -30,14 +30,14 @@ def one_per_id(docs: DataFrame) -> DataFrame:
     return docs.join(again, "doc", "left_anti").unionByName(docs.join(again, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")))
 
 
-def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], n: str, total: int, width: Column | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, by_key: DataFrame, keys: list[str], n: str, total: int, width: Column | None = None, stored: bool = False) -> DataFrame:
     """rows inner-joined with by_key, which has one row a key, and in ``n`` how many rows have the key.
 
     Rows of a hot key are not brought together: hot keys, HOT_SHARE of them at most, are broadcast. Where a row of by_key
     has a ``width`` (its elements) and those of hot keys are more than BROADCAST_IDS together, the hot rows are dealt out
-    by a hash of theirs instead, and each hot key is sent to DEALT places.
+    by a hash of theirs instead, and each hot key is sent to DEALT places. stored: by_key is cheap to read again.
     """
-    by_key = scratch.written(by_key, "by-key")
+    by_key = by_key if stored else scratch.written(by_key, "by-key")
     hot = F.col(n) > max(HOT, total // HOT_SHARE)
     often = by_key.where(hot)
     wide = often.agg(F.sum(F.lit(1) if width is None else width)).first()[0]

@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
 The index of lines seen so far is a set of runs: Parquet tables of 128-bit line hashes, bucketed and sorted by
-hash, in levels. Each new batch of documents merge-anti-joins the runs: hashes that none of them holds are new
-and become a run of level 0. When a level has FANOUT runs they are merged into one run of the next level, so that
-a batch meets few runs and each hash is rewritten a logarithmic number of times. A line of a batch is dropped if
+hash, in levels. Each new batch of documents merge-anti-joins the runs, all in one join: hashes that none of them
+holds are new and become a run of level 0. When a level has FANOUT runs they are merged into one run of the next level,
+so that a batch meets few runs and each hash is rewritten a logarithmic number of times. A line that very many
+documents hold is not brought together in one task: its documents meet a broadcast of such keys (ids.join_counted). A line of a batch is dropped if
 its hash is in a run, or in a document of the batch with a smaller id: of all documents added so far only the
 first keeps the line, and keeps all its occurrences there.
 
@@ -26,13 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .ids import join_counted
 
 MIN_CHARS = 10
-FANOUT = 4
+FANOUT = 2
 #: Bytes of text whose hashes one bucket of a run holds, and buckets at least and at most.
 BUCKET_BYTES, BUCKETS, MOST_BUCKETS = 2 << 30, 24, 65_536
-#: Bytes of text of a batch: enough to keep a large cluster busy.
-BATCH_BYTES = 256 << 30
+#: Bytes of text of a batch: each one reads all runs, so that batches are few and large.
+BATCH_BYTES = 1 << 40
 KEY = ["h1", "h2"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,23 +90,26 @@ class LineRuns:
     def runs(self) -> list[str]:
         return [t for level in self.levels for t in level]
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """lines: keyed_lines() of documents all added after those in the runs. Returns (doc, row, pos) to drop."""
-        first = lines.groupBy(*KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), (F.count("*") > F.count("doc")).alias("null_id"))
-        for t in self.runs():
-            seen = self.spark.table(t).select(*KEY, F.lit(True).alias(f"in_{t}"))
-            first = first.join(seen, KEY, "left")
+    def add(self, lines: DataFrame, more: bool = True) -> DataFrame:
+        """lines: keyed_lines() of documents all added after those in the runs. Returns (doc, row, pos) to drop.
+
+        The batch's keys meet all runs in one join. Without ``more`` nothing follows, and the batch makes no run.
+        """
+        first = lines.groupBy(*KEY).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), (F.count("*") > F.count("doc")).alias("null_id"), F.count("*").alias("n"))
         old = F.lit(False)
-        for t in self.runs():
-            old = old | F.col(f"in_{t}").isNotNull()
-        first = scratch.written(first.select(*KEY, "first", "last", "null_id", old.alias("old")), "line-first")
-        self._write(first.where(~F.col("old")).select(*KEY), 0)
-        self._compact()
+        if self.runs():
+            seen = reduce(DataFrame.unionAll, [self.spark.table(t).select(*KEY) for t in self.runs()])  # runs share no hash
+            first, old = first.join(seen.withColumn("seen", F.lit(True)), KEY, "left"), F.col("seen").isNotNull()
+        first = scratch.written(first.select(*KEY, "first", "last", "null_id", "n", old.alias("old")), "line-first")
+        if more:
+            self._write(first.where(~F.col("old")).select(*KEY), 0)
+            self._compact()
         # a key of one document that no run holds drops nothing
         some = F.col("first").isNotNull()
         hit = first.where(F.col("old") | (some & ((F.col("last") > F.col("first")) | F.col("null_id"))))
+        total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         later = F.col("doc").isNull() | (F.col("doc") > F.col("first"))
-        return lines.join(hit, KEY).where(F.col("old") | (some & later)).select("doc", "row", "pos")
+        return join_counted(lines, hit, KEY, "n", total, stored=True).where(F.col("old") | (some & later)).select("doc", "row", "pos")
 
     def _compact(self) -> None:
         level = 0
@@ -191,7 +196,7 @@ def dedup_lines(docs: DataFrame, batches: int | None = None, min_chars: int = MI
             lines = scratch.place(spark, "lines")
             keyed_lines(docs, min_chars).withColumn("batch", F.coalesce(batch, F.lit(len(bounds)))).write.partitionBy("batch").parquet(lines)
             table = spark.read.schema(LINES).parquet(lines)
-            dropped = [keep(runs.add(table.where(F.col("batch") == i).drop("batch")), "line-drops") for i in range(len(bounds) + 1)]
+            dropped = [keep(runs.add(table.where(F.col("batch") == i).drop("batch"), i < len(bounds)), "line-drops") for i in range(len(bounds) + 1)]
         finally:
             runs.close()
     return without_lines(docs, reduce(DataFrame.unionAll, dropped))

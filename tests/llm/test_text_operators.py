@@ -318,7 +318,7 @@ def test_line_runs_are_compacted_by_default(docs, monkeypatch):
     assert max(written) == 1
     n = lines.bytes_of(docs)
     assert n == sum(len(t.encode()) for t in TEXT.values())
-    assert lines.batches_of(n) == 5 and lines.batches_of(100 << 40) == 400
+    assert lines.batches_of(n) == 3 and lines.batches_of(100 << 40) == 100
     assert lines.buckets_of(n) == 24 and lines.buckets_of(100 << 40) == 51_200
 
 
