@@ -243,6 +243,8 @@ def propagated_baseline(pairs: DataFrame, scenes: DataFrame) -> DataFrame:
     A scene takes the value of its smallest neighbour among those that fewer pairs reach. Scenes that no path reaches
     get 0 and resolved false. A group holds the pairs and scenes of one stack; chains may have any length.
     """
-    p, s = pairs.select("stack", "ref", "sec", F.col("signed").cast("double").alias("signed")), scenes.select("stack", "scene", "t")
-    kind = dict(s.dtypes)
-    return p.groupBy("stack").cogroup(s.groupBy("stack")).applyInPandas(propagate_stack, f"stack {kind['stack']}, scene {kind['scene']}, bperp double, resolved boolean")
+    with temporary(pairs.sparkSession) as keep:
+        p, s = cut(pairs.select("stack", "ref", "sec", F.col("signed").cast("double").alias("signed"))), scenes.select("stack", "scene", "t")
+        kind = dict(s.dtypes)
+        found = p.groupBy("stack").cogroup(s.groupBy("stack")).applyInPandas(propagate_stack, f"stack {kind['stack']}, scene {kind['scene']}, bperp double, resolved boolean")
+        return keep(found, "baselines")

@@ -142,7 +142,8 @@ BOX = (3, 40, 5, 24)
 
 
 @query(WITH + fit_sql("SELECT part, season, lag, avg(coh) / 100 AS coh FROM samples WHERE coh > 0 AND coh < 255 GROUP BY part, season, lag", "part, season") + f"""SELECT season, round(avg(g_inf + (g0 - g_inf) * exp(-24.0::DOUBLE / tau)), 5) AS coh, round(avg(g_inf), 5) AS floor, count(*) AS n
-FROM fitted WHERE part % 2 = 0 AND season IN ('winter', 'summer') AND part // 32 BETWEEN {BOX[0]} AND {BOX[1]} AND part % 32 BETWEEN {BOX[2]} AND {BOX[3]} GROUP BY season""")
+FROM fitted WHERE part % 2 = 0 AND season IN ('winter', 'summer') AND part // 32 BETWEEN {BOX[0]} AND {BOX[1]} AND part % 32 BETWEEN {BOX[2]} AND {BOX[3]}
+AND season IN (SELECT season FROM fitted WHERE part % 2 = 0 GROUP BY season HAVING {(BOX[0] + BOX[1]) // 2} BETWEEN min(part // 32) AND max(part // 32) AND {(BOX[2] + BOX[3]) // 2} BETWEEN min(part % 32) AND max(part % 32)) GROUP BY season""")
 def coherence_map_store(spark: SparkSession, folder: str) -> DataFrame:
     """Maps fitted and stored by season and polarization; those of an area that the stored map covers read and evaluated."""
     s = samples(spark, folder).where("coh > 0 AND coh < 255")
