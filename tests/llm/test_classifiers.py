@@ -175,12 +175,16 @@ def test_contract_columns(spark):
         "op8_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
         "op9_token_binary": {"doc_id", "start", "n_tokens", "ids_crc32"},
         "op10_secret_scans": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
+        "op12_fill_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+        "op13_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     }
     for name, columns in want.items():
         got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert columns <= set(got.columns)
         assert got.count() == 200
-    assert set(queries.QUERIES) == {*want, "op2_sentencepiece", "op4_decontamination"}
+    nodes = {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"}
+    assert nodes <= set(queries.QUERIES["op11_prefix_trie"](spark, "/root/testdata/sf0.001").columns)
+    assert set(queries.QUERIES) == {*want, "op2_sentencepiece", "op4_decontamination", "op11_prefix_trie"}
 
 
 def test_line_dedup_sql(spark):
