@@ -192,9 +192,18 @@ def pieces(path: str) -> Pieces:
     return _kept[path]
 
 
+def _others(rows: DataFrame, *added: str) -> list[str]:
+    """The columns that no result replaces; Spark's names are the same in capitals and small letters."""
+    return [c for c in rows.columns if c.lower() not in {name.lower() for name in added}]
+
+
 def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
-    """docs with the array of the text's ids in ``column``."""
-    keep = [c for c in docs.columns if c != column]
+    """docs with the array of the text's ids in ``column``.
+
+    Null and empty texts have no ids, an empty table no rows; rows that repeat a doc_id or a text are encoded each. A
+    column of docs with the name of the result, in letters of either case, is replaced by it.
+    """
+    keep = _others(docs, column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, at in X.pieces(batches, "text"):
@@ -205,8 +214,8 @@ def encode(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, column: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """encode() and decode() of the ids in one pass, with one worker a task."""
-    keep = [c for c in docs.columns if c not in (column, decoded)]
+    """encode() and decode() of the ids in one pass, with one worker a task; clashing columns are replaced as there."""
+    keep = _others(docs, column, decoded)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, at in X.pieces(batches, "text"):
@@ -218,8 +227,8 @@ def round_trip(docs: DataFrame, path: str, column: str = "ids", decoded: str = "
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", column: str = "decoded") -> DataFrame:
-    """rows with the text of the array ``ids`` in ``column``; a null array gives the empty text."""
-    keep = [c for c in rows.columns if c != column]
+    """rows with the text of the array ``ids`` in ``column``; a null array gives the empty text, clashing columns are replaced."""
+    keep = _others(rows, column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -601,6 +601,20 @@ def test_viterbi(docs):
     assert all(r["decoded"] == TEXT[r["doc_id"]] for r in back.collect())
 
 
+def test_sentencepiece_clashing_columns_and_ties(spark):
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    rows = [(1, "same text", 0.5, "old"), (1, "same text", 0.5, "old"), (2, None, None, None), (None, "same text", 1.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, IDS double, Decoded string")
+    out = sentencepiece_viterbi.round_trip(docs, path)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    got = [(r["doc_id"], r["decoded"], len(r["ids"])) for r in out.select("doc_id", "decoded", "ids").collect()]
+    n = max(k for *_, k in got)
+    assert sorted(got, key=str) == sorted([(1, "same text", n), (1, "same text", n), (2, "", 0), (None, "same text", n)], key=str)
+    encoded = sentencepiece_viterbi.encode(docs, path)
+    assert encoded.columns == ["doc_id", "text", "Decoded", "ids"]
+    assert sorted((r["decoded"] for r in sentencepiece_viterbi.decode(encoded, path).select("decoded").collect())) == ["", *["same text"] * 3]
+
+
 def test_decontamination(spark, docs):
     item = "The quick brown fox jumps over the lazy dog and then runs home to sleep for a very long time".split()
     spoiled = [w if i % 5 != 4 else "xyzzy" for i, w in enumerate(item)]
