@@ -150,11 +150,17 @@ def chained(pairs: DataFrame, params: DataFrame, keys: list[str], on: tuple[str,
     return sums.select(*keys, F.when(F.col("whole"), F.round(coh, digits)).alias("coh"), F.when(F.col("whole"), F.round(ginf, digits)).otherwise(0.0).alias("floor"), "n_segments")
 
 
+#: Pixels and quadruples of days that are worked on at once: a block of them fits a processor's cache.
+PIXELS, QUADRUPLES = 1024, 64
+
+
 def pixel_chained(pairs: DataFrame, maps: DataFrame, keys: list[str], pixel: list[str]) -> DataFrame:
     """Per pair the mean over pixels (season, pixel, g_inf, g0, tau) that are valid in all its seasons.
 
     Pairs with the same days of each season have the same mean. The distinct quadruples of days, whose number the
-    longest interval bounds, are sent to all batches of pixels, whose sums are added up: no pair meets a pixel.
+    longest interval bounds, are sent to all batches of pixels, whose sums are added up: no pair meets a pixel. What
+    a pixel keeps after so many days of a season is worked out once and shared by all quadruples that have them; pairs
+    without a day between are left out.
     """
     names = ["d0", "d1", "d2", "d3"]
     spans = pairs.select(*keys, *(days_of(i).cast("int").alias(n) for i, n in enumerate(names)))
@@ -167,16 +173,34 @@ def pixel_chained(pairs: DataFrame, maps: DataFrame, keys: list[str], pixel: lis
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         d = shared.value
         sums = np.zeros((len(d), 3))
+        lengths = [np.unique(d[:, i], return_inverse=True) for i in range(len(SEASON_ORDER))]
+        # quadruples with days in the same seasons, and the share that each season has of their days
+        seasons, kind = np.unique(d > 0, axis=0, return_inverse=True)
+        kinds = [(np.flatnonzero(used), np.flatnonzero(kind == k)) for k, used in enumerate(seasons) if used.any()]
         for p in batches:
             g_inf, g0, tau = (np.stack([p[f"{s}_{c}"].to_numpy(float) for s in SEASON_ORDER]) for c in ("g_inf", "g0", "tau"))
-            lacks = np.isnan(tau)
-            for i in range(0, len(d), 256):
-                part = d[i : i + 256]
-                ok = ((part > 0).astype(float) @ lacks) == 0
-                n = part.sum(1, keepdims=True)
-                floor, start = (part @ np.where(lacks, 0, x) / n for x in (g_inf, g0))
-                c = np.maximum(floor + (start - floor) * np.exp(-(part @ np.where(lacks, 0, 1 / np.where(lacks, 1, tau)))), floor)
-                sums[i : i + 256] += np.stack([(c * ok).sum(1), (floor * ok).sum(1), ok.sum(1)], axis=1)
+            for i in range(0, len(p), PIXELS):
+                floor, start, t = g_inf[:, i : i + PIXELS], g0[:, i : i + PIXELS], tau[:, i : i + PIXELS]
+                known = ~np.isnan(t)
+                left = [np.exp(-days[:, None] / np.where(known[k], t[k], np.inf)) for k, (days, _) in enumerate(lengths)]
+                for used, rows in kinds:
+                    at = known[used].all(0)
+                    low, rise = floor[np.ix_(used, at)], (start - floor)[np.ix_(used, at)]
+                    share = d[np.ix_(rows, used)] / d[rows].sum(1, keepdims=True)
+                    base = share @ low.sum(1)
+                    sums[rows, 1] += base
+                    sums[rows, 2] += at.sum()
+                    kept = [left[k][:, at] for k in used]
+                    place = [lengths[k][1][rows] for k in used]
+                    if len(used) == 1:
+                        sums[rows, 0] += base + (kept[0] @ np.maximum(rise[0], 0))[place[0]]
+                        continue
+                    for j in range(0, len(rows), QUADRUPLES):
+                        r = slice(j, j + QUADRUPLES)
+                        above = np.maximum(share[r] @ rise, 0)
+                        for e, n in zip(kept[1:], place[1:]):
+                            above *= e[n[r]]
+                        sums[rows[r], 0] += base[r] + np.einsum("ij,ij->i", above, kept[0][place[0][r]])
         own = np.flatnonzero(sums[:, 2])
         yield pd.DataFrame({**{k: d[own, i].astype(np.int32) for i, k in enumerate(names)}, "c": sums[own, 0], "f": sums[own, 1], "n": sums[own, 2].astype(np.int64)})
 

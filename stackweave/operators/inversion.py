@@ -116,11 +116,64 @@ def invert_pixels(phase: DataFrame, pairs: Sequence[tuple[int, int]], t: Sequenc
     return phase.mapInPandas(run, "row long, col long, n_used long, coherence double, t long, value double")
 
 
+#: Triplets up to which they are sent to the pixels.
+TRIPLETS = 200_000
+#: Pixels and triplets that are worked on at once.
+CLOSED = 1 << 20
+
+
 def closure_ambiguities(ifg: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per pixel the triplets, and those whose closing phase holds a non-zero whole number of turns."""
-    x, y, z = (pairs.select(F.col("ref").alias(a), F.col("sec").alias(b)) for a, b in (("a", "b"), ("b", "c"), ("a", "c")))
-    triples = x.join(y, "b").join(z, ["a", "c"])
-    side = lambda p, q, n: ifg.select(F.col("ref").alias(p), F.col("sec").alias(q), "row", "col", F.col("phase").alias(n))
+    """Per pixel the triplets, and those whose closing phase holds a non-zero whole number of turns.
+
+    ifg (ref, sec, row, col, phase) has a row per pair and pixel; one without a phase counts as missing, of rows that
+    repeat the smallest phase counts, and pixels without a whole triplet have no row. A pixel's phases are brought
+    together once, in the order of the pairs, and the network's triplets pick from them by place. Networks of more than
+    TRIPLETS triplets are joined with the pixels instead.
+    """
+    names = pairs.select("ref", "sec").distinct()
+    x, y, z = (names.select(F.col("ref").alias(a), F.col("sec").alias(b)) for a, b in (("a", "b"), ("b", "c"), ("a", "c")))
+    triples = x.join(y, "b").join(z, ["a", "c"]).select("a", "b", "c")
+    few = triples.limit(TRIPLETS + 1).toArrow()
+    if len(few) > TRIPLETS:
+        return closure_joined(ifg, triples)
+    ends = [(few[p].to_pylist(), few[q].to_pylist()) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))]
+    own = sorted({e for p, q in ends for e in zip(p, q)})
+    place = {e: i for i, e in enumerate(own)}
+    shared = ifg.sparkSession.sparkContext.broadcast(np.array([[place[e] for e in zip(p, q)] for p, q in ends], np.int64).reshape(3, -1))
+    kinds = {f.name: f.dataType.simpleString() for f in ifg.schema}
+    known = ifg.sparkSession.createDataFrame([(*e, i) for i, e in enumerate(own)], f"ref {kinds['ref']}, sec {kinds['sec']}, place int")
+    phases = ifg.where("phase IS NOT NULL").join(F.broadcast(known), ["ref", "sec"])  # three pairs a triplet at most
+    gathered = phases.groupBy("row", "col").agg(F.collect_list(F.struct("place", F.col("phase").cast("double").alias("phase"))).alias("p"))
+    wide = gathered.select("row", "col", F.col("p.place").alias("place"), F.col("p.phase").alias("phase"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ab, bc, ac = shared.value
+        step = max(1, CLOSED // max(1, len(own)))
+        for whole in batches:
+            for i in range(0, len(whole), step):
+                b = whole.slice(i, step)
+                pixel = np.repeat(np.arange(len(b)), b.column("place").value_lengths().to_numpy())
+                phase = np.full((len(b), len(own)), np.nan)
+                at, value = (pixel, b.column("place").flatten().to_numpy()), b.column("phase").flatten().to_numpy()
+                np.fmin.at(phase, at, value)
+                n, wrong = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+                some = max(1, CLOSED // len(b))
+                for j in range(0, len(ab), some):
+                    t = slice(j, j + some)
+                    turns = np.rint((phase[:, ab[t]] + phase[:, bc[t]] - phase[:, ac[t]]) / (2 * np.pi))
+                    there = ~np.isnan(turns)
+                    n += there.sum(1)
+                    wrong += (there & (turns != 0)).sum(1)
+                out = pa.RecordBatch.from_arrays([b.column("row"), b.column("col"), pa.array(n), pa.array(wrong)], ["row", "col", "n_triplets", "n_ambiguous"])
+                yield out.filter(pa.array(n > 0))
+
+    return wide.mapInArrow(run, f"row {kinds['row']}, col {kinds['col']}, n_triplets long, n_ambiguous long")
+
+
+def closure_joined(ifg: DataFrame, triples: DataFrame) -> DataFrame:
+    """closure_ambiguities() of triplets (a, b, c) of any number, by joins."""
+    phases = ifg.where("phase IS NOT NULL AND NOT isnan(phase)").groupBy("ref", "sec", "row", "col").agg(F.min("phase").alias("phase"))
+    side = lambda p, q, n: phases.select(F.col("ref").alias(p), F.col("sec").alias(q), "row", "col", F.col("phase").alias(n))
     closed = triples.join(side("a", "b", "ab"), ["a", "b"]).join(side("b", "c", "bc"), ["b", "c", "row", "col"]).join(side("a", "c", "ac"), ["a", "c", "row", "col"])
     turns = F.bround((F.col("ab") + F.col("bc") - F.col("ac")) / (2 * np.pi), 0)
     return closed.groupBy("row", "col").agg(F.count("*").alias("n_triplets"), F.sum((turns != 0).cast("int")).alias("n_ambiguous"))

@@ -147,3 +147,32 @@ def test_height_only_where_correlated(spark):
     fit = np.polyfit(h, [want[i, 1] for i in range(300)], 1)
     assert [got[i, 1] for i in range(300)] == pytest.approx([want[i, 1] - np.polyval(fit, h[i]) for i in range(300)], abs=1e-6)
     assert len(got) == 600
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_closure_ambiguities(spark, monkeypatch, most):
+    """Both ways, by place and by joins, against brute force: missing and repeated phases, pixels without a triplet."""
+    monkeypatch.setattr(I, "TRIPLETS", most)
+    r = np.random.default_rng(9)
+    net = [(i, j) for i in range(7) for j in range(i + 1, min(7, i + 4))]
+    rows, phase = [], {}
+    for p in range(40):
+        for i, j in net:
+            v = float((j - i) * 0.1 + 2 * np.pi * (r.random() < 0.2) * (p % 3))
+            kind = r.random()
+            if p == 39 and j - i == 1 or kind < 0.05:
+                continue
+            rows.append((p, p % 4, i, j, [v, None, float("nan")][0 if kind > 0.15 else 1 + (kind > 0.1)]))
+            if kind > 0.15:
+                phase[p, i, j] = v
+            if kind > 0.95:
+                rows.append((p, p % 4, i, j, v + 50.0))
+    ifg = spark.createDataFrame(rows, "row long, col long, ref long, sec long, phase double")
+    want = {}
+    for p in range(40):
+        turns = [round((phase[p, i, j] + phase[p, j, k] - phase[p, i, k]) / (2 * np.pi)) for i, j in net for k in range(j + 1, 7) if (p, i, j) in phase and (p, j, k) in phase and (p, i, k) in phase]
+        if turns:
+            want[p, p % 4] = (len(turns), sum(x != 0 for x in turns))
+    got = {(x["row"], x["col"]): (x["n_triplets"], x["n_ambiguous"]) for x in I.closure_ambiguities(ifg, ifg.select("ref", "sec")).collect()}
+    assert got == want and 0 < len(want) < 40 and any(b for _, b in want.values())
+    assert I.closure_ambiguities(ifg.limit(0), ifg.select("ref", "sec")).count() == I.closure_ambiguities(ifg, ifg.select("ref", "sec").limit(0)).count() == 0
