@@ -2,7 +2,8 @@
 
 A polygon is an array<struct<lon, lat>>, closed or not, in planar degrees. For coverage both sides are cut along a grid
 of cells. Where one side fills a cell, the other side's part of it is the answer; only cells that both sides cross are
-clipped, many at once. So the join meets on cells and geometry is worked out once for each polygon and cell.
+clipped, many at once. So the join meets on cells and geometry is worked out once for each polygon and cell, and once for
+polygons that are the same.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,8 @@ def cut_by_lines(p: np.ndarray, side: np.ndarray) -> np.ndarray:
     after, next_side = np.roll(p, -1, 1), np.roll(side, -1, 1)
     crosses = side * next_side < 0
     share = np.divide(side, side - next_side, out=np.zeros_like(side), where=crosses)
-    both = np.stack([p, p + (after - p) * share[..., None]], 2).reshape(len(p), -1, 2)
-    keep = np.stack([side >= 0, crosses], 2).reshape(len(p), -1)
+    both = np.stack([p, p + (after - p) * share[..., None]], 2).reshape(len(p), 2 * p.shape[1], 2)
+    keep = np.stack([side >= 0, crosses], 2).reshape(len(p), 2 * p.shape[1])
     n = keep.sum(1)
     order = np.argsort(~keep, 1, kind="stable")[:, : max(1, int(n.max(initial=0)))]
     place = np.minimum(np.arange(order.shape[1])[None, :], np.maximum(n - 1, 0)[:, None])
@@ -107,62 +109,94 @@ def pieces_of(shapes: list[np.ndarray], step: float) -> tuple[np.ndarray, np.nda
     return who[some], cx[some], cy[some], area[some], p[some]
 
 
-def cells(polygons: DataFrame, key: str, points: str, step: float = CELL) -> DataFrame:
-    """(key, cx, cy, held, whole, parts): what area each polygon holds of each cell; parts, convex polygons as x, y, x, y ..., are
-    null where it holds the whole cell. Null polygons and those of no area have no cells."""
+def alike(rows: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(members (key, like), classes (like, value)): keys of one value are a class, which bears the smallest of them."""
+    classes = rows.groupBy(value).agg(F.min(key).alias("like"))
+    # Spark takes tables of small files for small, so that it would send these to the driver and to all machines
+    return rows.join(classes.hint("merge"), value).select(key, "like"), classes
+
+
+def shapes(polygons: DataFrame, key: str, points: str) -> tuple[DataFrame, DataFrame]:
+    """alike() of each key's polygons (column polygons): as a rule one, several where rows repeat a key."""
+    own = polygons.where(F.col(points).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.array_sort(F.collect_list(points)).alias("polygons"))
+    return alike(own, "key", "polygons")
+
+
+def cells(shapes: DataFrame, step: float = CELL) -> DataFrame:
+    """(like, cx, cy, held, whole, parts, size): what area each shape (like, polygons) holds of each cell, and in all; parts, convex
+    polygons as x, y, x, y ..., are null where it holds the whole cell. Shapes of no area have no cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, shapes = [], []
-            for i, points in enumerate(batch.column(1).to_pylist()):
-                parts = convex_parts(ring(np.array([(p["lon"], p["lat"]) for p in points or ()], float).reshape(-1, 2)))
-                owner += [i] * len(parts)
-                shapes += parts
-            who, cx, cy, area, p = pieces_of(shapes, step)
-            key = batch.column(0).take(pa.array(np.array(owner, np.int64)[who]))
-            yield pa.RecordBatch.from_arrays([key, pa.array(cx), pa.array(cy), pa.array(area), pa.array(p.reshape(len(p), -1).tolist(), pa.list_(pa.float64()))], ["key", "cx", "cy", "held", "part"])
-
-    kind = dict(polygons.dtypes)[key]
-    rows = polygons.select(F.col(key).alias("key"), F.col(points).alias("points")).mapInArrow(run, f"key {kind}, cx long, cy long, held double, part array<double>")
-    found = rows.groupBy("key", "cx", "cy").agg(F.sum("held").alias("held"), F.collect_list("part").alias("parts"))  # a polygon's own few parts
-    whole = F.col("held") >= step * step * (1 - NEAR)
-    return found.select(F.col("key").alias(key), "cx", "cy", "held", whole.alias("whole"), F.when(~whole, F.col("parts")).alias("parts"))
+            owner, convex = [], []
+            for i, polygons in enumerate(batch.column(1).to_pylist()):
+                for points in polygons:
+                    parts = convex_parts(ring(np.array([(p["lon"], p["lat"]) for p in points], float).reshape(-1, 2)))
+                    owner += [i] * len(parts)
+                    convex += parts
+            who, cx, cy, area, p = pieces_of(convex, step)
+            who = np.array(owner, np.int64)[who]
+            order = np.lexsort((cy, cx, who))
+            who, cx, cy, area, p = who[order], cx[order], cy[order], area[order], p[order]
+            new = np.ones(len(who), bool)
+            new[1:] = (who[1:] != who[:-1]) | (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])
+            first, cell = np.flatnonzero(new), np.cumsum(new) - 1
+            held, size = np.bincount(cell, area, len(first)), np.bincount(who, area, len(batch))
+            whole = held >= step * step * (1 - NEAR)
+            some = ~whole[cell]
+            ends = lambda n: np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            values = p[some].reshape(-1)
+            each = pa.ListArray.from_arrays(pa.array(ends(np.full(some.sum(), p.shape[1] * 2))), pa.array(values))
+            parts = pa.ListArray.from_arrays(pa.array(ends(np.bincount(cell[some], minlength=len(first)))), each)
+            columns = [batch.column(0).take(pa.array(who[first])), pa.array(cx[first]), pa.array(cy[first]), pa.array(held), pa.array(whole), parts, pa.array(size[who[first]])]
+            yield pa.RecordBatch.from_arrays(columns, ["like", "cx", "cy", "held", "whole", "parts", "size"])
+
+    kind = dict(shapes.dtypes)["like"]
+    n = 4 * shapes.sparkSession.sparkContext.defaultParallelism  # small rows, much work
+    return shapes.select("like", "polygons").repartition(n, "like").mapInArrow(run, f"like {kind}, cx long, cy long, held double, whole boolean, parts array<array<double>>, size double")
+
+
+def polygons_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of polygons of each row, all polygons) of lists of polygons as x, y, x, y ..."""
+    n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    each = column.flatten()
+    size = pc.list_value_length(each).to_numpy(zero_copy_only=False) // 2
+    xy = each.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    place = np.minimum(np.arange(size.max(initial=1))[None, :], size[:, None] - 1)
+    return n, xy[(np.cumsum(size) - size)[:, None] + place]
 
 
 def shared_areas(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(area, footprint, known, parts of both) -> (area, footprint, shared): known, or the parts of one clipped by those of the other."""
+    """(area, footprint, known, parts of both, size) -> (area, footprint, shared, size): known, or the parts of one clipped by those of the other."""
     for b in batches:
-        shared = b.column(2).to_numpy(zero_copy_only=False).copy()
-        one, two, row = [], [], []
-        for i in np.flatnonzero(np.isnan(shared)).tolist():
-            left, right = (b.column(k)[i].as_py() for k in (3, 4))
-            for x in left:
-                for y in right:
-                    one.append(np.array(x).reshape(-1, 2)), two.append(np.array(y).reshape(-1, 2)), row.append(i)
-        if row:
-            each = np.abs(signed_area(clipped(padded(one), padded(two))))
-            shared[np.unique(row)] = 0
-            np.add.at(shared, row, each)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared)], ["a", "f", "shared"])
+        known = b.column(2).to_numpy(zero_copy_only=False)
+        (n, left), (m, right) = polygons_of(b.column(3)), polygons_of(b.column(4))
+        times = np.where(np.isnan(known), n * m, 0)
+        row = np.repeat(np.arange(len(b)), times)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        one, two = left[(np.cumsum(n) - n)[row] + k // m[row]], right[(np.cumsum(m) - m)[row] + k % m[row]]
+        each = np.abs(signed_area(clipped(one, two)))
+        shared = np.where(np.isnan(known), np.bincount(row, each, len(b)), known)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared), b.column(5)], ["a", "f", "shared", "size"])
 
 
 def coverage(areas: DataFrame, footprints: DataFrame, area: str, footprint: str, points: str = "points", step: float = CELL) -> DataFrame:
     """(area, footprint, share): the share of each area of interest that each footprint covers, where it covers any.
 
-    Areas and footprints may be concave. The join meets on cells of the grid; a cell that very many footprints share is
-    split by Spark's skew join.
+    Areas and footprints may be concave. Geometry is worked out once for areas and footprints that are the same. The join
+    meets on cells of the grid; a cell that very many footprints share is split by Spark's skew join.
     """
-    a, f = cells(areas, area, points, step), cells(footprints, footprint, points, step)
-    size = a.groupBy(area).agg(F.sum("held").alias("_size"))
-    side = lambda d, key, p: d.select(F.col(key).alias(f"{p}_key"), "cx", "cy", F.col("held").alias(f"{p}_held"), F.col("whole").alias(f"{p}_whole"), F.col("parts").alias(f"{p}_parts"))
-    both = side(a, area, "a").join(side(f, footprint, "f"), ["cx", "cy"])
+    (a_members, a_shapes), (f_members, f_shapes) = shapes(areas.where(F.col(area).isNotNull()), area, points), shapes(footprints, footprint, points)
+    side = lambda d, p: d.select("cx", "cy", *(F.col(c).alias(f"{p}_{c}") for c in ("like", "held", "whole", "parts", "size")))
+    both = side(cells(a_shapes, step), "a").join(side(cells(f_shapes, step), "f").hint("merge"), ["cx", "cy"])
     known = F.when(F.col("a_whole"), F.col("f_held")).when(F.col("f_whole"), F.col("a_held"))
     parts = [F.when(known.isNull(), F.col(f"{p}_parts")).alias(p) for p in "af"]
-    kinds = [dict(both.dtypes)[c] for c in ("a_key", "f_key")]
-    each = both.select("a_key", "f_key", known.alias("known"), *parts).mapInArrow(shared_areas, f"a {kinds[0]}, f {kinds[1]}, shared double")
-    total = each.groupBy("a", "f").agg(F.sum("shared").alias("shared")).where("shared > 0")
-    found = total.select(F.col("a").alias(area), F.col("f").alias(footprint), "shared").join(size, area)
-    return found.select(area, footprint, (F.col("shared") / F.col("_size")).alias("share"))
+    kinds = [dict(both.dtypes)[c] for c in ("a_like", "f_like")]
+    each = both.select("a_like", "f_like", known.alias("known"), *parts, F.col("a_size").alias("size")).mapInArrow(shared_areas, f"a {kinds[0]}, f {kinds[1]}, shared double, size double")
+    total = each.groupBy("a", "f").agg((F.sum("shared") / F.max("size")).alias("share")).where("share > 0")
+    member = lambda d, p: d.select(F.col("key").alias(f"_{p}"), F.col("like").alias(f"_{p}_like")).hint("merge")
+    found = total.join(member(a_members, "a"), F.col("a") == F.col("_a_like")).join(member(f_members, "f"), F.col("f").eqNullSafe(F.col("_f_like")))
+    return found.select(F.col("_a").alias(area), F.col("_f").alias(footprint), "share")
 
 
 def covered(areas: DataFrame, footprints: DataFrame, area: str, footprint: str, least: float, points: str = "points") -> DataFrame:

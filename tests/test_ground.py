@@ -61,6 +61,18 @@ def test_covered(spark):
     assert [(r["a"], r["f"], r["name"], round(r["share"], 9)) for r in polygons.covered(a, f, "a", "f", 0.25).collect()] == [(1, 7, "x", 0.5)]
 
 
+def test_coverage_of_the_same_polygons(spark):
+    """Copies are clipped once and come back whole; a key of several rows has all its polygons; nothing is broadcast."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    areas = [(i, box(0.0, 0.0, 2.0, 2.0)) for i in range(40)] + [(50, box(5.0, 5.0, 1.0, 1.0)), (50, box(7.0, 5.0, 1.0, 1.0))]
+    feet = [(i, box(1.5, 0.5, 3.0, 1.0)) for i in range(70)] + [(None, box(7.0, 4.5, 1.0, 1.0))]
+    a, f = spark.createDataFrame(areas, POINTS).withColumnRenamed("id", "a"), spark.createDataFrame(feet, POINTS).withColumnRenamed("id", "f")
+    got = polygons.coverage(a, f, "a", "f")
+    assert {(r["a"], r["f"]): round(r["share"], 9) for r in got.collect()} == {**{(i, j): 0.125 for i in range(40) for j in range(70)}, (50, None): 0.25}
+    assert polygons.shapes(f, "f", "points")[1].count() == 2
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grid_cells(spark):
     r = random.Random(8)
     areas = {i: star(r, r.randint(3, 8), r.uniform(-2, 2), r.uniform(-2, 2), r.choice([0.04, 0.2, 1.0])) for i in range(40)}
