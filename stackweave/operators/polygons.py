@@ -250,4 +250,11 @@ def area_cell_means(grid: DataFrame, cells: DataFrame, key: str, per_degree: int
     """(key, time, one column a variable): means over each area's cells of a grid (time, lat, lon, variables), nulls left out."""
     values = [c for c in grid.columns if c not in ("time", "lat", "lon", "year", "month")]
     at = grid.select("time", F.round(F.col("lat") * per_degree).cast("long").alias("i"), F.round(F.col("lon") * per_degree).cast("long").alias("j"), *values)
-    return cells.select(key, "i", "j").join(at, ["i", "j"]).groupBy(key, "time").agg(*(F.avg(c).alias(c) for c in values))
+    # a cell's values of a time are added up before the areas meet it, and means are formed once for areas of the same cells
+    at = at.groupBy("time", "i", "j").agg(*(f(c).alias(f"{p}_{c}") for c in values for f, p in ((F.sum, "s"), (F.count, "n"))))
+    members, classes = alike(cells.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_cells")), "_key", "_cells")
+    own = classes.select("like", F.inline("_cells"))
+    mean = lambda c: (F.sum(f"s_{c}") / F.sum(f"n_{c}")).alias(c)
+    means = at.join(own.hint("merge"), ["i", "j"]).groupBy("like", "time").agg(*map(mean, values))
+    found = means.join(members.withColumnRenamed("like", "_like").hint("merge"), F.col("like").eqNullSafe(F.col("_like")))
+    return found.select(F.col("_key").alias(key), "time", *values)

@@ -73,6 +73,19 @@ def test_coverage_of_the_same_polygons(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_area_cell_means(spark):
+    """Areas of the same cells share their means; nulls are left out; a cell of several rows counts them all."""
+    cells = spark.createDataFrame([(k, i, j) for k in range(30) for i, j in ((0, 0), (0, 1))] + [(90, 0, 1), (91, 5, 5)], "area long, i long, j long")
+    rows = [(h, 0.0, lon, v, w) for h in range(3) for lon, v, w in ((0.0, 1.0, None), (0.1, 2.0, None), (0.1, 6.0, 4.0 if h else None))]
+    grid = spark.createDataFrame(rows, "time int, lat double, lon double, v double, w double")
+    got = polygons.area_cell_means(grid, cells, "area")
+    want = {(k, h): (3.0, 4.0 if h else None) for k in range(30) for h in range(3)} | {(90, h): (4.0, 4.0 if h else None) for h in range(3)}
+    assert {(r["area"], r["time"]): (r["v"], r["w"]) for r in got.collect()} == want
+    # areas meet sums of a cell and a time, not the grid's rows
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(s_v#" in plan and "sum(v#" in plan
+
+
 def test_grid_cells(spark):
     r = random.Random(8)
     areas = {i: star(r, r.randint(3, 8), r.uniform(-2, 2), r.uniform(-2, 2), r.choice([0.04, 0.2, 1.0])) for i in range(40)}
