@@ -20,7 +20,7 @@ from ..functions.geo import points_box
 
 #: Cells of a degree along each axis of the grid for coverage.
 CELL = 1.0
-#: Share of a cell's area by which it may miss being filled.
+#: Share of a cell's area by which it may miss being filled, and share of an area by which one may miss a limit.
 NEAR = 1e-9
 
 
@@ -200,8 +200,11 @@ def coverage(areas: DataFrame, footprints: DataFrame, area: str, footprint: str,
 
 
 def covered(areas: DataFrame, footprints: DataFrame, area: str, footprint: str, least: float, points: str = "points") -> DataFrame:
-    """The footprints, with all their columns, that cover at least the share ``least`` of an area, by area and with the share."""
-    share = coverage(areas, footprints, area, footprint, points).where(F.col("share") >= least)
+    """The footprints, with all their columns, that cover at least the share ``least`` of an area, by area and with the share.
+
+    A share that is the limit itself counts: it comes out of sums that may miss it by rounding (NEAR).
+    """
+    share = coverage(areas, footprints, area, footprint, points).where(F.col("share") >= least - NEAR)
     return share.join(footprints, footprint)
 
 

@@ -73,6 +73,20 @@ def test_coverage_of_the_same_polygons(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_covered_at_the_limit(spark):
+    """A tenth itself counts, whichever way it is rounded."""
+    from stackweave.plans import ground
+
+    kind = F.pmod("s", F.lit(3))
+    own = spark.createDataFrame([(143, 4078), (44, 5096), (569, 14954), (608, 2500), (68, 5180), (53, 11418)], "s long, c long")
+    a = own.select(F.col("s").alias("area"), kind.alias("kind"), (F.pmod("s", F.lit(170)) - 85 + F.pmod("s", F.lit(10)) / 10).alias("x"), (F.pmod("s", F.lit(110)) - 55 + F.pmod("s", F.lit(7)) / 8).alias("y"))
+    a = a.select("area", F.when(F.col("kind") == 0, ground.corners(*ground.SHAPES[0])).when(F.col("kind") == 1, ground.corners(*ground.SHAPES[1])).otherwise(ground.corners(*ground.SHAPES[2])).alias("points"))
+    f = own.select(F.col("c").alias("scene"), (F.pmod("c", F.lit(700)) / 4 - 85).alias("x"), (F.pmod("c", F.lit(331)) / 3 - 55).alias("y"))
+    f = f.select("scene", ground.corners((0, 0), (2.5, 0), (2.5, 1.75), (0, 1.75), (0, 0)).alias("points"))
+    got = {(r["area"], r["scene"]) for r in polygons.covered(a, f, "area", "scene", 0.1).collect()}
+    assert {(r["s"], r["c"]) for r in own.collect()} <= got
+
+
 def test_area_cell_means(spark):
     """Areas of the same cells share their means; nulls are left out; a cell of several rows counts them all."""
     cells = spark.createDataFrame([(k, i, j) for k in range(30) for i, j in ((0, 0), (0, 1))] + [(90, 0, 1), (91, 5, 5)], "area long, i long, j long")
