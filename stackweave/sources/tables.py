@@ -234,9 +234,12 @@ def to_rebuild(stored: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def write_reanalysis(grid: DataFrame, path: str) -> None:
-    """Cells (time, lat, lon, variables) by year and month, so that a reader of few dates touches few folders."""
+    """Cells (time, lat, lon, variables) by year and month, so that a reader of few dates touches few folders.
+
+    A month is dealt out by ranges of time and place, so that none is sorted in one task.
+    """
     parts = grid.withColumns({"year": F.year("time"), "month": F.month("time")})
-    parts.repartition("year", "month").sortWithinPartitions("time", "lat", "lon").write.partitionBy("year", "month").parquet(path)
+    parts.repartitionByRange("year", "month", "time", "lat", "lon").sortWithinPartitions("time", "lat", "lon").write.partitionBy("year", "month").parquet(path)
 
 
 def read_reanalysis(spark: SparkSession, path: str, dates: DataFrame) -> DataFrame:

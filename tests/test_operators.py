@@ -336,6 +336,20 @@ def test_reanalysis(spark, tmp_path):
     assert (got[1]["wind_speed"], got[1]["net_radiation"], got[1]["snowmelt"], got[2]["hour"]) == (5.0, 16.0, 1.0, 17)
 
 
+def test_reanalysis_of_a_full_month(spark, tmp_path):
+    """A month's cells are sorted and written by several tasks."""
+    grid = spark.range(4000).selectExpr("timestamp_seconds(1577836800 + id % 700 * 3600) AS time", "id % 20 / 10 AS lat", "id % 30 / 10 AS lon", "CAST(id AS DOUBLE) AS d2m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_reanalysis(grid, str(tmp_path / "cells"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "cells").glob("year=2020/month=1/*.parquet"))
+    most = max(spark.read.parquet(str(f)).count() for f in files)
+    back = tables.read_reanalysis(spark, str(tmp_path / "cells"), spark.sql("SELECT DATE '2020-01-05' AS day"))
+    assert len(files) > 1 and most < 2000 and back.count() == 4000 and back.agg(F.sum("d2m")).first()[0] == 4000 * 3999 / 2
+
+
 def test_pair_tables_and_scores(spark):
     docs = spark.createDataFrame([("a", '{"pairs": [["1", "2"], ["1", "2"]]}'), ("b", '{"pairs": [["3", "4"]]}')], "stack string, document string")
     old = spark.createDataFrame([("b", '[["8", "9"]]'), ("c", '[["5", "6"]]')], "stack string, text string")
