@@ -183,10 +183,11 @@ def to_reference_point(ts: DataFrame, quality: DataFrame | None = None, least: f
     """Values less those of one pixel: the given one, else that of best quality over ``least`` (ties: smallest row, col)."""
     if row is None:
         best = quality.where(F.col("quality") >= least).agg(F.max_by(F.struct("row", "col"), F.struct("quality", -F.col("row"), -F.col("col"))).alias("p")).select("p.row", "p.col")
+        own = ts.join(F.broadcast(best), ["row", "col"], "left_semi")
     else:
-        best = ts.sparkSession.createDataFrame([(row, col)], "row long, col long")
-    ref = ts.join(F.broadcast(best), ["row", "col"], "left_semi").select("t", F.col("value").alias("_ref"))  # one row a date
-    return ts.join(ref, "t").withColumn("value", F.col("value") - F.col("_ref")).drop("_ref")
+        own = ts.where((F.col("row") == row) & (F.col("col") == col))
+    ref = own.select("t", F.col("value").alias("_ref"))  # one row a date
+    return ts.join(F.broadcast(ref), "t").withColumn("value", F.col("value") - F.col("_ref")).drop("_ref")
 
 
 def nearest_valid(quality: DataFrame, row: float, col: float, least: float = 0.0, ring: int = 4) -> tuple[int, int] | None:

@@ -136,6 +136,17 @@ def test_nearest_valid(spark):
         I.to_reference_place(q.withColumn("t", F.lit(0)).withColumn("value", F.lit(1.0)), q, {"x0": 0.0, "y0": 0.0, "dx": 1.0, "dy": 1.0}, 0, 0, 2.0)
 
 
+@pytest.mark.parametrize("given", [{}, {"row": 1, "col": 2}])
+def test_reference_leaves_pixels_where_they_are(spark, given):
+    """A date's few reference values go to the pixels: no pixel is brought together with all others of its date."""
+    ts = spark.range(60).selectExpr("id % 5 AS row", "id DIV 5 % 4 AS col", "id DIV 20 AS t", "CAST(id AS DOUBLE) AS value")
+    got = I.to_reference_point(ts, ts.where("t = 0").selectExpr("row", "col", "row + col AS quality"), **given)
+    at = (1, 2) if given else (4, 3)
+    assert {(r["row"], r["col"], r["t"]): r["value"] for r in got.collect()} == {(i, j, t): float(i - at[0] + 5 * (j - at[1])) for i in range(5) for j in range(4) for t in range(3)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(t" not in plan
+
+
 def test_height_only_where_correlated(spark):
     r = np.random.default_rng(7)
     h = r.uniform(0, 100, 300)
