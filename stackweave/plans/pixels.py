@@ -251,9 +251,18 @@ T_DATES = [0, 12, 24, 48, 60]
 NETWORK = [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3), (2, 4)]
 
 
+def summed(spark: SparkSession, folder: str) -> DataFrame:
+    """(row, col, v): the layers' sum at each pixel.
+
+    Layers seldom share pixels, so adding up in the tasks that read a file would hold all pixels of its part of the file.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pixels(spark, folder).repartition(n, "row", "col").groupBy("row", "col").agg(F.sum("v").alias("v"))
+
+
 def phases(spark: SparkSession, folder: str) -> DataFrame:
     """(row, col, phase, weight): a line through time per pixel, with masked pairs and a turn's error in some."""
-    cube = pixels(spark, folder).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    cube = summed(spark, folder)
     rate = F.col("v") / 100_000.0
     one = lambda k, i, j: F.when(F.pmod(F.col("row") * 7 + F.col("col") * 3 + k, F.lit(13)) != 0, rate * (T_DATES[j] - T_DATES[i]) + F.when(F.pmod(F.col("row") + F.col("col") + k, F.lit(29)) == 0, 2 * np.pi).otherwise(0.0))
     weight = F.array(*(F.lit(1.0 + k / 10) for k in range(len(NETWORK))))
@@ -279,7 +288,7 @@ CUBE = """, cube AS (SELECT row, col, sum(v) AS v FROM pixels GROUP BY row, col)
 
 
 def series(spark: SparkSession, folder: str) -> DataFrame:
-    cube = pixels(spark, folder).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    cube = summed(spark, folder)
     ts = cube.withColumn("t", F.explode(F.array(*map(F.lit, T_DATES))))
     value = F.col("v") * F.col("t") / 1000.0 + F.col("row") * F.col("t") / 500.0 + F.pmod(F.col("row") * F.col("col") + F.col("t"), F.lit(7))
     return ts.select("row", "col", "t", value.alias("value"), (F.pmod(F.col("row") * 31 + F.col("col") * 17, F.lit(101)).cast("double") / 100).alias("quality"))

@@ -147,6 +147,16 @@ def test_reference_leaves_pixels_where_they_are(spark, given):
     assert "SortMergeJoin" not in plan and "hashpartitioning(t" not in plan
 
 
+def test_pixels_are_summed_after_they_are_spread(spark):
+    """No task that reads a file keeps a table of its pixels: the scan's stage ends in an exchange, the sum comes after it."""
+    from stackweave.plans import pixels
+
+    from .oracle import FOLDER
+
+    plan = pixels.series(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Exchange" in plan and "HashAggregate" not in plan.split("Exchange", 1)[1]
+
+
 def test_height_only_where_correlated(spark):
     r = np.random.default_rng(7)
     h = r.uniform(0, 100, 300)
