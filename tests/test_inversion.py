@@ -143,7 +143,12 @@ def test_reference_leaves_pixels_where_they_are(spark, given):
     got = I.to_reference_point(ts, ts.where("t = 0").selectExpr("row", "col", "row + col AS quality"), **given)
     at = (1, 2) if given else (4, 3)
     assert {(r["row"], r["col"], r["t"]): r["value"] for r in got.collect()} == {(i, j, t): float(i - at[0] + 5 * (j - at[1])) for i in range(5) for j in range(4) for t in range(3)}
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that are too large
+    try:
+        plan = I.to_reference_point(ts, ts.where("t = 0").selectExpr("row", "col", "row + col AS quality"), **given)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "SortMergeJoin" not in plan and "hashpartitioning(t" not in plan
 
 
